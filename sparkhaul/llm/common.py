@@ -163,13 +163,15 @@ def with_lookup(
     consume: Callable[[list, Callable], pa.RecordBatch | None],
     schema: str,
     bound: int = BROADCAST_ROWS,
+    more_wanted: DataFrame | None = None,
 ) -> DataFrame:
     """Runs consume([(doc_id, text, lookup), ...]) over all documents, lookup holding the rows of `known` that they need.
 
     known: a column key (long, distinct) and any further long columns, the values. Up to `bound` rows it is
     broadcast as sorted arrays (16 MB for two columns at the default bound). Beyond it, each document's distinct
     keys are joined with `known` by key, gathered per document (at most as many as the document has), and joined
-    to the documents by id; ids then shuffle with their texts once. Both ways give the same rows.
+    to the documents by id; ids then shuffle with their texts once. Both ways give the same rows. more_wanted: rows
+    (doc_id, key) that documents need besides keys_of(text).
     """
     spark, values = docs.sparkSession, [c for c in known.columns if c != "key"]
     docs = texts(docs)
@@ -194,7 +196,10 @@ def with_lookup(
         ids, empty, keys = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((ids, np.int64), (empty, bool), ([k for _, k in found], np.uint64)))
         return pa.record_batch([pa.array(ids, mask=empty), signed(keys)], ["doc_id", "key"])
 
-    wanted = map_arrow(docs, emit, "doc_id long, key long").join(known, "key")
+    wanted = map_arrow(docs, emit, "doc_id long, key long")
+    if more_wanted is not None:
+        wanted = wanted.union(more_wanted.distinct())
+    wanted = wanted.join(known, "key")
     own = wanted.groupBy(F.col("doc_id").alias("own_id")).agg(F.collect_list(F.struct("key", *values)).alias("own"))
     joined = docs.join(own, docs.doc_id.eqNullSafe(own.own_id), "left").select("doc_id", "text", "own")
 

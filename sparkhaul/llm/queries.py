@@ -7,6 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_dedup_digest
 
@@ -19,6 +31,12 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import substring_dedup_digest
+
+    return substring_dedup_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -27,11 +45,29 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op6_line_dedup, op8_exact_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op4_decontamination, op5_jaccard_join, op6_line_dedup, op8_exact_dedup, op9_substring_dedup, op10_packing)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE = {
+    "op5_jaccard_join": f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[s:s + 3], ' ') AS g
+  FROM words, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS t(s) WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b USING (g)
+  WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+reached AS (
+  SELECT doc_id AS node, doc_id AS root FROM documents
+  UNION
+  SELECT y, root FROM reached JOIN links ON x = node)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(root) AS component_id
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN reached ON node = d.doc_id GROUP BY d.doc_id""",
     "op6_line_dedup": f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -50,4 +86,19 @@ WITH normal AS (SELECT doc_id, {_LOWER.format("coalesce(text, '')")} AS t FROM d
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM normal""",
+    "op9_substring_dedup": """
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, s, sha256(array_to_string(w[s:s + 34], ' ')) AS k
+  FROM words, unnest(range(1, len(w) - 33)) AS t(s)),
+again AS (SELECT k FROM windows GROUP BY k HAVING count(*) > 1),
+gone AS (
+  SELECT DISTINCT doc_id, s + j AS i FROM windows JOIN again USING (k), unnest(range(0, 35)) AS o(j)),
+each AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM words),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n
+  FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT words.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)""",
 }
