@@ -16,7 +16,7 @@ def session(cpus: int | None = None, **settings: str) -> SparkSession:
         "spark.sql.shuffle.partitions": str(cpus),
         "spark.sql.adaptive.enabled": "true",
         "spark.ui.enabled": "false",
-        "spark.driver.memory": "8g",
+        "spark.driver.memory": "4g",
         "spark.driver.host": "127.0.0.1",
         **settings,
     }.items():
