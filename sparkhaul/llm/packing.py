@@ -12,8 +12,10 @@ packed separately. An empty table gives no rows.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,27 +31,69 @@ GROUP_ROWS, MEMO_CHUNKS = 4000, 200_000
 #: The characters that the tokenizer's \\s matches.
 WHITE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 ODD_SPACE = re.compile("[\\x1c-\\x1f]")  # str.split() would split at these too
+#: Punctuation that may stand behind a word, and the first character beyond the Latin letters.
+BEHIND, LATIN_END = ".,;:!?)]\"'#$%&*", "\u0250"
+
+
+def byte_characters() -> list[str]:
+    """The character that byte-level tokenizers write for each byte: printable ones as they are, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b if b in plain else next(others)) for b in range(256)]
 
 
 class ChunkEncoder:
-    """Text -> uint32 ids, remembering the ids of chunks."""
+    """Text -> uint32 ids, remembering the ids of chunks in two generations: frequent chunks stay, others go.
+
+    A new chunk of Latin letters, perhaps with punctuation behind, is two pre-tokens at most, which go to the
+    tokenizer's model as they are; any other chunk takes the tokenizer's whole way.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.ids = Tokenizer.from_file(path), {}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives the cores
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.normal = self.tokenizer.model, self.tokenizer.normalizer
+        self.byte = byte_characters()
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def whole(self, chunk: str) -> bytes:
+        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+
+    def word(self, word: str) -> bytes:
+        if not word.isascii():
+            word = "".join(map(self.byte.__getitem__, self.normal.normalize_str(word).encode()))
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+
+    def part(self, key: str, make) -> bytes:
+        found = self.young.get(key)
+        if found is None:
+            found = self.old.get(key)
+            self.young[key] = found = make(key) if found is None else found
+        return found
+
+    def new(self, chunk: str) -> bytes:
+        head = chunk.rstrip(BEHIND)
+        if not head.isalpha() or max(head) >= LATIN_END:
+            return self.whole(chunk)
+        if not head.isascii() and not self.normal.normalize_str(head).isalpha():  # a letter that becomes a letter and a mark
+            return self.whole(chunk)
+        tail = chunk[len(head) :]
+        head = head.lower() if head.isascii() else head
+        ids = self.part(head, self.word)
+        return ids + self.part(tail, self.whole) if tail else ids
 
     def __call__(self, text: str) -> np.ndarray:
         chunks = WHITE.split(text) if ODD_SPACE.search(text) else text.split()
-        new = {c for c in chunks if c not in self.ids}
-        if new:
-            if len(self.ids) + len(new) > MEMO_CHUNKS:
-                self.ids.clear()
-                new = set(chunks)
-            names = list(new)
-            for c, e in zip(names, self.tokenizer.encode_batch(names, add_special_tokens=False), strict=True):
-                self.ids[c] = np.array(e.ids, np.uint32).tobytes()
-        return np.frombuffer(b"".join(map(self.ids.__getitem__, chunks)), np.uint32)
+        if len(self.young) > MEMO_CHUNKS:
+            self.young, self.old = {}, self.young
+        young = self.young
+        for c in set(chunks):
+            if c not in young:
+                young[c] = self.old.get(c) or self.new(c)
+        return np.frombuffer(b"".join(map(young.__getitem__, chunks)), np.uint32)
 
 
 def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
