@@ -1,7 +1,7 @@
 """Operator 3, toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-Each blank-separated word has a word vector (one for all words rare in the sample) and a character vector (the mean of its hashed character
-n-grams), joined. Two GRUs read a window of WINDOW words forward and backward; attention pools their states; a
+Each blank-separated word has a word vector (one for all words rare in the sample) and a character vector (the largest values of its hashed
+character n-grams), joined. Two GRUs read a window of WINDOW words forward and backward; attention pools their states; a
 logistic unit scores the window. Windows start every STRIDE words, so they overlap, and the last one ends with the text;
 all of them are scored, and a document's score is its largest.
 
@@ -48,7 +48,7 @@ def first_weights(seed: int = 1) -> dict[str, np.ndarray]:
     def normal(*shape: int) -> np.ndarray:
         return (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
 
-    w = {"word": 0.1 * rng.standard_normal((WORDS, WORD_DIM)).astype(np.float32), "char": 0.5 * rng.standard_normal((GRAMS, CHAR_DIM)).astype(np.float32)}
+    w = {"word": 0.1 * rng.standard_normal((WORDS, WORD_DIM)).astype(np.float32), "char": 0.1 * rng.standard_normal((GRAMS, CHAR_DIM)).astype(np.float32)}
     for side in "fb":
         w |= {f"x{side}": normal(d, 3 * STATE), f"h{side}": normal(STATE, 3 * STATE), f"b{side}": np.zeros(3 * STATE, np.float32)}
     return w | {"a": normal(2 * STATE, ATTEND), "ab": np.zeros(ATTEND, np.float32), "av": normal(ATTEND, 1)[:, 0], "o": normal(2 * STATE, 1)[:, 0], "ob": np.full(1, -1.0, np.float32)}
@@ -62,11 +62,12 @@ def vocabulary(words: list[str], known: dict[str, int]) -> tuple[np.ndarray, np.
 
 
 def word_vectors(w: dict, bucket: np.ndarray, places: np.ndarray, count: np.ndarray) -> np.ndarray:
-    sums = np.zeros((len(places) + 1, CHAR_DIM))
-    np.cumsum(w["char"][places], axis=0, out=sums[1:])
-    ends = np.cumsum(count)
-    chars = (sums[ends] - sums[ends - count]) / np.maximum(1, count)[:, None]
-    return np.concatenate([w["word"][bucket], chars.astype(np.float32)], axis=1)
+    """Word vector beside the largest value of each dimension among the word's n-grams (0 at least)."""
+    chars = np.zeros((len(bucket), CHAR_DIM), np.float32)
+    some = np.flatnonzero(count)
+    if len(some):
+        chars[some] = np.maximum.reduceat(w["char"][places], (np.cumsum(count) - count)[some], axis=0)
+    return np.concatenate([w["word"][bucket], np.maximum(chars, 0)], axis=1)
 
 
 def recur(gates: np.ndarray, ids: np.ndarray, wh: np.ndarray, backward: bool, keep: list | None = None) -> np.ndarray:
@@ -141,7 +142,8 @@ def gradients(w: dict, words: tuple, ids: np.ndarray, labels: np.ndarray) -> dic
         d_vectors += d_gates @ w[f"x{s}"].T
     g["word"], g["char"] = np.zeros_like(w["word"]), np.zeros_like(w["char"])
     np.add.at(g["word"], bucket, d_vectors[:, :WORD_DIM])
-    np.add.at(g["char"], places, np.repeat(d_vectors[:, WORD_DIM:] / np.maximum(1, count)[:, None], count, axis=0))
+    most = np.repeat(vectors[:, WORD_DIM:], count, axis=0)
+    np.add.at(g["char"], places, np.where(w["char"][places] >= most, np.repeat(d_vectors[:, WORD_DIM:], count, axis=0), 0))
     return g
 
 
