@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Entries kept in a worker's word table before it is emptied; a bound on memory, not on work.
 MEMO_WORDS = 400_000
@@ -139,6 +140,12 @@ def keep_ids(docs: DataFrame, ids: DataFrame, bound: int = BROADCAST_ROWS) -> Da
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
+def drop_ids(docs: DataFrame, ids: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """The documents whose id is not in ids, rows without id included; joined as in keep_ids."""
+    few = ids.limit(bound + 1).count() <= bound
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti")
+
+
 class Lookup:
     """Sorted keys (64 bits) and value columns; find() gives the places of the keys that are there."""
 
@@ -164,6 +171,7 @@ def with_lookup(
     schema: str,
     bound: int = BROADCAST_ROWS,
     more_wanted: DataFrame | None = None,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Runs consume([(doc_id, text, lookup), ...]) over all documents, lookup holding the rows of `known` that they need.
 
@@ -171,10 +179,20 @@ def with_lookup(
     broadcast as sorted arrays (16 MB for two columns at the default bound). Beyond it, each document's distinct
     keys are joined with `known` by key, gathered per document (at most as many as the document has), and joined
     to the documents by id; ids then shuffle with their texts once. Both ways give the same rows. more_wanted: rows
-    (doc_id, key) that documents need besides keys_of(text).
+    (doc_id, key) that documents need besides keys_of(text). carry: columns of docs to put behind those of consume, which
+    then gives one row for each document, in order.
     """
     spark, values = docs.sparkSession, [c for c in known.columns if c != "key"]
-    docs = texts(docs)
+    if carry:
+        schema = StructType([*_parse_datatype_string(schema).fields, *(docs.schema[c] for c in carry)])
+    carried = [f"carried_{i}" for i in range(len(carry))]
+    docs = texts(docs, *(F.col(f"`{c}`").alias(n) for c, n in zip(carry, carried, strict=True)))
+
+    def finished(out: pa.RecordBatch | None, batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        if out is None or not carry:
+            return out
+        return pa.RecordBatch.from_arrays([*out.columns, *batch.columns[-len(carry) :]], [*out.schema.names, *carry])
+
     if known.limit(bound + 1).count() <= bound:
         got = known.select("key", *values).toArrow()
         arrays = [got.column(i).to_numpy().astype(np.int64) for i in range(got.num_columns)]
@@ -183,7 +201,7 @@ def with_lookup(
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lookup = Lookup(*shared.value)
             for batch in batches:
-                out = consume([(i, t, lookup) for i, t in columns(batch)])
+                out = finished(consume([(i, t, lookup) for i, t in columns(batch)]), batch)
                 if out is not None and out.num_rows:
                     yield out
 
@@ -196,12 +214,12 @@ def with_lookup(
         ids, empty, keys = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((ids, np.int64), (empty, bool), ([k for _, k in found], np.uint64)))
         return pa.record_batch([pa.array(ids, mask=empty), signed(keys)], ["doc_id", "key"])
 
-    wanted = map_arrow(docs, emit, "doc_id long, key long")
+    wanted = map_arrow(docs.select("doc_id", "text"), emit, "doc_id long, key long")
     if more_wanted is not None:
         wanted = wanted.union(more_wanted.distinct())
     wanted = wanted.join(known, "key")
     own = wanted.groupBy(F.col("doc_id").alias("own_id")).agg(F.collect_list(F.struct("key", *values)).alias("own"))
-    joined = docs.join(own, docs.doc_id.eqNullSafe(own.own_id), "left").select("doc_id", "text", "own")
+    joined = docs.join(own, docs.doc_id.eqNullSafe(own.own_id), "left").select("doc_id", "text", "own", *carried)
 
     def apply_own(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         rows = []
@@ -209,7 +227,7 @@ def with_lookup(
             flat = own.values.flatten() if own.is_valid else [pa.array([], pa.int64())] * (1 + len(values))
             arrays = [x.to_numpy(zero_copy_only=False).astype(np.int64) for x in flat]
             rows.append((i, t, Lookup(arrays[0].view(np.uint64), arrays[1:])))
-        return consume(rows)
+        return finished(consume(rows), batch)
 
     return map_arrow(joined, apply_own, schema)
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, columns, components, keep_ids, map_arrow, mix, ngrams, shared_table, signed, texts
+from .common import WordHashes, columns, components, drop_ids, keep_ids, map_arrow, mix, ngrams, shared_table, signed, texts
 
 #: A token found in more than FREQUENT sets is indexed in combinations of two, in more than VERY_FREQUENT of three.
 FREQUENT, VERY_FREQUENT = 40, 2000
@@ -223,3 +223,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     placed = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     linked = sets.where("n_shingles > 0").join(placed, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", F.expr("CASE WHEN doc_id IS NOT NULL THEN component END").alias("component_id"))
     return linked.union(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def one_of_each_group(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The whole rows of docs that are the least of their component; rows without id stay, and all rows of one id stay or go together."""
+    gone = shared_table(jaccard_components(docs, n, percent).where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
+    return drop_ids(docs, gone).select(*(f"`{c}`" for c in docs.columns))

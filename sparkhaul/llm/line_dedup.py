@@ -133,8 +133,8 @@ def _split_hash(keys: DataFrame) -> DataFrame:
     return map_arrow(keys.select("key_text", "keeper"), of, "key long, check long, keeper long")
 
 
-def apply_lines(docs: DataFrame, confirmed: DataFrame, row: Callable, names: list[str], schema: str, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """row(doc_id, text, lines, dropped mask) -> tuple, for every document."""
+def apply_lines(docs: DataFrame, confirmed: DataFrame, row: Callable, names: list[str], schema: str, least_chars: int = LEAST_CHARS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """row(doc_id, text, lines, dropped mask) -> tuple, for every document, with the columns to carry behind."""
 
     def keys_of(text: bytes | None) -> np.ndarray:
         return hashes([k for k in line_keys(text, least_chars)[1] if k])
@@ -155,7 +155,7 @@ def apply_lines(docs: DataFrame, confirmed: DataFrame, row: Callable, names: lis
         return pa.RecordBatch.from_pydict({n: list(c) for n, c in zip(names, zip(*out, strict=True), strict=True)}, arrow) if out else None
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
-    return with_lookup(docs, _split_hash(confirmed.withColumn("keeper", F.coalesce("keeper", F.lit(-1)))), keys_of, consume, schema)
+    return with_lookup(docs, _split_hash(confirmed.withColumn("keeper", F.coalesce("keeper", F.lit(-1)))), keys_of, consume, schema, carry=carry)
 
 
 def line_dedup(docs: DataFrame, **limits) -> DataFrame:
@@ -168,6 +168,19 @@ def line_dedup(docs: DataFrame, **limits) -> DataFrame:
     return apply_lines(docs, confirmed_lines(docs, **limits), row, ["doc_id", "text", "n_lines", "n_dropped"], "doc_id long, text string, n_lines long, n_dropped long", limits.get("least_chars", LEAST_CHARS))
 
 
+def without_repeated_lines(docs: DataFrame, **limits) -> DataFrame:
+    """The rows of docs, all columns, with what is left of their text; n_chars, where docs has it, is its new length."""
+
+    def row(doc_id, text, lines, dropped):
+        return doc_id, None if text is None else b"\n".join(x for x, d in zip(lines, dropped, strict=True) if not d).decode()
+
+    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    out = apply_lines(docs, confirmed_lines(docs, **limits), row, ["doc_id", "text"], "doc_id long, text string", limits.get("least_chars", LEAST_CHARS), carry)
+    if "n_chars" in carry:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*(f"`{c}`" for c in docs.columns))
+
+
 def line_dedup_digest(docs: DataFrame, **limits) -> DataFrame:
     """As line_dedup, with the SHA-256 of the text that is left instead of the text."""
 
