@@ -27,26 +27,27 @@ from .common import columns, shared_table, texts
 
 SEQUENCE, CLOSING_ID = 4096, 2
 #: Pieces in a group, and chunks that a worker remembers.
-GROUP_ROWS, MEMO_CHUNKS = 4000, 200_000
+GROUP_ROWS, MEMO_CHUNKS = 4000, 500_000
 #: The characters that the tokenizer's \\s matches.
 WHITE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 ODD_SPACE = re.compile("[\\x1c-\\x1f]")  # str.split() would split at these too
-#: Punctuation that may stand behind a word, and the first character beyond the Latin letters.
-BEHIND, LATIN_END = ".,;:!?)]\"'#$%&*", "\u0250"
+#: Latin letters that have one lower case letter each and compose with nothing, then punctuation: one pre-token each.
+PLAIN = re.compile("([^\\W\\d_\xb2\xb3\xb9\xbc-\xbe\u0130\u0250-\U0010ffff]+)([.,;:!?)\\]\"'#$%&*]*)").fullmatch
 
 
-def byte_characters() -> list[str]:
+def byte_characters() -> dict[int, str]:
     """The character that byte-level tokenizers write for each byte: printable ones as they are, the others from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
     others = iter(range(256, 512))
-    return [chr(b if b in plain else next(others)) for b in range(256)]
+    return {b: chr(b if b in plain else next(others)) for b in range(256)}
 
 
 class ChunkEncoder:
-    """Text -> uint32 ids, remembering the ids of chunks in two generations: frequent chunks stay, others go.
+    """Text -> uint32 ids, remembering the ids of chunks; a full memory is emptied.
 
-    A new chunk of Latin letters, perhaps with punctuation behind, is two pre-tokens at most, which go to the
-    tokenizer's model as they are; any other chunk takes the tokenizer's whole way.
+    A new chunk of Latin letters, perhaps with punctuation behind, is two pre-tokens at most; its letters go to the
+    tokenizer's model in lower case, as the characters that stand for their bytes. Any other chunk takes the
+    tokenizer's whole way.
     """
 
     def __init__(self, path: str):
@@ -54,46 +55,37 @@ class ChunkEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives the cores
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.normal = self.tokenizer.model, self.tokenizer.normalizer
-        self.byte = byte_characters()
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.model, self.byte = self.tokenizer.model, byte_characters()
+        self.memo: dict[str, bytes] = {}
 
     def whole(self, chunk: str) -> bytes:
         return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
-    def word(self, word: str) -> bytes:
-        if not word.isascii():
-            word = "".join(map(self.byte.__getitem__, self.normal.normalize_str(word).encode()))
-        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
-
-    def part(self, key: str, make) -> bytes:
-        found = self.young.get(key)
-        if found is None:
-            found = self.old.get(key)
-            self.young[key] = found = make(key) if found is None else found
-        return found
-
     def new(self, chunk: str) -> bytes:
-        head = chunk.rstrip(BEHIND)
-        if not head.isalpha() or max(head) >= LATIN_END:
-            return self.whole(chunk)
-        if not head.isascii() and not self.normal.normalize_str(head).isalpha():  # a letter that becomes a letter and a mark
+        match = PLAIN(chunk)
+        if match is None:
             return self.whole(chunk)
-        tail = chunk[len(head) :]
-        head = head.lower() if head.isascii() else head
-        ids = self.part(head, self.word)
-        return ids + self.part(tail, self.whole) if tail else ids
+        head, tail = match.groups()
+        head = head.lower()
+        ids = self.memo.get(head)
+        if ids is None:
+            word = head if head.isascii() else head.encode().decode("latin-1").translate(self.byte)
+            self.memo[head] = ids = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+        if tail:
+            if tail not in self.memo:
+                self.memo[tail] = self.whole(tail)
+            ids += self.memo[tail]
+        return ids
 
     def __call__(self, text: str) -> np.ndarray:
         chunks = WHITE.split(text) if ODD_SPACE.search(text) else text.split()
-        if len(self.young) > MEMO_CHUNKS:
-            self.young, self.old = {}, self.young
-        young = self.young
-        for c in set(chunks):
-            if c not in young:
-                young[c] = self.old.get(c) or self.new(c)
-        return np.frombuffer(b"".join(map(young.__getitem__, chunks)), np.uint32)
+        if len(self.memo) > MEMO_CHUNKS:
+            self.memo.clear()
+        distinct = set(chunks)
+        own = dict(zip(distinct, map(self.memo.get, distinct), strict=True))  # small, so a text's own look-ups are cheap
+        for c in [c for c, ids in own.items() if ids is None]:
+            own[c] = self.memo[c] = self.new(c)
+        return np.frombuffer(b"".join(map(own.__getitem__, chunks)), np.uint32)
 
 
 def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
