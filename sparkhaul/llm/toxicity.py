@@ -7,7 +7,7 @@ all of them are scored, and a document's score is its largest.
 
 Training (Adam, back-propagation through time) knows documents only: each round picks, of some windows of every
 sampled document, the one the network finds worst, and trains it towards the document's label. The sample has
-TRAIN_ROWS rows of each label at most. What depends on the word alone (its vectors times the input weights of all
+TRAIN_ROWS rows of each label at most; the bias is set at the end, by whole documents and the labels' shares. What depends on the word alone (its vectors times the input weights of all
 gates) is computed once for each distinct word in a worker.
 
 Null, empty and blank texts have no window and the score 0. If nothing can be learned, scores are those of the first weights.
@@ -160,7 +160,24 @@ def windows(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     return padded[at[:, None] + np.arange(WINDOW)]
 
 
-def train(rows: list[tuple[str | None, int]], rounds: int = ROUNDS, seed: int = 1) -> dict[str, np.ndarray]:
+def best_cut(logits: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> float:
+    """The middle of the range of cuts with the least weighted errors (the widest of equals)."""
+    order = np.argsort(logits, kind="stable")
+    x, y, c = logits[order], labels[order], weights[order]
+    # errors if the first k are called 0 and the others 1
+    errors = np.concatenate([[0.0], np.cumsum(np.where(y == 1, c, -c))]) + c[y == 0].sum()
+    edges = np.concatenate([[x[0] - 1], x, [x[-1] + 1]])
+    good = np.flatnonzero(errors <= errors.min() + 1e-9)
+    k = good[np.argmax(edges[good + 1] - edges[good])]
+    return float(edges[k] + edges[k + 1]) / 2
+
+
+def train(rows: list[tuple[str | None, int]], rounds: int = ROUNDS, seed: int = 1, share: float | None = None) -> dict[str, np.ndarray]:
+    """Weights, with the words that have a vector under "known". share: the share of label 1 among all labelled rows.
+
+    At last the bias is set: the sampled documents are scored whole, and their best cut, with each label weighed by its
+    share of all rows, becomes the score 0.5.
+    """
     rng, w = np.random.default_rng(seed), first_weights(seed)
     split = [((t or "").lower().split(), y) for t, y in rows]
     split = [(x, y) for x, y in split if x]
@@ -193,6 +210,11 @@ def train(rows: list[tuple[str | None, int]], rounds: int = ROUNDS, seed: int =
                 m += 0.1 * (d - m)
                 v += 0.01 * (d * d - v)
                 w[k] -= (RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+    scorer = Scorer(w | {"known": known})
+    scores = np.clip(scorer.scores([t for t, _ in rows]), 1e-9, 1 - 1e-9)
+    y = np.array([label for _, label in rows])
+    weights = np.ones(len(y)) if share is None else np.where(y == 1, share / max(1, (y == 1).sum()), (1 - share) / max(1, (y == 0).sum()))
+    w["ob"] -= best_cut(np.log(scores / (1 - scores)), y, weights)
     return w | {"known": known}
 
 
@@ -253,7 +275,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -
     """
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
     rows = sample(docs, named, fold(5) != 0, train_rows, per_class=True).select("text", "label").collect()
-    shared = docs.sparkSession.sparkContext.broadcast(train([(r.text, r.label) for r in rows]))
+    share = named.where(fold(5) != 0).agg(F.avg((F.col("label") == 1).cast("int"))).first()[0]
+    shared = docs.sparkSession.sparkContext.broadcast(train([(r.text, r.label) for r in rows], share=share))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
