@@ -130,6 +130,20 @@ class Spans:
         return mix((self.sums[end] - self.sums[start]) * Spans._down[start] + (end - start).astype(np.uint64))
 
 
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
+def word_hashes(text: bytes | None) -> np.ndarray:
+    """A 64-bit hash of each run of non-blank bytes, all words of a text at once."""
+    if not text:
+        return np.empty(0, np.uint64)
+    codes = np.frombuffer(text, np.uint8)
+    inside = np.concatenate([[False], ~_BLANK[codes], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return Spans(codes.astype(np.uint64) + np.uint64(1)).of(edges[::2], edges[1::2])
+
+
 def signed(h: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(h).view(np.int64), pa.int64())
 

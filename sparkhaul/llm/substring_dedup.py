@@ -15,7 +15,7 @@ indexed and factors are copied.
 
 The result is exact up to 128-bit hashes: a window is removed if and only if its words also start elsewhere, in
 the same document or another. Null and empty texts have no words. Rows repeated with one id, or without id,
-are documents of their own. Index entries reach the documents by look-up (see with_lookup).
+are documents of their own. Index entries reach the documents by equi-joins, by key and then by id, at any size.
 """
 
 from __future__ import annotations
@@ -28,18 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spans, WordHashes, columns, map_arrow, mix, ngrams, shared_table, signed, texts, with_lookup
+from .common import Spans, columns, map_arrow, mix, ngrams, shared_table, signed, texts, word_hashes
 
 #: Words in a window.
 WORDS = 35
-#: Index entries up to which they are broadcast (16 bytes each).
-LOOKUP_ROWS = 2_000_000
 #: What an index entry says of an anchor: every phrase is a copy, or its windows must be checked; and a checked window.
 COPIED, BOUNDARY, WINDOW = 1, 2, 3
 
-_hashes = WordHashes()
-
-
 def least_in_windows(h: np.ndarray, width: int) -> np.ndarray:
     """Place of the least element (the leftmost of equals) of each `width` consecutive ones, by doubling."""
     value, place, reach = h, np.arange(len(h)), 1
@@ -55,15 +50,14 @@ class Phrases:
     """The phrases of one text: first window, last window, anchor hash and phrase hash of each."""
 
     def __init__(self, text: bytes | None, words: int):
-        self.tokens = (text or b"").split()
-        n = len(self.tokens) - words + 1
+        h = word_hashes(text)
+        n = len(h) - words + 1
         self.windows = max(0, n)
         self.size = words
         if n <= 0:
             self.anchor = self.phrase = np.empty(0, np.uint64)
             self.first = self.last = np.empty(0, np.int64)
             return
-        h = _hashes.of(self.tokens)
         q = (words + 1) // 2
         grams = ngrams(h, q)
         at = least_in_windows(grams, words - q + 1)
@@ -81,91 +75,120 @@ class Phrases:
         return start, anchor, mix(self.spans.of(start, start + self.size) + anchor * np.uint64(3))
 
 
-def index_phrases(docs: DataFrame, words: int) -> DataFrame:
-    """key (anchor hash) and kind of every anchor that occurs at least twice."""
+def phrase_table(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, anchors and phrases (arrays of hashes, phrase by phrase) of every text with a window."""
 
     def emit(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [Phrases(t, words) for _, t in columns(batch)]
-        return pa.record_batch([signed(np.concatenate([p.anchor for p in found])), signed(np.concatenate([p.phrase for p in found]))], ["key", "phrase"])
+        ids, found = [], []
+        for doc_id, text in columns(batch):
+            p = Phrases(text, words)
+            if p.windows:
+                ids.append(doc_id)
+                found.append(p)
+        return pa.record_batch([pa.array(ids, pa.int64()), arrays([p.anchor for p in found]), arrays([p.phrase for p in found])], ["doc_id", "anchors", "phrases"])
+
+    return shared_table(map_arrow(texts(docs), emit, "doc_id long, anchors array<long>, phrases array<long>"), "phrases")
+
+
+def arrays(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), signed(np.concatenate([np.empty(0, np.uint64), *parts])))
+
 
-    phrases = map_arrow(texts(docs), emit, "key long, phrase long")
-    grouped = phrases.groupBy("key").agg(F.count("*").alias("n"), F.min("phrase").alias("a"), F.max("phrase").alias("b"))
-    return grouped.where("n > 1").select("key", F.expr(f"CASE WHEN a = b THEN {COPIED} ELSE {BOUNDARY} END").cast("long").alias("kind"))
+def index_phrases(phrases: DataFrame) -> DataFrame:
+    """key (anchor hash) and kind of every anchor that occurs at least twice."""
+    each = phrases.select(F.explode(F.arrays_zip("anchors", "phrases")).alias("p")).select(F.col("p.anchors").alias("key"), F.col("p.phrases").alias("phrase"))
+    grouped = each.groupBy("key").agg(F.count("*").alias("n"), F.min("phrase").alias("a"), F.max("phrase").alias("b"))
+    return shared_table(grouped.where("n > 1").select("key", F.expr(f"CASE WHEN a = b THEN {COPIED} ELSE {BOUNDARY} END").cast("int").alias("kind")), "anchors")
+
+
+def by_document(entries: DataFrame) -> DataFrame:
+    """Entries (doc_id, key, kind) of each document together: as many as the document has phrases and checked windows."""
+    return entries.groupBy(F.col("doc_id").alias("own_id")).agg(F.collect_list("key").alias("keys"), F.collect_list("kind").alias("kinds"))
+
+
+def having(keys: np.ndarray, own: np.ndarray) -> np.ndarray:
+    return np.isin(keys, own)
 
 
-def boundary_windows(docs: DataFrame, index: DataFrame, words: int, bound: int) -> DataFrame:
-    """doc_id, anchor and key of every window of a boundary phrase."""
+def boundary_windows(docs: DataFrame, entries: DataFrame, words: int) -> DataFrame:
+    """doc_id, anchors and keys (arrays) of every window of a boundary phrase."""
+    own = by_document(entries.where(F.col("kind") == BOUNDARY))
+    joined = docs.join(own, docs.doc_id.eqNullSafe(own.own_id)).select("doc_id", "text", "keys")
 
-    def consume(rows: list) -> pa.RecordBatch:
-        ids, anchors, keys = [], [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
-        for doc_id, text, lookup in rows:
+    def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = []
+        for (_, text), keys in zip(columns(batch), batch.column(2), strict=True):
             p = Phrases(text, words)
-            hit, _ = lookup.find(p.anchor)
-            if hit.any():
-                _, anchor, key = p.window_keys(hit)
-                ids += [doc_id] * len(key)
-                anchors.append(anchor)
-                keys.append(key)
-        return pa.record_batch([pa.array(ids, pa.int64()), signed(np.concatenate(anchors)), signed(np.concatenate(keys))], ["doc_id", "anchor", "key"])
-
-    boundary = index.where(F.col("kind") == BOUNDARY).select("key")
-    return with_lookup(docs, boundary, lambda t: Phrases(t, words).anchor, consume, "doc_id long, anchor long, key long", bound)
-
-
-def parse(docs: DataFrame, row: Callable, names: list[str], schema: str, words: int, bound: int) -> DataFrame:
-    """row(doc_id, text, tokens, removed mask) -> tuple, for every document."""
-    index = shared_table(index_phrases(docs, words), "anchors")
-    windows = boundary_windows(docs, index, words, bound)
-    again = windows.groupBy("anchor", "key").agg(F.count("*").alias("n")).where("n > 1")
-    known = index.union(again.select("key", F.lit(WINDOW).cast("long").alias("kind")))
-    # an anchor hash and a window key that are equal by chance stay apart by their kind
-    known = shared_table(known.groupBy("key").agg(F.expr("bit_or(1L << cast(kind AS INT))").alias("kinds")), "copies")
-
-    def consume(rows: list) -> pa.RecordBatch | None:
+            found.append(p.window_keys(having(p.anchor, keys.values.to_numpy().view(np.uint64))))
+        return pa.record_batch([batch.column(0), arrays([a for _, a, _ in found]), arrays([k for _, _, k in found])], ["doc_id", "anchors", "keys"])
+
+    return shared_table(map_arrow(joined, windows, "doc_id long, anchors array<long>, keys array<long>"), "windows")
+
+
+def parse(docs: DataFrame, row: Callable, names: list[str], schema: str, words: int) -> DataFrame:
+    """row(doc_id, text, removed mask or None) -> tuple, for every document."""
+    docs = texts(docs)
+    phrases = phrase_table(docs, words)
+    index = index_phrases(phrases)
+    entries = shared_table(phrases.select("doc_id", F.explode(F.array_distinct("anchors")).alias("key")).join(index, "key").select("doc_id", "key", "kind"), "entries")
+    windows = boundary_windows(docs, entries, words)
+    each = windows.select("doc_id", F.explode(F.arrays_zip("anchors", "keys")).alias("w")).select("doc_id", "w.anchors", "w.keys")
+    again = each.groupBy("anchors", "keys").agg(F.count("*").alias("n")).where("n > 1").select("anchors", "keys")
+    checked = each.distinct().join(again, ["anchors", "keys"]).select("doc_id", F.col("keys").alias("key"), F.lit(WINDOW).alias("kind"))
+    own = by_document(entries.union(checked))
+    joined = docs.join(own, docs.doc_id.eqNullSafe(own.own_id), "left").select("doc_id", "text", "keys", "kinds")
+
+    def remove(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         out = []
-        for doc_id, text, lookup in rows:
+        for (doc_id, text), keys, kinds in zip(columns(batch), batch.column(2), batch.column(3), strict=True):
+            if not keys.is_valid:
+                out.append(row(doc_id, text, None))
+                continue
             p = Phrases(text, words)
+            keys, kinds = keys.values.to_numpy().view(np.uint64), kinds.values.to_numpy()
             copied = np.zeros(p.windows + 1, np.int32)  # +1 where a copied run begins, -1 behind its end
-            if p.windows:
-
-                def having(keys, kind, lookup=lookup):
-                    hit, place = lookup.find(keys)
-                    hit[hit] = (lookup.values[0][place] >> kind) & 1 == 1
-                    return hit
-
-                whole = having(p.anchor, COPIED)
-                np.add.at(copied, p.first[whole], 1)
-                np.add.at(copied, p.last[whole] + 1, -1)
-                start, _, key = p.window_keys(having(p.anchor, BOUNDARY))
-                single = start[having(key, WINDOW)]
-                np.add.at(copied, single, 1)
-                np.add.at(copied, single + 1, -1)
+            whole = having(p.anchor, keys[kinds == COPIED])
+            np.add.at(copied, p.first[whole], 1)
+            np.add.at(copied, p.last[whole] + 1, -1)
+            start, _, key = p.window_keys(having(p.anchor, keys[kinds == BOUNDARY]))
+            single = start[having(key, keys[kinds == WINDOW])]
+            np.add.at(copied, single, 1)
+            np.add.at(copied, single + 1, -1)
             starts = np.cumsum(copied[:-1]) > 0
-            edge = np.diff(np.r_[0, starts.astype(np.int8), 0])
-            factors = list(zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1 + words, strict=True))
-            removed = np.zeros(len(p.tokens), bool)
-            for begin, end in factors:
-                removed[begin:end] = True
-            out.append(row(doc_id, text, p.tokens, removed))
+            edge = np.diff(np.concatenate([[0], starts.astype(np.int8), [0]]))
+            removed = np.zeros(p.windows + words - 1 if p.windows else 0, bool)
+            for begin, end in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1 + words, strict=True):
+                removed[begin:end] = True  # a factor
+            out.append(row(doc_id, text, removed if removed.any() else None))
         return pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*out, strict=True)], names) if out else None
 
-    return with_lookup(docs, known, lambda t: Phrases(t, words).anchor, consume, schema, bound, windows.select("doc_id", "key"))
+    return map_arrow(joined, remove, schema)
+
+
+def kept_words(text: bytes | None, removed: np.ndarray | None) -> tuple[int, int, bytes]:
+    """Words, removed words, and the kept ones joined by one space."""
+    tokens = (text or b"").split()
+    if removed is None:
+        return len(tokens), 0, b" ".join(tokens)
+    return len(tokens), int(removed.sum()), b" ".join(tokens[i] for i in np.flatnonzero(~removed).tolist())
 
 
-def substring_dedup(docs: DataFrame, words: int = WORDS, bound: int = LOOKUP_ROWS) -> DataFrame:
+def substring_dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_words, n_removed, text (the words that stay, joined by one space)."""
 
-    def row(doc_id, text, tokens, removed):
-        return doc_id, len(tokens), int(removed.sum()), b" ".join(tokens[i] for i in np.flatnonzero(~removed)).decode()
+    def row(doc_id, text, removed):
+        n, gone, kept = kept_words(text, removed)
+        return doc_id, n, gone, kept.decode()
 
-    return parse(docs, row, ["doc_id", "n_words", "n_removed", "text"], "doc_id long, n_words long, n_removed long, text string", words, bound)
+    return parse(docs, row, ["doc_id", "n_words", "n_removed", "text"], "doc_id long, n_words long, n_removed long, text string", words)
 
 
-def substring_dedup_digest(docs: DataFrame, words: int = WORDS, bound: int = LOOKUP_ROWS) -> DataFrame:
+def substring_dedup_digest(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """As substring_dedup, with the SHA-256 of the text that is left."""
 
-    def row(doc_id, text, tokens, removed):
-        kept = b" ".join(tokens if not removed.any() else [tokens[i] for i in np.flatnonzero(~removed)])
-        return doc_id, len(tokens), int(removed.sum()), hashlib.sha256(kept).hexdigest()
+    def row(doc_id, text, removed):
+        n, gone, kept = kept_words(text, removed)
+        return doc_id, n, gone, hashlib.sha256(kept).hexdigest()
 
-    return parse(docs, row, ["doc_id", "n_words", "n_removed", "kept_sha256"], "doc_id long, n_words long, n_removed long, kept_sha256 string", words, bound)
+    return parse(docs, row, ["doc_id", "n_words", "n_removed", "kept_sha256"], "doc_id long, n_words long, n_removed long, kept_sha256 string", words)
