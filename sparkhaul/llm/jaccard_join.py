@@ -11,7 +11,8 @@ the order, so only documents made of them nearly whole need combinations; those
 2. Token frequencies over the representatives, from the part of each set that prefixes can reach, in one
    pre-aggregated shuffle. Which tokens count as frequent affects cost, never the result.
 3. Signatures shuffle. In each bucket every member is paired with one pivot only, the least id; pairs are made
-   distinct, filtered by size and verified on the whole sets. Linked documents become components.
+   distinct, filtered by size and by a bound on the difference from parity bits (about a 60th of a set), and the
+   rest verified on the whole sets. Linked documents become components.
 4. Buckets whose members are not all in one component yet give their other pairs, of different components and matching sizes.
    Large ones are first split by a second, independent signature (similar pairs share one of those as well).
 5. Components of all links; documents get the component of their class.
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, columns, components, drop_ids, keep_ids, map_arrow, mix, ngrams, shared_table, signed, texts
+from .common import columns, components, drop_ids, keep_ids, map_arrow, mix, ngrams, shared_table, signed, texts, word_hashes
 
 #: A token found in more than FREQUENT sets is indexed in combinations of two, in more than VERY_FREQUENT of three.
 FREQUENT, VERY_FREQUENT = 40, 2000
@@ -43,15 +44,11 @@ COUNT_ALL, COUNT_SHARE = 160, 0.3
 #: Buckets beyond this size are split by a second signature before their remaining pairs are made.
 SPLIT_ROWS = 48
 
-_hashes = WordHashes()
-
-
 def shingle_set(text: bytes | None, n: int) -> np.ndarray:
     """Sorted distinct hashes of the word n-grams; of a shorter text, the whole word sequence."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = _hashes.of(words)
+    h = word_hashes((text or b"").lower())
+    if not len(h):
+        return h
     return np.unique(ngrams(h, n)) if len(h) >= n else mix(ngrams(h, len(h)) + np.uint64(len(h)))
 
 
@@ -111,15 +108,30 @@ class Signatures:
         return np.array(out, np.uint64)
 
 
+def parity_bits(tokens: np.ndarray) -> bytes:
+    """A bit for each of 2**k ranges of hashes, about as many as tokens: whether the set has an odd number there."""
+    k = max(6, (len(tokens) - 1).bit_length())
+    return np.packbits(np.bincount((tokens >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k) & 1).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """Two sets differ in at least so many tokens as their parities do; the longer mark is folded to the shorter one's ranges."""
+    x, y = (np.unpackbits(np.frombuffer(m, np.uint8)) for m in (a, b))
+    if len(x) < len(y):
+        x, y = y, x
+    return int(((x.reshape(len(y), -1).sum(axis=1) & 1) != y).sum())
+
+
 def sets_of(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, and a 128-bit digest (d1, d2) of the set."""
+    """doc_id, n_shingles, a 128-bit digest (d1, d2) of the set, and its parity bits."""
 
     def build(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [(i, shingle_set(t, n)) for i, t in columns(batch)]
-        digest = np.array([[xxhash.xxh3_64_intdigest(s.tobytes()), xxhash.xxh64_intdigest(s.tobytes())] for _, s in rows], np.uint64)
-        return pa.record_batch([pa.array([i for i, _ in rows], pa.int64()), pa.array([len(s) for _, s in rows], pa.int64()), signed(digest[:, 0].copy()), signed(digest[:, 1].copy())], ["doc_id", "n_shingles", "d1", "d2"])
+        digest = np.array([[xxhash.xxh3_64_intdigest(s.tobytes()), xxhash.xxh64_intdigest(s.tobytes())] for _, s in rows], np.uint64).reshape(-1, 2)
+        bits = pa.array([parity_bits(s) if len(s) else None for _, s in rows], pa.binary())
+        return pa.record_batch([pa.array([i for i, _ in rows], pa.int64()), pa.array([len(s) for _, s in rows], pa.int64()), signed(digest[:, 0].copy()), signed(digest[:, 1].copy()), bits], ["doc_id", "n_shingles", "d1", "d2", "bits"])
 
-    return map_arrow(texts(docs), build, "doc_id long, n_shingles long, d1 long, d2 long")
+    return map_arrow(texts(docs), build, "doc_id long, n_shingles long, d1 long, d2 long, bits binary")
 
 
 def frequent_tokens(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,8 +151,22 @@ def frequent_tokens(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], np.where(df[order] > VERY_FREQUENT, 3, 2)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (u, v) that are similar. Sets are rebuilt for the documents that occur in a pair only."""
+def possible(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose parity bits don't prove them too different. marks: doc_id, n_shingles, bits."""
+    u, v = (marks.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "uv")
+    sides = pairs.join(u, "u").join(v, "v").select("u", "v", "n_u", "n_v", "bits_u", "bits_v")
+
+    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)
+        mask = [(100 + percent) * least_difference(a, b) <= (100 - percent) * (p + q) for p, q, a, b in rows]
+        return batch.select(["u", "v"]).filter(pa.array(mask, pa.bool_()))
+
+    return map_arrow(sides, keep, "u long, v long")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, marks: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (u, v) that are similar. Sets are rebuilt only for the documents of pairs that parities leave possible."""
+    pairs = shared_table(possible(pairs, marks, percent), "possible")
     ids = shared_table(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct(), "candidates")
 
     def build(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -164,8 +190,8 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
     return shared_table(map_arrow(sides.select("u", "v", "a", "b"), compare, "u long, v long").distinct(), "links")
 
 
-def links(docs: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
-    """Enough similar pairs (u, v) of representatives to connect all that are connected. reps: doc_id, n_shingles."""
+def links(docs: DataFrame, reps: DataFrame, marks: DataFrame, n: int, percent: int) -> DataFrame:
+    """Enough similar pairs (u, v) of representatives to connect all that are connected. reps: doc_id; marks: see possible."""
     spark = docs.sparkSession
     docs = keep_ids(docs, reps.select("doc_id").distinct())
     shared = spark.sparkContext.broadcast(frequent_tokens(docs, n))
@@ -196,7 +222,7 @@ def links(docs: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
         return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
 
     stars = members.where("doc_id <> pivot").where(similar_sizes("size", "pivot_size")).select(F.col("pivot").alias("u"), F.col("doc_id").alias("v")).distinct()
-    first = verified(shared_table(stars, "stars"), docs, n, percent)
+    first = verified(shared_table(stars, "stars"), docs, marks, n, percent)
     known = shared_table(components(first), "components")
 
     placed = members.where("n > 2").join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
@@ -209,7 +235,7 @@ def links(docs: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
     rows = small.union(split)
     left, right = (rows.select("sig", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "size", "component"))) for s in "ab")
     pairs = left.join(right, "sig").where("doc_id_a < doc_id_b AND component_a <> component_b").where(similar_sizes("size_a", "size_b"))
-    rest = verified(shared_table(pairs.select(F.col("doc_id_a").alias("u"), F.col("doc_id_b").alias("v")).distinct(), "rest"), docs, n, percent)
+    rest = verified(shared_table(pairs.select(F.col("doc_id_a").alias("u"), F.col("doc_id_b").alias("v")).distinct(), "rest"), docs, marks, n, percent)
     return first.union(rest)
 
 
@@ -219,7 +245,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     sets = shared_table(sets_of(docs, n), "set-sizes")
     classes = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     classes = shared_table(classes, "classes")
-    found = components(links(docs, classes.select(F.col("rep").alias("doc_id"), "n_shingles"), n, percent))
+    found = components(links(docs, classes.select(F.col("rep").alias("doc_id")), sets.select("doc_id", "n_shingles", "bits"), n, percent))
     placed = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     linked = sets.where("n_shingles > 0").join(placed, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", F.expr("CASE WHEN doc_id IS NOT NULL THEN component END").alias("component_id"))
     return linked.union(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
