@@ -1,6 +1,13 @@
-"""All queries of the reference's operators: name -> (Spark query, equivalent DuckDB SQL or None)."""
+"""All queries of the reference's operators: name -> Spark query, and name -> equivalent DuckDB SQL."""
 
 from __future__ import annotations
 
+from . import evidence_queries, search_queries, stop_queries
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+for module in (evidence_queries, stop_queries, search_queries):
+    for name, (query, sql) in module.QUERIES.items():
+        QUERIES[name] = query
+        if sql:
+            ORACLE[name] = sql
