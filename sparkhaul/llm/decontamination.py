@@ -4,8 +4,9 @@ The index holds the test items, not the corpus: per term a list of (item, impact
 weight in the item divided by the score of the item against itself, so that 1 means the whole item and one
 threshold suits short and long items. Postings lie in blocks, each with its largest impact.
 
-Every document is cut into overlapping passages, all of them queries. A passage whose summed term maxima stay below
-the threshold is passed over at once; the others run WAND: a pivot from the terms' maxima, refined by the maxima
+Every document is cut into overlapping passages, all of them queries. A passage is passed over at once if no item can
+reach the threshold in it by a first bound: the item's commonest terms give at most half of the threshold together and count as
+there, its other terms count where they are; the others run WAND: a pivot from the terms' maxima, refined by the maxima
 of the blocks that hold it, and full scoring only of items that can reach the threshold. All items above it
 are retrieved. For a retrieved pair the document's words around the passage must then hold enough of
 the item's question and of its answer, by word 3-grams.
@@ -32,6 +33,8 @@ from .common import columns, map_arrow, texts
 PASSAGE, STRIDE = 64, 32
 #: BM25 constants, postings per block, and the share of an item's own score from which it is retrieved.
 K1, B, BLOCK, THRESHOLD = 1.2, 0.75, 32, 0.4
+#: Share of the threshold that an item's commonest terms may give in the first bound.
+COMMON = 0.5
 #: Shares of the question's and the answer's 3-grams that must be there.
 QUESTION, ANSWER = 0.6, 0.6
 #: Words of all items in one broadcast index (some 100 bytes a word in a worker).
@@ -63,24 +66,58 @@ def grams(words: list[bytes]) -> set:
 class Index:
     """Inverted index of items: per term its postings (item, impact) by item, the largest impact of each block and of all."""
 
-    def __init__(self, items: list[tuple[int, bytes]]):
+    def __init__(self, items: list[tuple[int, bytes]], threshold: float = THRESHOLD):
         self.items = [(i, terms(t), *map(grams, question_and_answer(t))) for i, t in items if terms(t)]
         counts = [Counter(w) for _, w, _, _ in self.items]
         holding = Counter(t for c in counts for t in c)
         mean = sum(len(w) for _, w, _, _ in self.items) / max(1, len(self.items))
         n = len(self.items)
         postings: dict[bytes, list[tuple[int, float]]] = {}
+        impact: list[dict[bytes, float]] = []
         for i, ((_, words, _, _), count) in enumerate(zip(self.items, counts, strict=True)):
             weight = {t: math.log(1 + (n - holding[t] + 0.5) / (holding[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(words) / mean)) for t, f in count.items()}
             whole = sum(weight.values())
-            for t, w in weight.items():
-                postings.setdefault(t, []).append((i, w / whole))
+            impact.append({t: w / whole for t, w in weight.items()})
+            for t, w in impact[-1].items():
+                postings.setdefault(t, []).append((i, w))
         self.term = {t: k for k, t in enumerate(postings)}
+        # An item's commonest terms may give COMMON of the threshold together; the rest must come from its other terms,
+        # whose postings are kept a second time, as flat arrays by term.
+        self.rest = np.zeros(n)
+        needed: list[list[tuple[int, float]]] = [[] for _ in postings]
+        for i, own in enumerate(impact):
+            common = 0.0
+            for t in sorted(own, key=lambda t: (-holding[t], t)):
+                if common + own[t] <= COMMON * threshold:
+                    common += own[t]
+                else:
+                    needed[self.term[t]].append((i, own[t]))
+            self.rest[i] = threshold - common - 1e-9
+        self.first = np.cumsum([0, *map(len, needed), 0])  # the last list is for words of no item
+        self.needed_item = np.array([i for x in needed for i, _ in x], np.int64)
+        self.needed_impact = np.array([w for x in needed for _, w in x])
         self.postings = list(postings.values())
         self.blocks = [[max(w for _, w in p[k : k + BLOCK]) for k in range(0, len(p), BLOCK)] for p in self.postings]
         self.most = np.array([max(b) for b in self.blocks] + [0.0])  # the last is for words of no item
         self.longest = max((len(w) for _, w, _, _ in self.items), default=0)
 
+    def likely(self, ids: np.ndarray) -> np.ndarray:
+        """Numbers of the passages of a text (term numbers of its words) in which needed terms may lift an item to the threshold."""
+        count = self.first[ids + 1] - self.first[ids]
+        at = np.flatnonzero(count)
+        if not len(at):
+            return at
+        count = count[at]
+        posting = np.repeat(self.first[ids[at]] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        item, impact, last = self.needed_item[posting], self.needed_impact[posting], np.repeat(at // STRIDE, count)
+        n = len(passages(len(ids)))
+        held = [last - k for k in range(PASSAGE // STRIDE)]  # passages that have a word: the last that begins before it, and those before
+        keys = np.concatenate([p * len(self.rest) + item for p in held])
+        good = np.concatenate([(p >= 0) & (p < n) for p in held])
+        found, place = np.unique(keys[good], return_inverse=True)
+        sums = np.bincount(place, np.tile(impact, len(held))[good], minlength=len(found))
+        return np.unique(found[sums >= self.rest[found % len(self.rest)]] // len(self.rest))
+
     def search(self, query: list[int], threshold: float) -> list[tuple[int, float]]:
         """All (item, score) with a score of at least threshold, by block-max WAND."""
         end, slack = len(self.items), 1e-9
@@ -135,14 +172,14 @@ def passages(n: int) -> np.ndarray:
 
 def matches_in(words: list[bytes], index: Index, threshold: float = THRESHOLD) -> list[tuple[int, float, float, float, int]]:
     """(place of the item in the index, best score, question share, answer share, first word of the best passage), verified."""
-    ids = np.fromiter((index.term.get(w, -1) for w in words), np.int64, len(words))
-    bound = np.r_[0.0, np.cumsum(index.most[ids])]
-    starts = passages(len(words))
-    ends = np.minimum(starts + PASSAGE, len(words))
+    other = len(index.term)
+    ids = np.fromiter((index.term.get(w, other) for w in words), np.int64, len(words))
     best: dict[int, tuple[float, float, float, int]] = {}
-    for start, end in zip(*(x[bound[ends] - bound[starts] >= threshold - 1e-9] for x in (starts, ends)), strict=True):
+    for passage in index.likely(ids).tolist():
+        start = passage * STRIDE
+        end = min(start + PASSAGE, len(words))
         query = np.unique(ids[start:end])
-        for item, score in index.search(query[query >= 0].tolist(), threshold):
+        for item, score in index.search(query[query < other].tolist(), threshold):
             if item in best and best[item][0] >= score:
                 continue
             _, own, question, answer = index.items[item]
@@ -177,7 +214,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     names = ["doc_id", "item_id", "score", "question_share", "answer_share", "first_word"]
     schema = "doc_id long, item_id long, score double, question_share double, answer_share double, first_word long"
     for shard in item_shards(benchmark, shard_words):
-        shared = docs.sparkSession.sparkContext.broadcast(Index(shard))
+        shared = docs.sparkSession.sparkContext.broadcast(Index(shard, threshold))
 
         def match(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch | None:
             index = shared.value
@@ -199,7 +236,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFr
     out = docs
     threshold = settings.get("threshold", THRESHOLD)
     for shard in item_shards(benchmark, settings.get("shard_words", SHARD_WORDS)):
-        shared = docs.sparkSession.sparkContext.broadcast(Index(shard))
+        shared = docs.sparkSession.sparkContext.broadcast(Index(shard, threshold))
 
         def keep(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
             texts_of = batch.column(place[0]).cast(pa.binary())
