@@ -13,8 +13,10 @@ the order, so only documents made of them nearly whole need combinations; those
 3. Signatures shuffle. In each bucket every member is paired with one pivot only, the least id; pairs are made
    distinct, filtered by size and by a bound on the difference from parity bits (about a 60th of a set), and the
    rest verified on the whole sets. Linked documents become components.
-4. Buckets whose members are not all in one component yet give their other pairs, of different components and matching sizes.
-   Large ones are first split by a second, independent signature (similar pairs share one of those as well).
+4. Buckets whose members are not all in one component yet: each member is stood for by a document it is linked with, at a
+   known distance. Jaccard distance obeys the triangle inequality, so two representatives that are too far apart for any
+   of their members settle all their members' pairs at once; the members of the others meet in blocks, and what sizes, distances
+   and parities leave possible is verified.
 5. Components of all links; documents get the component of their class.
 
 No pair inside a component that is known already is made, so a group of n copies or near copies costs about n pairs.
@@ -41,8 +43,10 @@ FREQUENT, VERY_FREQUENT = 40, 2000
 TOLD_TOKENS = 1_000_000
 #: Counted for each set: all tokens of sets up to COUNT_ALL, else the COUNT_SHARE lowest by hash.
 COUNT_ALL, COUNT_SHARE = 160, 0.3
-#: Buckets beyond this size are split by a second signature before their remaining pairs are made.
-SPLIT_ROWS = 48
+#: Members of a representative that are compared at once with as many of another.
+BLOCK_ROWS = 256
+#: Added to bounds on distances, against rounding.
+SLACK = 1e-9
 
 def shingle_set(text: bytes | None, n: int) -> np.ndarray:
     """Sorted distinct hashes of the word n-grams; of a shorter text, the whole word sequence."""
@@ -151,22 +155,57 @@ def frequent_tokens(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], np.where(df[order] > VERY_FREQUENT, 3, 2)
 
 
-def possible(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose parity bits don't prove them too different. marks: doc_id, n_shingles, bits."""
-    u, v = (marks.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "uv")
-    sides = pairs.join(u, "u").join(v, "v").select("u", "v", "n_u", "n_v", "bits_u", "bits_v")
+def possible(pairs: DataFrame, marks: DataFrame, most: float) -> DataFrame:
+    """The pairs (u, v) whose parity bits allow a Jaccard distance of at most `most` and both radii. marks: doc_id, n_shingles, bits, radius."""
+    u, v = (marks.select(F.col("doc_id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n_shingles", "radius", "bits"))) for x in "uv")
+    sides = pairs.join(u, "u").join(v, "v").select("u", "v", F.expr("n_shingles_u + n_shingles_v AS size"), F.expr("radius_u + radius_v AS slack"), "bits_u", "bits_v")
 
     def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)
-        mask = [(100 + percent) * least_difference(a, b) <= (100 - percent) * (p + q) for p, q, a, b in rows]
-        return batch.select(["u", "v"]).filter(pa.array(mask, pa.bool_()))
-
-    return map_arrow(sides, keep, "u long, v long")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, marks: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (u, v) that are similar. Sets are rebuilt only for the documents of pairs that parities leave possible."""
-    pairs = shared_table(possible(pairs, marks, percent), "possible")
+        mask, bounds = [], []
+        for size, slack, a, b in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+            d = least_difference(a, b)
+            bounds.append(2 * d / (size + d))
+            mask.append(bounds[-1] <= most + slack + SLACK)
+        return pa.record_batch([batch.column(0), batch.column(1), pa.array(bounds, pa.float64())], ["u", "v", "bound"]).filter(pa.array(mask, pa.bool_()))
+
+    return map_arrow(sides, keep, "u long, v long, bound double")
+
+
+def blocks(members: DataFrame, key: str) -> DataFrame:
+    """Members of each representative (column `key`) in blocks of about BLOCK_ROWS: ids, sizes, distances and parity bits."""
+    dealt = members.join(members.groupBy("rep").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("parts")), "rep")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+    return dealt.groupBy(F.col("rep").alias(key), "part").agg(F.collect_list(F.struct("doc_id", "size", "off", "bits")).alias(f"rows_{key}")).drop("part")
+
+
+def member_pairs(near: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of members of representatives (u, v, bound) that sizes, the triangle inequality and parities leave possible.
+
+    Block meets block, so a representative with very many members makes few rows. members: rep, doc_id, size, off, bits.
+    """
+    sides = near.join(blocks(members, "u"), "u").join(blocks(members, "v"), "v").select("bound", "rows_u", "rows_v")
+    most = 1 - percent / 100
+
+    def pair(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        found = []
+        for bound, a, b in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            (ids_a, size_a, off_a, bits_a), (ids_b, size_b, off_b, bits_b) = ([x.values.field(k) for k in range(4)] for x in (a, b))
+            na, nb, fa, fb = (x.to_numpy() for x in (size_a, size_b, off_a, off_b))
+            fits = 100 * np.minimum(na[:, None], nb) >= percent * np.maximum(na[:, None], nb)
+            fits &= bound <= most + SLACK + fa[:, None] + fb
+            for i, j in zip(*np.nonzero(fits), strict=True):
+                d = least_difference(bits_a[i].as_py(), bits_b[j].as_py())
+                if 2 * d / (na[i] + nb[j] + d) <= most + SLACK:
+                    found.append(sorted((ids_a[i].as_py(), ids_b[j].as_py())))
+        if not found:
+            return None
+        return pa.record_batch([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["u", "v"])
+
+    return map_arrow(sides, pair, "u long, v long").distinct()
+
+
+def compared(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """u, v, distance (Jaccard) and similar of pairs (u, v). Sets are rebuilt for the documents that occur in a pair only."""
     ids = shared_table(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct(), "candidates")
 
     def build(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -177,17 +216,25 @@ def verified(pairs: DataFrame, docs: DataFrame, marks: DataFrame, n: int, percen
     sides = pairs.join(sets.select(F.col("doc_id").alias("v"), F.col("tokens").alias("b")), "v").join(sets.select(F.col("doc_id").alias("u"), F.col("tokens").alias("a")), "u")
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
-        mask = []
+        distance, similar = [], []
         for a, b in zip(batch.column(2), batch.column(3), strict=True):
             a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
             small, large = (a, b) if len(a) <= len(b) else (b, a)
             at = np.searchsorted(large, small)
             at[at == len(large)] = 0
             common = int((large[at] == small).sum())
-            mask.append(100 * common >= percent * (len(a) + len(b) - common))
-        return pa.record_batch([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(mask, pa.bool_()))
+            union = len(a) + len(b) - common
+            distance.append(1 - common / union)
+            similar.append(100 * common >= percent * union)
+        return pa.record_batch([batch.column(0), batch.column(1), pa.array(distance, pa.float64()), pa.array(similar, pa.bool_())], ["u", "v", "distance", "similar"])
 
-    return shared_table(map_arrow(sides.select("u", "v", "a", "b"), compare, "u long, v long").distinct(), "links")
+    return map_arrow(sides.select("u", "v", "a", "b"), compare, "u long, v long, distance double, similar boolean")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, marks: DataFrame, n: int, percent: int) -> DataFrame:
+    """u, v, distance of the pairs (u, v) that are similar."""
+    pairs = shared_table(possible(pairs, marks, 1 - percent / 100).select("u", "v"), "possible")
+    return shared_table(compared(pairs, docs, n, percent).where("similar").select("u", "v", "distance").distinct(), "links")
 
 
 def links(docs: DataFrame, reps: DataFrame, marks: DataFrame, n: int, percent: int) -> DataFrame:
@@ -223,20 +270,27 @@ def links(docs: DataFrame, reps: DataFrame, marks: DataFrame, n: int, percent: i
 
     stars = members.where("doc_id <> pivot").where(similar_sizes("size", "pivot_size")).select(F.col("pivot").alias("u"), F.col("doc_id").alias("v")).distinct()
     first = verified(shared_table(stars, "stars"), docs, marks, n, percent)
-    known = shared_table(components(first), "components")
+    known = shared_table(components(first.select("u", "v")), "components")
 
+    # each document is stood for by a document it is linked with, at a known distance, or by itself
+    star = first.groupBy(F.col("v").alias("doc_id")).agg(F.min("u").alias("rep"), F.min_by("distance", "u").alias("off"))
     placed = members.where("n > 2").join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = placed.groupBy("sig").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("sig")
-    open_rows = shared_table(placed.join(mixed, "sig").where("doc_id <> pivot").select("sig", "doc_id", "size", "component", "n"), "open")
-    small = open_rows.where(F.col("n") <= SPLIT_ROWS)
-    large = open_rows.where(F.col("n") > SPLIT_ROWS)
-    again = keep_ids(docs, large.select("doc_id").distinct()).mapInArrow(sign(7), "sig long, doc_id long, size long").select(F.col("sig").alias("second"), "doc_id")
-    split = large.join(again, "doc_id").select(F.xxhash64("sig", "second").alias("sig"), "doc_id", "size", "component", "n")
-    rows = small.union(split)
-    left, right = (rows.select("sig", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "size", "component"))) for s in "ab")
-    pairs = left.join(right, "sig").where("doc_id_a < doc_id_b AND component_a <> component_b").where(similar_sizes("size_a", "size_b"))
-    rest = verified(shared_table(pairs.select(F.col("doc_id_a").alias("u"), F.col("doc_id_b").alias("v")).distinct(), "rest"), docs, marks, n, percent)
-    return first.union(rest)
+    open_rows = placed.join(mixed, "sig").where("doc_id <> pivot").select("sig", "doc_id", "size", "component").join(star, "doc_id", "left")
+    open_rows = shared_table(open_rows.select("sig", "doc_id", "size", "component", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("off", F.lit(0.0)).alias("off")), "open")
+    reps = open_rows.select("sig", "rep", "component").distinct()
+    same = reps.groupBy("sig").agg(F.count("*").alias("k"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("h"), F.sum(F.hash("rep").cast("long")).alias("g"))
+    reps = shared_table(reps.join(same.where("k > 1").groupBy("k", "h", "g").agg(F.min("sig").alias("sig")).select("sig"), "sig"), "representatives")
+    left, right = (reps.select("sig", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "component"))) for s in "ab")
+    pairs = left.join(right, "sig").where("rep_a < rep_b AND component_a <> component_b").select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v")).distinct()
+    radius = open_rows.groupBy(F.col("rep").alias("doc_id")).agg(F.max("off").alias("radius"))
+    wide = marks.drop("radius").join(radius, "doc_id")
+    most = 1 - percent / 100
+    near = shared_table(possible(shared_table(pairs, "pairs"), wide, most), "near")
+    each = open_rows.select("rep", "doc_id", "size", "off").distinct().join(marks.select("doc_id", F.col("n_shingles").alias("size"), "bits"), ["doc_id", "size"])
+    rest = shared_table(member_pairs(near, each, percent), "rest")
+    rest = shared_table(compared(rest, docs, n, percent).where("similar").select("u", "v", "distance").distinct(), "rest-links")
+    return first.union(rest).select("u", "v")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -245,7 +299,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     sets = shared_table(sets_of(docs, n), "set-sizes")
     classes = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     classes = shared_table(classes, "classes")
-    found = components(links(docs, classes.select(F.col("rep").alias("doc_id")), sets.select("doc_id", "n_shingles", "bits"), n, percent))
+    found = components(links(docs, classes.select(F.col("rep").alias("doc_id")), sets.select("doc_id", "n_shingles", "bits", F.lit(0.0).alias("radius")), n, percent))
     placed = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     linked = sets.where("n_shingles > 0").join(placed, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", F.expr("CASE WHEN doc_id IS NOT NULL THEN component END").alias("component_id"))
     return linked.union(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
