@@ -103,7 +103,7 @@ def families_of(profiles: dict[str, np.ndarray]) -> list[list[str]]:
     """Languages that are each other's nearest, by the cosine of their mean profiles less the mean of all, make a family."""
     names = sorted(profiles)
     common = sum(profiles.values()) / max(1, len(profiles))
-    unit = np.array([(profiles[n] - common) / (np.linalg.norm(profiles[n] - common) or 1.0) for n in names]).reshape(len(names), -1)
+    unit = np.array([(profiles[n] - common) / (np.linalg.norm(profiles[n] - common) or 1.0) for n in names]).reshape(len(names), PLACES)
     cosine = unit @ unit.T - 2 * np.eye(len(names))
     nearest = cosine.argmax(axis=1) if len(names) > 1 else np.zeros(len(names), int)
     return sorted({tuple(sorted({names[i], names[nearest[i]]})) if nearest[nearest[i]] == i else (names[i],) for i in range(len(names))})
