@@ -118,9 +118,14 @@ def parity_bits(tokens: np.ndarray) -> bytes:
     return np.packbits(np.bincount((tokens >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k) & 1).tobytes()
 
 
-def least_difference(a: bytes, b: bytes) -> int:
-    """Two sets differ in at least so many tokens as their parities do; the longer mark is folded to the shorter one's ranges."""
-    x, y = (np.unpackbits(np.frombuffer(m, np.uint8)) for m in (a, b))
+def unpacked(bits: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bits, np.uint8))
+
+
+def least_difference(x: np.ndarray, y: np.ndarray) -> int:
+    """Two sets differ in at least so many tokens as their unpacked parities do; the longer mark is folded to the shorter one's ranges."""
+    if len(x) == len(y):
+        return int(np.count_nonzero(x != y))
     if len(x) < len(y):
         x, y = y, x
     return int(((x.reshape(len(y), -1).sum(axis=1) & 1) != y).sum())
@@ -163,7 +168,7 @@ def possible(pairs: DataFrame, marks: DataFrame, most: float) -> DataFrame:
     def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
         mask, bounds = [], []
         for size, slack, a, b in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
-            d = least_difference(a, b)
+            d = least_difference(unpacked(a), unpacked(b))
             bounds.append(2 * d / (size + d))
             mask.append(bounds[-1] <= most + slack + SLACK)
         return pa.record_batch([batch.column(0), batch.column(1), pa.array(bounds, pa.float64())], ["u", "v", "bound"]).filter(pa.array(mask, pa.bool_()))
@@ -171,6 +176,41 @@ def possible(pairs: DataFrame, marks: DataFrame, most: float) -> DataFrame:
     return map_arrow(sides, keep, "u long, v long, bound double")
 
 
+def near_representatives(reps: DataFrame, wide: DataFrame, most: float) -> DataFrame:
+    """u, v, bound of representatives that share a bucket and that parities leave within `most` and both radii.
+
+    reps: sig, rep, component; wide: see possible. Block meets block within a bucket; pairs of one component are passed over.
+    """
+    told = reps.join(wide.withColumnRenamed("doc_id", "rep"), "rep")
+    told = told.join(reps.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("parts")), "sig").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    dealt = told.groupBy("sig", "part").agg(F.collect_list(F.struct("rep", "component", "n_shingles", "radius", "bits")).alias("held"))
+    dealt = shared_table(dealt, "blocks")
+    left, right = (dealt.select("sig", F.col("part").alias(f"part_{x}"), F.col("held").alias(f"held_{x}")) for x in "ab")
+    sides = left.join(right, "sig").where("part_a <= part_b").select("held_a", "held_b", F.expr("part_a = part_b AS own"))
+
+    def pair(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        found = {}
+        for a, b, own in zip(*batch.columns[:2], batch.column(2).to_pylist(), strict=True):
+            (ra, ca, na, fa, ma), (rb, cb, nb, fb, mb) = ([x.values.field(k) for k in range(5)] for x in (a, b))
+            ra, ca, na, fa, rb, cb, nb, fb = (x.to_numpy() for x in (ra, ca, na, fa, rb, cb, nb, fb))
+            ma, mb = ([unpacked(m) for m in x.to_pylist()] for x in (ma, mb))
+            room = most + SLACK + fa[:, None] + fb
+            fits = (ca[:, None] != cb) & (1 - np.minimum(na[:, None], nb) / np.maximum(na[:, None], nb) <= room)
+            if own:
+                fits &= ra[:, None] < rb
+            for i, j in zip(*np.nonzero(fits), strict=True):
+                d = least_difference(ma[i], mb[j])
+                bound = 2 * d / (na[i] + nb[j] + d)
+                if bound <= room[i, j]:
+                    found[min(ra[i], rb[j]), max(ra[i], rb[j])] = bound
+        if not found:
+            return None
+        u, v = zip(*found, strict=True)
+        return pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(list(found.values()), pa.float64())], ["u", "v", "bound"])
+
+    return map_arrow(sides, pair, "u long, v long, bound double").distinct()
+
+
 def blocks(members: DataFrame, key: str) -> DataFrame:
     """Members of each representative (column `key`) in blocks of about BLOCK_ROWS: ids, sizes, distances and parity bits."""
     dealt = members.join(members.groupBy("rep").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("parts")), "rep")
@@ -191,10 +231,11 @@ def member_pairs(near: DataFrame, members: DataFrame, percent: int) -> DataFrame
         for bound, a, b in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
             (ids_a, size_a, off_a, bits_a), (ids_b, size_b, off_b, bits_b) = ([x.values.field(k) for k in range(4)] for x in (a, b))
             na, nb, fa, fb = (x.to_numpy() for x in (size_a, size_b, off_a, off_b))
+            marks_a, marks_b = ([unpacked(m) for m in x.to_pylist()] for x in (bits_a, bits_b))
             fits = 100 * np.minimum(na[:, None], nb) >= percent * np.maximum(na[:, None], nb)
             fits &= bound <= most + SLACK + fa[:, None] + fb
             for i, j in zip(*np.nonzero(fits), strict=True):
-                d = least_difference(bits_a[i].as_py(), bits_b[j].as_py())
+                d = least_difference(marks_a[i], marks_b[j])
                 if 2 * d / (na[i] + nb[j] + d) <= most + SLACK:
                     found.append(sorted((ids_a[i].as_py(), ids_b[j].as_py())))
         if not found:
@@ -281,12 +322,10 @@ def links(docs: DataFrame, reps: DataFrame, marks: DataFrame, n: int, percent: i
     reps = open_rows.select("sig", "rep", "component").distinct()
     same = reps.groupBy("sig").agg(F.count("*").alias("k"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("h"), F.sum(F.hash("rep").cast("long")).alias("g"))
     reps = shared_table(reps.join(same.where("k > 1").groupBy("k", "h", "g").agg(F.min("sig").alias("sig")).select("sig"), "sig"), "representatives")
-    left, right = (reps.select("sig", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "component"))) for s in "ab")
-    pairs = left.join(right, "sig").where("rep_a < rep_b AND component_a <> component_b").select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v")).distinct()
     radius = open_rows.groupBy(F.col("rep").alias("doc_id")).agg(F.max("off").alias("radius"))
     wide = marks.drop("radius").join(radius, "doc_id")
     most = 1 - percent / 100
-    near = shared_table(possible(shared_table(pairs, "pairs"), wide, most), "near")
+    near = shared_table(near_representatives(reps, wide, most), "near")
     each = open_rows.select("rep", "doc_id", "size", "off").distinct().join(marks.select("doc_id", F.col("n_shingles").alias("size"), "bits"), ["doc_id", "size"])
     rest = shared_table(member_pairs(near, each, percent), "rest")
     rest = shared_table(compared(rest, docs, n, percent).where("similar").select("u", "v", "distance").distinct(), "rest-links")

@@ -144,7 +144,7 @@ def test_parity_bound():
     for _ in range(200):
         pool = rng.integers(0, 1 << 63, 400).astype(np.uint64) * np.uint64(2)
         a, b = (np.unique(rng.choice(pool, rng.integers(1, 390))) for _ in range(2))
-        assert jaccard_join.least_difference(jaccard_join.parity_bits(a), jaccard_join.parity_bits(b)) <= len(np.setxor1d(a, b))
+        assert jaccard_join.least_difference(*(jaccard_join.unpacked(jaccard_join.parity_bits(x)) for x in (a, b))) <= len(np.setxor1d(a, b))
 
 
 @pytest.mark.parametrize("size", [35, 4])
