@@ -13,13 +13,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-#: Entries kept in a worker's word table before it is emptied; a bound on memory, not on work.
-MEMO_WORDS = 400_000
 #: Rows up to which a side table is broadcast; beyond it the same work runs as a shuffled join.
 BROADCAST_ROWS = 1_000_000
 
@@ -80,19 +77,6 @@ def columns(batch: pa.RecordBatch) -> Iterator[tuple]:
         yield doc_id, text.as_py()
 
 
-class WordHashes(dict):
-    """Word bytes -> 64-bit hash, remembered for words met before."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> _S33)) * _M1
     h = (h ^ (h >> _S29)) * _M2

@@ -12,43 +12,33 @@ the bias. Without any usable label, or with one label only, the score of every t
 
 from __future__ import annotations
 
-from itertools import groupby
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_WORDS, WordHashes, columns, map_arrow, mix, ngrams, texts
+from .common import columns, map_arrow, mix, ngrams, texts, word_hashes
 from .labelled import fold, sample
 
 #: Places for features (a power of two), rows of the training sample, passages over it, and FTRL's parameters.
 PLACES, TRAIN_ROWS, EPOCHS = 1 << 20, 4000, 3
 ALPHA, BETA, L1, L2, SCALE = 0.5, 1.0, 0.002, 0.01, 16.0
 
-_hashes = WordHashes()
-
-
-class ShapeHashes(WordHashes):
-    """Word -> hash of its shape: capitals, other letters and digits as A, a and 0, other characters as they are, runs as one."""
-
-    def __missing__(self, word: bytes) -> int:
-        kinds = ("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word.decode(errors="replace"))
-        shape = "".join(k for k, _ in groupby(kinds))
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(shape.encode(), seed=1)
-        return value
+#: Each byte's kind: blanks as one blank, A-Z as A, other letters and all beyond ASCII as a, digits as 0, others as they are.
+KINDS = bytes(32 if b in b" \t\n\x0b\x0c\r" else 65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256))
 
 
-_shapes = ShapeHashes()
+def shape_hashes(text: bytes) -> np.ndarray:
+    """A hash of each word's shape: the kinds of its bytes, runs as one."""
+    kinds = np.frombuffer(text.translate(KINDS), np.uint8)
+    return word_hashes(kinds[np.flatnonzero(np.diff(kinds, prepend=0))].tobytes())
 
 
 def places(text: bytes | None) -> np.ndarray:
     """Places of all word and shape n-grams of a text, repeated ones included."""
-    words = (text or b"").split()
-    h, shape = _hashes.of(words), _shapes.of(words)
+    if not text:
+        return np.empty(0, np.int64)
+    h, shape = word_hashes(text), shape_hashes(text) + np.uint64(1)
     shape[1:][h[1:] == h[:-1]] ^= np.uint64(0x5851F42D4C957F2D)
     found = [mix(h), ngrams(h, 2), *(ngrams(shape, n) + np.uint64(n) for n in (1, 2, 3))]
     return (np.concatenate(found) & np.uint64(PLACES - 1)).astype(np.int64)
