@@ -1,17 +1,19 @@
 """Operator 4, benchmark decontamination: BM25 over an inverted index of test items, block-max WAND, overlap check.
 
 The index holds the test items, not the corpus: per term a list of (item, impact), the impact being the term's BM25
-weight in the item divided by the score of the item against itself, so that 1 means the whole item and one
-threshold suits short and long items. Postings lie in blocks, each with its largest impact.
+weight in the item divided by the score of the item against itself, so that 1 means the whole item. Postings lie
+in blocks, each with its largest impact. A passage cannot hold an item of more than PASSAGE words, so such an item is indexed as
+overlapping pieces of PASSAGE words, each divided by its own score. Where a piece stands unchanged, the last passage that begins
+at or before it and the next one hold all of its words together, so the better of them has half of its score at least.
 
 Every document is cut into overlapping passages, all of them queries. A passage is passed over at once if no item can
 reach the threshold in it by a first bound: the item's commonest terms give at most half of the threshold together and count as
 there, its other terms count where they are; the others run WAND: a pivot from the terms' maxima, refined by the maxima
 of the blocks that hold it, and full scoring only of items that can reach the threshold. All items above it
 are retrieved. For a retrieved pair the document's words around the passage must then hold enough of
-the item's question and of its answer, by word 3-grams.
+the whole item's question and of its answer, by word 3-grams. An item's score is that of its best piece.
 
-An item larger than any bound is no problem, but the index is broadcast, so items are dealt into shards of at most
+An item may be of any size, but the index is broadcast, so items are dealt into shards of at most
 SHARD_WORDS words, and the corpus is scanned once for each shard. Null and empty texts and items match nothing.
 Items without id or repeated with one id are items of their own. An empty benchmark gives no match.
 """
@@ -37,7 +39,7 @@ K1, B, BLOCK, THRESHOLD = 1.2, 0.75, 32, 0.4
 COMMON = 0.5
 #: Shares of the question's and the answer's 3-grams that must be there.
 QUESTION, ANSWER = 0.6, 0.6
-#: Words of all items in one broadcast index (some 100 bytes a word in a worker).
+#: Words of all items and pieces in one broadcast index (some 100 bytes a word in a worker).
 SHARD_WORDS = 500_000
 
 _TABLE = bytes.maketrans(bytes(range(65, 91)) + b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", bytes(range(97, 123)) + b" " * 32)
@@ -63,27 +65,36 @@ def grams(words: list[bytes]) -> set:
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if words else set()
 
 
+def pieces(n: int) -> list[tuple[int, int]]:
+    """Starts and ends of the pieces of an item of n words: the whole item up to PASSAGE words, else PASSAGE words every STRIDE and the last."""
+    return [(k, k + PASSAGE) for k in (*range(0, n - PASSAGE, STRIDE), n - PASSAGE)] if n > PASSAGE else [(0, n)]
+
+
 class Index:
-    """Inverted index of items: per term its postings (item, impact) by item, the largest impact of each block and of all."""
+    """Inverted index of items: per term its postings (piece, impact) by piece, the largest impact of each block and of all.
+
+    A term's rarity is counted over items, lengths over pieces; owner has the item of each piece.
+    """
 
     def __init__(self, items: list[tuple[int, bytes]], threshold: float = THRESHOLD):
         self.items = [(i, terms(t), *map(grams, question_and_answer(t))) for i, t in items if terms(t)]
-        counts = [Counter(w) for _, w, _, _ in self.items]
-        holding = Counter(t for c in counts for t in c)
-        mean = sum(len(w) for _, w, _, _ in self.items) / max(1, len(self.items))
+        holding = Counter(t for _, w, _, _ in self.items for t in set(w))
+        cut = [(i, w[a:b]) for i, (_, w, _, _) in enumerate(self.items) for a, b in pieces(len(w))]
+        self.owner = [i for i, _ in cut]
+        mean = sum(len(w) for _, w in cut) / max(1, len(cut))
         n = len(self.items)
         postings: dict[bytes, list[tuple[int, float]]] = {}
         impact: list[dict[bytes, float]] = []
-        for i, ((_, words, _, _), count) in enumerate(zip(self.items, counts, strict=True)):
-            weight = {t: math.log(1 + (n - holding[t] + 0.5) / (holding[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(words) / mean)) for t, f in count.items()}
+        for i, (_, words) in enumerate(cut):
+            weight = {t: math.log(1 + (n - holding[t] + 0.5) / (holding[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(words) / mean)) for t, f in Counter(words).items()}
             whole = sum(weight.values())
             impact.append({t: w / whole for t, w in weight.items()})
             for t, w in impact[-1].items():
                 postings.setdefault(t, []).append((i, w))
         self.term = {t: k for k, t in enumerate(postings)}
-        # An item's commonest terms may give COMMON of the threshold together; the rest must come from its other terms,
+        # A piece's commonest terms may give COMMON of the threshold together; the rest must come from its other terms,
         # whose postings are kept a second time, as flat arrays by term.
-        self.rest = np.zeros(n)
+        self.rest = np.zeros(len(cut))
         needed: list[list[tuple[int, float]]] = [[] for _ in postings]
         for i, own in enumerate(impact):
             common = 0.0
@@ -102,7 +113,7 @@ class Index:
         self.longest = max((len(w) for _, w, _, _ in self.items), default=0)
 
     def likely(self, ids: np.ndarray) -> np.ndarray:
-        """Numbers of the passages of a text (term numbers of its words) in which needed terms may lift an item to the threshold."""
+        """Numbers of the passages of a text (term numbers of its words) in which needed terms may lift a piece to the threshold."""
         count = self.first[ids + 1] - self.first[ids]
         at = np.flatnonzero(count)
         if not len(at):
@@ -119,9 +130,9 @@ class Index:
         return np.unique(found[sums >= self.rest[found % len(self.rest)]] // len(self.rest))
 
     def search(self, query: list[int], threshold: float) -> list[tuple[int, float]]:
-        """All (item, score) with a score of at least threshold, by block-max WAND."""
-        end, slack = len(self.items), 1e-9
-        lists = [[self.postings[t][0][0], t, 0] for t in query]  # item it stands at, term, place
+        """All (piece, score) with a score of at least threshold, by block-max WAND."""
+        end, slack = len(self.owner), 1e-9
+        lists = [[self.postings[t][0][0], t, 0] for t in query]  # piece it stands at, term, place
         found = []
 
         def seek(x: list, item: int) -> None:
@@ -170,36 +181,47 @@ def passages(n: int) -> np.ndarray:
     return np.arange(0, max(1, n - PASSAGE + STRIDE), STRIDE) if n else np.empty(0, np.int64)
 
 
+def share(part: set, words: list[bytes]) -> float:
+    """Share of the n-grams of a part that the words hold."""
+    if not part:
+        return 1.0
+    n = len(next(iter(part)))
+    return len(part & {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}) / len(part)
+
+
 def matches_in(words: list[bytes], index: Index, threshold: float = THRESHOLD) -> list[tuple[int, float, float, float, int]]:
     """(place of the item in the index, best score, question share, answer share, first word of the best passage), verified."""
     other = len(index.term)
     ids = np.fromiter((index.term.get(w, other) for w in words), np.int64, len(words))
-    best: dict[int, tuple[float, float, float, int]] = {}
+    scores: dict[int, dict[int, float]] = {}  # per item its passages
     for passage in index.likely(ids).tolist():
         start = passage * STRIDE
-        end = min(start + PASSAGE, len(words))
-        query = np.unique(ids[start:end])
-        for item, score in index.search(query[query < other].tolist(), threshold):
-            if item in best and best[item][0] >= score:
-                continue
-            _, own, question, answer = index.items[item]
-            around = words[max(0, start - len(own)) : end + len(own)]
-            shares = []
-            for part in (question, answer):
-                n = len(next(iter(part))) if part else 3
-                there = {tuple(around[i : i + n]) for i in range(len(around) - n + 1)} if part else set()
-                shares.append(len(part & there) / len(part) if part else 1.0)
-            if shares[0] >= QUESTION and shares[1] >= ANSWER:
-                best[item] = (score, *shares, int(start))
-    return [(i, *v) for i, v in sorted(best.items())]
+        query = np.unique(ids[start : start + PASSAGE])
+        for piece, score in index.search(query[query < other].tolist(), threshold):
+            own = scores.setdefault(index.owner[piece], {})
+            own[start] = max(score, own.get(start, 0.0))
+    found = []
+    for item, own in sorted(scores.items()):
+        _, text, question, answer = index.items[item]
+        reach = len(text)
+        first, last = max(0, min(own) - reach), min(len(words), max(own) + PASSAGE + reach)
+        if len(own) * (PASSAGE + 2 * reach) > last - first and (share(question, words[first:last]) < QUESTION or share(answer, words[first:last]) < ANSWER):
+            continue  # all passages together do not hold enough
+        for start, score in sorted(own.items(), key=lambda x: (-x[1], x[0])):
+            around = words[max(0, start - reach) : start + PASSAGE + reach]
+            held = share(question, around), share(answer, around)
+            if held[0] >= QUESTION and held[1] >= ANSWER:
+                found.append((item, score, *held, start))
+                break
+    return found
 
 
 def item_shards(benchmark: DataFrame, shard_words: int = SHARD_WORDS) -> Iterator[list[tuple[int, bytes]]]:
-    """Test items in the order of their ids, in lists of at most about shard_words words."""
+    """Test items in the order of their ids, in lists of at most about shard_words words, overlaps counted."""
     shard, size = [], 0
     for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).orderBy("item_id", "text").toLocalIterator():
         if r[1]:
-            n = len(r[1].split())
+            n = sum(b - a for a, b in pieces(len(terms(r[1].encode()))))
             if shard and size + n > shard_words:
                 yield shard
                 shard, size = [], 0

@@ -205,6 +205,22 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.contaminated(docs, benchmark.limit(0)).count() == decontamination.contaminated(empty, benchmark).count() == 0
 
 
+@pytest.mark.parametrize("size", [65, 150, 200, 1000])
+def test_decontamination_of_long_items(spark, size):
+    rng = random.Random(size)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(3000)]
+    line = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(k, f"{line(size - 10)}\n{line(10)}") for k in range(4)] + [(9, line(20))]
+    body = items[0][1].replace("\n", " ").split()
+    swapped = " ".join("x" if k % 12 == 0 else w for k, w in enumerate(body))  # three of twelve 3-grams go
+    texts = [f"{line(at)} {items[0][1]} {line(at)}" for at in (0, 1, 16, 31, 500)] + [swapped, " ".join(body[: size // 3]), line(2000), f"{line(7)} {items[4][1]}"]
+    docs = spark.createDataFrame([(k, t, None, None, None, None) for k, t in enumerate(texts)], SCHEMA)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = sorted((r.doc_id, r.item_id) for r in decontamination.contaminated(docs, benchmark).collect())
+    assert found == [(k, 0) for k in range(6)] + [(8, 9)]
+    assert sorted(r.doc_id for r in decontamination.clean_documents(docs, benchmark).collect()) == [6, 7]
+
+
 def test_search_finds_all_above_the_threshold():
     rng = random.Random(4)
     index = decontamination.Index([(k, " ".join(rng.choice(WORDS) for _ in range(12)).encode()) for k in range(80)])
