@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import BROADCAST_ROWS, shared_table, texts
+
+#: Parts of a label's rows that are cut to size before they meet in one task.
+SPREAD = 16
 
 
 def fold(parts: int):
@@ -18,16 +21,18 @@ def sample(docs: DataFrame, labels: DataFrame, learnable, rows: int, per_class:
 
     The sample is the rows with the least hash of their id: the same for the same tables, whatever
     their order or partitions. Only ids are sorted; texts are then read for the chosen ids. labels: doc_id and label.
-    Labels that are null, or given to one id in two ways, are not used.
+    Labels that are null, or given to one id in two ways, are not used. With per_class every label has its rows, however
+    many labels there are.
     """
     labels = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").where(learnable)
     labels = labels.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
     draw = labels.withColumn("draw", F.xxhash64("doc_id"))
-    kinds = [r[0] for r in labels.select("label").distinct().orderBy("label").limit(100).collect()] if per_class else [None]
-    chosen = None
-    for kind in kinds:
-        part = (draw if kind is None else draw.where(F.col("label") == kind)).orderBy("draw", "doc_id").limit(rows).select("doc_id", "label")
-        chosen = part if chosen is None else chosen.union(part)
-    if chosen is None:
-        chosen = draw.select("doc_id", "label").limit(0)
-    return texts(docs).where("doc_id IS NOT NULL").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id")
+    if per_class:
+        for keys in (["label", F.col("draw").bitwiseAND(SPREAD - 1)], ["label"]):
+            least = F.row_number().over(Window.partitionBy(*keys).orderBy("draw", "doc_id"))
+            draw = draw.withColumn("place", least).where(F.col("place") <= rows).drop("place")
+        chosen = shared_table(draw.select("doc_id", "label"), "sample")
+        chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
+    else:
+        chosen = F.broadcast(draw.orderBy("draw", "doc_id").limit(rows).select("doc_id", "label"))
+    return texts(docs).where("doc_id IS NOT NULL").join(chosen, "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id")

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -112,7 +113,7 @@ def families_of(profiles: dict[str, np.ndarray]) -> list[list[str]]:
 class Model:
     """Families, their machines, and the machine of each pair of languages in a family."""
 
-    def __init__(self, rows: list[tuple[str | None, str]]):
+    def __init__(self, rows: Iterable[tuple[str | None, str]]):
         rows = [(features(t), lang) for t, lang in rows if t and LETTER.search(t)]
         names = sorted({lang for _, lang in rows})
         profiles = {}
@@ -189,7 +190,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """Learns from text and lang of documents outside the held-out fold (crc32 of the id, modulo 4, equal to 2) only."""
     named = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("label"))
     rows = sample(docs, named, fold(4) != 2, train_rows, per_class=True)
-    return Model([(r.text, r.label) for r in rows.toLocalIterator()])
+    return Model((r.text, r.label) for r in rows.toLocalIterator())
 
 
 def language_id(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:

@@ -5,8 +5,9 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from sparkhaul.llm import decontamination, exact_dedup, jaccard_join, language_id, line_dedup, packing, quality, substring_dedup, token_counts, toxicity
+from sparkhaul.llm import decontamination, exact_dedup, jaccard_join, labelled, language_id, line_dedup, packing, quality, substring_dedup, token_counts, toxicity
 
 P = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, lang string, draw string, sig int, kept boolean"
@@ -253,6 +254,31 @@ def test_classifiers_learn_and_handle_odd_rows(spark, empty):
         assert found.count() == 0
 
 
+def test_every_label_is_sampled(spark):
+    """130 rare labels come before the two that have nearly all rows."""
+    rare = [(k, f"x{k}", f"a{k:03}") for k in range(130)]
+    docs = spark.createDataFrame([*rare, *((k, f"y{k}", "zz" if k % 3 else "zy") for k in range(130, 1000))], "doc_id long, text string, label string").repartition(5)
+    named = docs.select("doc_id", "label")
+    found = labelled.sample(docs, named, F.lit(True), 20, per_class=True).collect()
+    own = {r.doc_id: (r.text, r.label) for r in docs.withColumn("draw", F.xxhash64("doc_id")).orderBy("draw").collect()}
+    expected: dict = {}
+    for i, (_, label) in own.items():
+        expected.setdefault(label, []).append(i)
+    assert {r.doc_id for r in found} == {i for ids in expected.values() for i in ids[:20]} and len(found) == 170
+    assert all((r.text, r.label) == own[r.doc_id] for r in found)
+
+
+def test_language_after_many_labels_is_predicted(spark):
+    rng = random.Random(8)
+    spelled = ["".join(rng.choice("bdfgk") + rng.choice("aeiou") for _ in range(3)) for _ in range(60)]
+    text = lambda part: " ".join(rng.choice(part) for _ in range(20))
+    junk = [(k, " ".join(chr(0x4E00 + 50 * k + j) for j in range(5)), f"a{k:03}") for k in range(150)]
+    rows = [(k, text(spelled[:30] if k % 2 else spelled[30:]), "zy" if k % 2 else "zz") for k in range(200, 300)]
+    docs = spark.createDataFrame([*junk, *rows], "doc_id long, text string, lang string")
+    langs = {r.doc_id: r.lang_pred for r in language_id.language_id(docs, 20).collect()}
+    assert sum(langs[i] == lang for i, _, lang in rows) >= 0.9 * len(rows)
+
+
 def test_registered_queries_equal_sql(spark):
     from oracle import connect, same
 
