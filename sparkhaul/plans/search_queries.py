@@ -95,6 +95,15 @@ def _(spark, sf):
     return out.where(F.col("edits") <= 0.35 * F.length("name")).select("name", "candidate", "edits", (F.col("second") - F.col("edits")).alias("margin"))
 
 
+@query("j24_fuzzy_best_of_all", """WITH n AS (SELECT DISTINCT p_name AS name FROM part),
+d AS (SELECT a.name, b.name AS candidate, levenshtein(a.name, b.name) AS edits, row_number() OVER (PARTITION BY a.name ORDER BY levenshtein(a.name, b.name), b.name) AS r FROM n a JOIN n b ON a.name <> b.name)
+SELECT a.name, a.candidate, a.edits FROM d a LEFT JOIN d b ON a.name = b.name AND b.r = 2 WHERE a.r = 1 AND length(a.name) >= 8 AND a.edits <= 0.35 * length(a.name) AND coalesce(b.edits - a.edits, 3) >= 3
+AND array_to_string(regexp_extract_all(a.name, '[0-9]+'), ' ') = array_to_string(regexp_extract_all(a.candidate, '[0-9]+'), ' ')""")
+def _(spark, sf):
+    names = load(spark, sf, "part")
+    return rel.fuzzy_best(names.select(F.col("p_name").alias("name")), names.select(F.col("p_name").alias("candidate")))
+
+
 @query("j25_token_containment", f"""SELECT a.p_partkey AS a, b.p_partkey AS b FROM (SELECT p_partkey, p_brand, p_size, {_words('p_name')} AS w FROM part) a JOIN (SELECT p_partkey, p_brand, p_size, {_words('p_name')} AS w FROM part) b
 ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey <> b.p_partkey AND list_bool_and(list_transform(a.w, lambda x: list_bool_or(list_transform(b.w, lambda y: x = y OR (length(x) >= 5 AND levenshtein(x, y) <= 1)))))""")
 def _(spark, sf):
@@ -113,6 +122,15 @@ def _(spark, sf):
     return near.select(F.col("p_partkey").alias("a"), "b")
 
 
+@query("j26_token_overlap_both_ways", f"""SELECT a.p_partkey AS a, b.p_partkey AS b FROM (SELECT p_partkey, p_brand, p_size, {_words('p_name')} AS w FROM part) a JOIN (SELECT p_partkey, p_brand, p_size, {_words('p_name')} AS w FROM part) b
+ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey <> b.p_partkey AND len(list_filter(a.w, lambda x: list_contains(b.w, x))) / len(a.w) >= 0.6""")
+def _(spark, sf):
+    p = load(spark, sf, "part").select("p_partkey", "p_brand", "p_size", t.words("p_name").alias("w"))
+    q = p.select("p_brand", "p_size", F.col("p_partkey").alias("b"), F.col("w").alias("w_b"))
+    near = p.join(q, ["p_brand", "p_size"]).where((F.col("p_partkey") != F.col("b")) & (t.overlap(F.col("w"), F.col("w_b")) >= 0.6))
+    return near.select(F.col("p_partkey").alias("a"), "b")
+
+
 @query("t03_latest_with_floor", "WITH r AS (SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) SELECT o_orderkey FROM r WHERE r <= 500 OR o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 7 DAY")
 def _(spark, sf):
     o = load(spark, sf, "orders")

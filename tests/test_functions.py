@@ -1,4 +1,6 @@
 import math
+import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -37,3 +39,33 @@ def test_replayed_merge_changes_nothing(spark):
     once = rel.merge_greatest(old, new, ["k"], ["n"])
     assert sorted(map(tuple, once.collect())) == [("a", 3), ("b", 1), ("c", 5)]
     assert sorted(map(tuple, rel.merge_greatest(once, new, ["k"], ["n"]).collect())) == sorted(map(tuple, once.collect()))
+
+
+def test_fuzzy_best_sees_every_name(spark):
+    known = ["rua das laranjeiras", "avenida jorge arruda", "avenida jorge arrufa", "rua 39 de novembro", "praca do sol", "rua sete"]
+    wrong = ["xya das laranjeiras", "avenida jorge arrula", "rua 38 de novembro", "raca dosol", "rua set", "praca do sol"]
+    names, candidates = spark.createDataFrame([(w,) for w in wrong], "name string"), spark.createDataFrame([(k,) for k in known], "candidate string")
+    found = sorted(map(tuple, rel.fuzzy_best(names, candidates).collect()))
+    assert found == [("raca dosol", "praca do sol", 2), ("xya das laranjeiras", "rua das laranjeiras", 2)]
+
+
+def test_fuzzy_best_equals_all_pairs(spark):
+    rng = random.Random(3)
+    known = sorted({"".join(rng.choice("abcd1") for _ in range(rng.randint(6, 24))) for _ in range(60)})
+    wrong = [*known[:10], *("".join(c for c in k if rng.random() > 0.12) + rng.choice(["", "a", "bc"]) for k in known)]
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            row, last = [i + 1], row
+            for j, y in enumerate(b):
+                row.append(min(row[j] + 1, last[j + 1] + 1, last[j] + (x != y)))
+        return row[-1]
+
+    expected = set()
+    for w in set(wrong):
+        (first, best), (second, _) = sorted((edits(w, k), k) for k in known if k != w)[:2]
+        if len(w) >= 8 and 100 * first <= 35 * len(w) and second - first >= 3 and re.findall("[0-9]+", w) == re.findall("[0-9]+", best):
+            expected.add((w, best, first))
+    names, candidates = spark.createDataFrame([(w,) for w in wrong], "name string"), spark.createDataFrame([(k,) for k in known], "candidate string")
+    assert len(expected) >= 10 and {tuple(r) for r in rel.fuzzy_best(names, candidates).collect()} == expected
