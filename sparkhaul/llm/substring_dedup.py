@@ -1,6 +1,6 @@
-"""Operator 9, substring dedup: a relative Lempel-Ziv parse against every indexed reference block.
+"""Operator 9, substring dedup: repeated windows are counted by hash, in place of a relative Lempel-Ziv parse (why: see README).
 
-The reference is the whole corpus. Each document is cut at content-defined anchors: in every window of `words`
+The reference is the whole corpus; a factor below is a run of windows that occur again, without source or offset. Each document is cut at content-defined anchors: in every window of `words`
 consecutive words one q-gram (q = half a window) has the least hash, and windows that share their anchor make
 one *phrase*. Equal text is cut equally wherever it stands, so a phrase is the unit in which blocks are
 indexed and factors are copied.
