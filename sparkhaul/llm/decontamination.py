@@ -13,9 +13,15 @@ of the blocks that hold it, and full scoring only of items that can reach the th
 are retrieved. For a retrieved pair the document's words around the passage must then hold enough of
 the whole item's question and of its answer, by word 3-grams. An item's score is that of its best piece.
 
-An item may be of any size, but the index is broadcast, so items are dealt into shards of at most
-SHARD_WORDS words, and the corpus is scanned once for each shard. Null and empty texts and items match nothing.
-Items without id or repeated with one id are items of their own. An empty benchmark gives no match.
+Items are dealt into shards of about SHARD_WORDS words. How many items hold a term, how many items there are and how long pieces
+are on average is counted once over the whole benchmark by Spark, so scores do not depend on the deal. A task builds the
+index of each shard from its items; one at a time is broadcast, and the corpus is scanned once for each shard.
+
+Null and empty texts and items match nothing. Items without id or repeated with one id are items of their own; so are
+documents. A document gives one row for each item it holds, of its passages the one with the best score, of equal ones the
+first. A long text is searched in parts that overlap by a passage and the longest item on either side. Columns other than
+doc_id, item_id and text are ignored by contaminated and pass through untouched in clean_documents, also those named like the new
+ones. An empty benchmark gives no match, an empty table of documents no rows.
 """
 
 from __future__ import annotations
@@ -26,10 +32,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
-from .common import columns, map_arrow, texts
+from .common import blocks, columns, map_arrow, shared_table, texts
 
 #: Words of a passage and between the starts of passages.
 PASSAGE, STRIDE = 64, 32
@@ -39,8 +48,8 @@ K1, B, BLOCK, THRESHOLD = 1.2, 0.75, 32, 0.4
 COMMON = 0.5
 #: Shares of the question's and the answer's 3-grams that must be there.
 QUESTION, ANSWER = 0.6, 0.6
-#: Words of all items and pieces in one broadcast index (some 100 bytes a word in a worker).
-SHARD_WORDS = 500_000
+#: Words of all items and pieces in one broadcast index (some 100 bytes a word in a worker), and words of a text that are searched at once.
+SHARD_WORDS, PART_WORDS = 500_000, 200_000
 
 _TABLE = bytes.maketrans(bytes(range(65, 91)) + b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", bytes(range(97, 123)) + b" " * 32)
 
@@ -76,17 +85,20 @@ class Index:
     A term's rarity is counted over items, lengths over pieces; owner has the item of each piece.
     """
 
-    def __init__(self, items: list[tuple[int, bytes]], threshold: float = THRESHOLD):
+    def __init__(self, items: list[tuple[int, bytes]], threshold: float = THRESHOLD, counted: tuple[dict[bytes, int], int, float] | None = None):
+        """counted: how many items hold each term, how many items there are, and the mean length of a piece; else those of items."""
         self.items = [(i, terms(t), *map(grams, question_and_answer(t))) for i, t in items if terms(t)]
-        holding = Counter(t for _, w, _, _ in self.items for t in set(w))
         cut = [(i, w[a:b]) for i, (_, w, _, _) in enumerate(self.items) for a, b in pieces(len(w))]
         self.owner = [i for i, _ in cut]
-        mean = sum(len(w) for _, w in cut) / max(1, len(cut))
-        n = len(self.items)
+        if counted is None:
+            holding = Counter(t for _, w, _, _ in self.items for t in set(w))
+            counted = holding, len(self.items), sum(len(w) for _, w in cut) / max(1, len(cut))
+        holding, n, mean = counted
         postings: dict[bytes, list[tuple[int, float]]] = {}
         impact: list[dict[bytes, float]] = []
         for i, (_, words) in enumerate(cut):
-            weight = {t: math.log(1 + (n - holding[t] + 0.5) / (holding[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(words) / mean)) for t, f in Counter(words).items()}
+            norm = K1 * (1 - B + B * len(words) / mean)
+            weight = {t: math.log(1 + (n - holding[t] + 0.5) / (holding[t] + 0.5)) * f * (K1 + 1) / (f + norm) for t, f in Counter(words).items()}
             whole = sum(weight.values())
             impact.append({t: w / whole for t, w in weight.items()})
             for t, w in impact[-1].items():
@@ -122,7 +134,7 @@ class Index:
         posting = np.repeat(self.first[ids[at]] - np.cumsum(count) + count, count) + np.arange(count.sum())
         item, impact, last = self.needed_item[posting], self.needed_impact[posting], np.repeat(at // STRIDE, count)
         n = len(passages(len(ids)))
-        held = [last - k for k in range(PASSAGE // STRIDE)]  # passages that have a word: the last that begins before it, and those before
+        held = [last - k for k in range(PASSAGE // STRIDE)]  # passages that have a word: the last that begins before it, and others
         keys = np.concatenate([p * len(self.rest) + item for p in held])
         good = np.concatenate([(p >= 0) & (p < n) for p in held])
         found, place = np.unique(keys[good], return_inverse=True)
@@ -189,13 +201,18 @@ def share(part: set, words: list[bytes]) -> float:
     return len(part & {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}) / len(part)
 
 
-def matches_in(words: list[bytes], index: Index, threshold: float = THRESHOLD) -> list[tuple[int, float, float, float, int]]:
-    """(place of the item in the index, best score, question share, answer share, first word of the best passage), verified."""
+def matches_in(words: list[bytes], index: Index, threshold: float = THRESHOLD, low: int = 0, high: int | None = None) -> list[tuple]:
+    """(place of the item in the index, best score, question share, answer share, first word of the best passage), verified.
+
+    Only passages that begin from word `low` on and before word `high` are queries; the words around them are there for the check.
+    """
     other = len(index.term)
     ids = np.fromiter((index.term.get(w, other) for w in words), np.int64, len(words))
     scores: dict[int, dict[int, float]] = {}  # per item its passages
     for passage in index.likely(ids).tolist():
         start = passage * STRIDE
+        if start < low or (high is not None and start >= high):
+            continue
         query = np.unique(ids[start : start + PASSAGE])
         for piece, score in index.search(query[query < other].tolist(), threshold):
             own = scores.setdefault(index.owner[piece], {})
@@ -205,7 +222,8 @@ def matches_in(words: list[bytes], index: Index, threshold: float = THRESHOLD) -
         _, text, question, answer = index.items[item]
         reach = len(text)
         first, last = max(0, min(own) - reach), min(len(words), max(own) + PASSAGE + reach)
-        if len(own) * (PASSAGE + 2 * reach) > last - first and (share(question, words[first:last]) < QUESTION or share(answer, words[first:last]) < ANSWER):
+        together = words[first:last]
+        if len(own) * (PASSAGE + 2 * reach) > last - first and (share(question, together) < QUESTION or share(answer, together) < ANSWER):
             continue  # all passages together do not hold enough
         for start, score in sorted(own.items(), key=lambda x: (-x[1], x[0])):
             around = words[max(0, start - reach) : start + PASSAGE + reach]
@@ -216,53 +234,114 @@ def matches_in(words: list[bytes], index: Index, threshold: float = THRESHOLD) -
     return found
 
 
-def item_shards(benchmark: DataFrame, shard_words: int = SHARD_WORDS) -> Iterator[list[tuple[int, bytes]]]:
-    """Test items in the order of their ids, in lists of at most about shard_words words, overlaps counted."""
-    shard, size = [], 0
-    for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).orderBy("item_id", "text").toLocalIterator():
-        if r[1]:
-            n = sum(b - a for a, b in pieces(len(terms(r[1].encode()))))
-            if shard and size + n > shard_words:
-                yield shard
-                shard, size = [], 0
-            shard.append((r[0], r[1].encode()))
-            size += n
-    yield shard
+def parts(text: bytes, reach: int) -> Iterator[tuple[list[bytes], int, int, int | None]]:
+    """Words of a text in parts: the words, the place of the first (a multiple of STRIDE), and from and before which of them passages begin.
+
+    Around each passage that begins there, `reach` words on either side are in the part, or all that the text has.
+    """
+    words, base, low = [], 0, 0
+    for block in blocks(text):
+        words += terms(block)
+        ready = (base + len(words) - PASSAGE - reach) // STRIDE * STRIDE
+        if ready - low >= PART_WORDS:
+            yield words, base, low - base, ready - base
+            low, keep = ready, max(base, (ready - reach) // STRIDE * STRIDE)
+            words, base = words[keep - base :], keep
+    yield words, base, low - base, None
+
+
+def matches(text: bytes | None, index: Index, threshold: float = THRESHOLD) -> list[tuple]:
+    """What matches_in() gives for all words of a text."""
+    best: dict[int, tuple] = {}
+    for words, base, low, high in parts(text or b"", index.longest):
+        for item, score, question, answer, start in matches_in(words, index, threshold, low, high):
+            if item not in best or score > best[item][1]:
+                best[item] = item, score, question, answer, base + start
+    return [best[k] for k in sorted(best)]
+
+
+def indexes(benchmark: DataFrame, threshold: float, shard_words: int) -> Iterator[Index]:
+    """The index of each shard of the benchmark, one at a time on the driver."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+
+    def measured(batch: pa.RecordBatch) -> pa.RecordBatch:
+        cut = [[b - a for a, b in pieces(len(terms(t)))] for _, t in columns(batch)]
+        sizes = [pa.array(x, pa.int64()) for x in ([len(c) for c in cut], [sum(c) for c in cut])]
+        return pa.RecordBatch.from_arrays([*batch.columns, *sizes], [*batch.schema.names, "pieces", "words"])
+
+    items = map_arrow(items, measured, "item_id long, text string, pieces long, words long").where("words > 0")
+    items = shared_table(items.withColumn("number", F.monotonically_increasing_id()), "items")
+    n, n_pieces, n_words = items.agg(F.count("*"), F.sum("pieces"), F.sum("words")).first()
+    if not n:
+        yield Index([], threshold)
+        return
+    shards = -(-n_words // shard_words)
+    items = items.withColumn("shard", F.pmod(F.xxhash64("number"), F.lit(shards)))
+
+    def held(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [(shard, t) for shard, text in columns(batch) for t in set(terms(text))]
+        return pa.record_batch([pa.array([x for x, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.binary())], ["shard", "term"])
+
+    each = map_arrow(items.select("shard", "text"), held, "shard long, term binary").groupBy("shard", "term").agg(F.count("*").alias("own"))
+    each = shared_table(each, "terms")
+    counts = each.join(each.groupBy("term").agg(F.sum("own").alias("items")), "term").select("shard", "term", "items")
+
+    def build(key: tuple, own: pa.Table, counts: pa.Table) -> pa.Table:
+        own = own.sort_by("number")
+        holding = dict(zip(counts.column("term").to_pylist(), counts.column("items").to_pylist(), strict=True))
+        rows = zip(own.column("item_id").to_pylist(), (t.encode() for t in own.column("text").to_pylist()), strict=True)
+        index = Index(list(rows), threshold, (holding, n, n_words / n_pieces))
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "index": pa.array([cloudpickle.dumps(index)], pa.binary())})
+
+    built = items.groupBy("shard").cogroup(counts.groupBy("shard")).applyInArrow(build, "shard long, index binary")
+    built = shared_table(built, "indexes")
+    for shard in range(shards):
+        for row in built.where(F.col("shard") == shard).select("index").collect():  # one shard
+            yield cloudpickle.loads(row[0])
+
+
+SCHEMA = "doc_id long, item_id long, score double, question_share double, answer_share double, first_word long"
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, shard_words: int = SHARD_WORDS) -> DataFrame:
     """doc_id, item_id, score, question_share, answer_share, first_word: every verified match of a document and an item."""
-    docs, out = texts(docs), None
-    names = ["doc_id", "item_id", "score", "question_share", "answer_share", "first_word"]
-    schema = "doc_id long, item_id long, score double, question_share double, answer_share double, first_word long"
-    for shard in item_shards(benchmark, shard_words):
-        shared = docs.sparkSession.sparkContext.broadcast(Index(shard, threshold))
+    docs, arrow = texts(docs), to_arrow_schema(_parse_datatype_string(SCHEMA))
 
-        def match(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch | None:
-            index = shared.value
-            rows = [(doc_id, index.items[m[0]][0], *m[1:]) for doc_id, text in columns(batch) for m in matches_in(terms(text), index, threshold)]
-            if rows:
-                c = list(zip(*rows, strict=True))
-                return pa.record_batch([pa.array(x, t) for x, t in zip(c, (pa.int64(), pa.int64(), *[pa.float64()] * 3, pa.int64()), strict=True)], names)
-            return None
+    def scanned(index: Index) -> tuple[DataFrame, Broadcast]:
+        shared = docs.sparkSession.sparkContext.broadcast(index)
 
-        part = map_arrow(docs, match, schema)
+        def match(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            index = shared.value
+            rows = [(doc_id, index.items[m[0]][0], *m[1:]) for doc_id, text in columns(batch) for m in matches(text, index, threshold)]
+            if not rows:
+                return None
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
+        return map_arrow(docs, match, SCHEMA), shared
+
+    out, shared = None, None
+    for index in indexes(benchmark, threshold, shard_words):
+        if shared is not None:  # the scan before is written, and its index goes
+            out = shared_table(out, "matches")
+            shared.destroy()
+        part, shared = scanned(index)
         out = part if out is None else out.union(part)
     return out
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """The whole rows of docs that match no test item, decided in place: nothing but a scan. Takes one index shard at a time."""
-    schema = docs.schema
-    place = [docs.columns.index("text")]
-    out = docs
-    threshold = settings.get("threshold", THRESHOLD)
-    for shard in item_shards(benchmark, settings.get("shard_words", SHARD_WORDS)):
-        shared = docs.sparkSession.sparkContext.broadcast(Index(shard, threshold))
+def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """The whole rows of docs that match no test item, decided in place: nothing but a scan for each index shard."""
+    schema, place = docs.schema, docs.columns.index("text")
+    out, shared = docs, None
+    for index in indexes(benchmark, threshold, shard_words):
+        if shared is not None:
+            out = shared_table(out, "clean")
+            shared.destroy()
+        shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def keep(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
-            texts_of = batch.column(place[0]).cast(pa.binary())
-            return batch.filter(pa.array([not matches_in(terms(t.as_py()), shared.value, threshold) for t in texts_of], pa.bool_()))
+            texts_of = batch.column(place).cast(pa.binary())
+            return batch.filter(pa.array([not matches(t.as_py(), shared.value, threshold) for t in texts_of], pa.bool_()))
 
         out = map_arrow(out, keep, schema)
     return out
