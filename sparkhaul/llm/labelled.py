@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, shared_table, texts
 
-#: Parts of a label's rows that are cut to size before they meet in one task.
-SPREAD = 16
+#: Parts of a label's rows that are cut to size before they meet in one task (a power of two).
+SPREAD = 128
 
 
 def fold(parts: int):
@@ -20,8 +20,8 @@ def sample(docs: DataFrame, labels: DataFrame, learnable, rows: int, per_class:
     """doc_id, text, label of at most `rows` labelled documents (of each label, if per_class) that satisfy `learnable`.
 
     The sample is the rows with the least hash of their id: the same for the same tables, whatever
-    their order or partitions. Only ids are sorted; texts are then read for the chosen ids. labels: doc_id and label.
-    Labels that are null, or given to one id in two ways, are not used. With per_class every label has its rows, however
+    their order or partitions. Only ids are sorted; texts are then read for the chosen ids, of several texts of one id the
+    least. labels: doc_id and label. Labels that are null, or given to one id in two ways, are not used. With per_class every label has its rows, however
     many labels there are.
     """
     labels = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").where(learnable)
@@ -35,4 +35,5 @@ def sample(docs: DataFrame, labels: DataFrame, learnable, rows: int, per_class:
         chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
     else:
         chosen = F.broadcast(draw.orderBy("draw", "doc_id").limit(rows).select("doc_id", "label"))
-    return texts(docs).where("doc_id IS NOT NULL").join(chosen, "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id")
+    found = texts(docs).where("doc_id IS NOT NULL").join(chosen, "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label").orderBy("doc_id")

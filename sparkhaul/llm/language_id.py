@@ -4,13 +4,19 @@ A word's features are its character 1- to 4-grams with word ends marked, hashed
 linear in the sum of the word vectors divided by the number of words, so each distinct word is turned into
 its decision values once per worker, and a document is the mean over its words.
 
-Families are learned, not given: two languages whose mean profiles are each other's nearest make a family. Level one separates families by one-versus-rest machines; level two has a machine for each pair of
-languages of a family, and the language with most wins is predicted (ties by the sum of margins, then by name).
-Machines are trained by dual coordinate descent on at most TRAIN_ROWS documents of each language.
+Families are learned, not given: languages are clustered by the cosine of their mean profiles, each less the mean of all.
+The two clusters with the largest mean cosine between their languages are joined, again and again, while it is above LIKENESS (above 0:
+more alike than languages are on average) and the family stays within MOST_LANGUAGES. Level one separates families by
+one-versus-rest machines; level two has a machine for each pair of languages of a family, and the language with most
+wins is predicted (ties by the sum of margins, then by name). Machines are trained by dual coordinate descent on at
+most TRAIN_ROWS documents of each language.
 
 Score is the least probability (logistic of a margin) along the path, of family and language. Texts that are null
 or have no letter get `und` with score 0; so does every text if nothing was learned. With one learned language
-all other texts get it with score 1.
+all other texts get it with score 1. Equal texts get equal predictions; rows repeated with one id are predicted each, of several
+texts with one id and one language the least is learned from, and rows without id are predicted and never learned
+from. A long text is taken in blocks of words. Columns other than doc_id, text and lang are ignored, also those named
+like the new ones. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, texts
+from .common import blocks, map_arrow, texts
 from .labelled import fold, sample
 
-#: Places for n-grams, longest n-gram, documents of each language to learn from, words whose values a worker keeps.
-PLACES, LONGEST, TRAIN_ROWS, MEMO_WORDS = 1 << 14, 4, 400, 200_000
+#: Places for n-grams, longest n-gram, documents of each language to learn from, decision values of words that a worker keeps.
+PLACES, LONGEST, TRAIN_ROWS, MEMO_VALUES = 1 << 14, 4, 400, 2_000_000
+#: Least mean cosine at which clusters of languages are joined, and most languages in a family.
+LIKENESS, MOST_LANGUAGES = 0.0, 12
 #: Words taken at once, cost of an error, passes over the sample.
 BLOCK_WORDS, COST, PASSES = 20_000, 8.0, 8
 
@@ -100,14 +108,27 @@ def machine(rows: list[tuple[np.ndarray, np.ndarray]], signs: np.ndarray) -> np.
     return w
 
 
-def families_of(profiles: dict[str, np.ndarray]) -> list[list[str]]:
-    """Languages that are each other's nearest, by the cosine of their mean profiles less the mean of all, make a family."""
+def families_of(profiles: dict[str, np.ndarray]) -> list[tuple[str, ...]]:
+    """Average-linkage clusters of languages by the cosine of their mean profiles less the mean of all."""
     names = sorted(profiles)
-    common = sum(profiles.values()) / max(1, len(profiles))
-    unit = np.array([(profiles[n] - common) / (np.linalg.norm(profiles[n] - common) or 1.0) for n in names]).reshape(len(names), PLACES)
-    cosine = unit @ unit.T - 2 * np.eye(len(names))
-    nearest = cosine.argmax(axis=1) if len(names) > 1 else np.zeros(len(names), int)
-    return sorted({tuple(sorted({names[i], names[nearest[i]]})) if nearest[nearest[i]] == i else (names[i],) for i in range(len(names))})
+    if not names:
+        return []
+    common = sum(profiles.values()) / len(profiles)
+    unit = np.array([(profiles[n] - common) / (np.linalg.norm(profiles[n] - common) or 1.0) for n in names])
+    sums = unit @ unit.T  # of cosines between the languages of two clusters
+    clusters = [[k] for k in range(len(names))]
+    while len(clusters) > 1:
+        sizes = np.array([len(c) for c in clusters])
+        mean = sums / np.outer(sizes, sizes)
+        mean[(sizes[:, None] + sizes > MOST_LANGUAGES) | np.eye(len(clusters), dtype=bool)] = -2
+        i, j = sorted(np.unravel_index(np.argmax(mean), mean.shape))
+        if mean[i, j] <= LIKENESS:
+            break
+        clusters[i] += clusters.pop(j)
+        sums[i] += sums[j]
+        sums[:, i] += sums[:, j]
+        sums = np.delete(np.delete(sums, j, 0), j, 1)
+    return sorted(tuple(names[k] for k in sorted(c)) for c in clusters)
 
 
 class Model:
@@ -139,34 +160,37 @@ class Model:
         self.weights, self.bias = stacked[:, :-1].T.copy(), stacked[:, -1]
         self.words: dict[str, int] = {}
         self.values = np.zeros((1024, len(stacked)))
+        self.most_words = max(BLOCK_WORDS, MEMO_VALUES // max(1, len(stacked)))
 
     def places_of(self, words: list[str]) -> np.ndarray:
         """Rows of the words in the table of values, at most BLOCK_WORDS of them; new words are added."""
         new = list({w for w in words if w not in self.words})
-        if len(self.words) + len(new) > MEMO_WORDS:
+        if len(self.words) + len(new) > self.most_words:
             self.words.clear()
             new = list(set(words))
-        if new:
-            places, own = gram_places(new)
+        step = max(1, 40_000 // max(1, self.values.shape[1]))
+        for part in (new[k : k + step] for k in range(0, len(new), step)):
+            places, own = gram_places(part)
             first = len(self.words)
-            while first + len(new) > len(self.values):
+            while first + len(part) > len(self.values):
                 self.values = np.concatenate([self.values, np.zeros_like(self.values)])
             ends = np.cumsum(own)
             sums = np.zeros((len(places) + 1, self.values.shape[1]))
             np.cumsum(self.weights[places], axis=0, out=sums[1:])
-            self.values[first : first + len(new)] = sums[ends] - sums[ends - own]
-            self.words.update(zip(new, range(first, first + len(new)), strict=True))
+            self.values[first : first + len(part)] = sums[ends] - sums[ends - own]
+            self.words.update(zip(part, range(first, first + len(part)), strict=True))
         return np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.families or not text or not LETTER.search(text):
             return "und", 0.0
-        total, words, counted = np.zeros(self.values.shape[1]), text.lower().split(), 0
-        for i in range(0, len(words), BLOCK_WORDS):
-            block = words[i : i + BLOCK_WORDS]
-            places = self.places_of(block)
-            total += self.values[places].sum(axis=0)
-            counted += len(block)
+        total, counted = np.zeros(self.values.shape[1]), 0
+        for part in blocks(text.encode("utf-8", "replace")):
+            words = part.decode("utf-8", "replace").lower().split()
+            for i in range(0, len(words), BLOCK_WORDS):
+                block = words[i : i + BLOCK_WORDS]
+                total += self.values[self.places_of(block)].sum(axis=0)
+                counted += len(block)
         margins = total / counted + self.bias
         k = int(np.argmax(margins[: len(self.families)])) if len(self.families) > 1 else 0
         family, sure = self.families[k], 1.0
