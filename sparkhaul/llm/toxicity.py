@@ -1,41 +1,47 @@
 """Operator 3, toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-Each blank-separated word has a word vector (one for all words rare in the sample) and a character vector (the largest values of its hashed
-character n-grams), joined. Two GRUs read a window of WINDOW words forward and backward; attention pools their states; a
-logistic unit scores the window. Windows start every STRIDE words, so they overlap, and the last one ends with the text;
-all of them are scored, and a document's score is its largest.
+Each blank-separated word has a word vector (one for all words rare in the sample) and a character vector (the largest
+values of its hashed character n-grams), joined. Two GRUs read a window of WINDOW words forward and backward; attention
+pools their states; a logistic unit scores the window. Windows start every STRIDE words, half a window, so they overlap, and the
+last one ends with the text; all of them are scored, and a document's score is its largest.
 
-Training (Adam, back-propagation through time) knows documents only: each round picks, of some windows of every
+Training (Adam, back-propagation through time) knows documents only: each round picks, of all windows of every
 sampled document, the one the network finds worst, and trains it towards the document's label. The sample has
-TRAIN_ROWS rows of each label at most; the bias is set at the end, by whole documents and the labels' shares. What depends on the word alone (its vectors times the input weights of all
-gates) is computed once for each distinct word in a worker.
-
-Null, empty and blank texts have no window and the score 0. If nothing can be learned, scores are those of the first weights.
+TRAIN_ROWS rows of each label at most; the bias is set at the end, by whole documents and the labels' shares. What
+depends on the word alone (its vectors times the input weights of all gates) is computed once for each distinct word in a worker.
+
+Null, empty and blank texts have no window and the score 0. If nothing can be learned (no labels, or one label only), scores
+are those of the first weights. A score of just 0.5 predicts 1. Equal texts get equal scores; rows repeated with one id are scored
+each, and rows without id are scored but never learned from. A long text is read and scored in blocks of words.
+Columns of docs or labels other than doc_id, text and toxic are ignored, also those named like the new ones. An empty
+table of documents gives no rows.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, texts
+from .common import blocks, columns, texts
 from .labelled import fold, sample
 from .language_id import PLACES as GRAMS
 from .language_id import gram_places
 
 #: Words of a window and between window starts; sizes of word and character vectors, states and attention.
-WINDOW, STRIDE, WORD_DIM, CHAR_DIM, STATE, ATTEND = 24, 16, 8, 12, 12, 8
-#: Word vectors and the sampled documents a word must be in to have one of its own; rows of each label to learn from; rounds; windows looked at in a document and round; batch; step.
-WORDS, KNOWN_DOCS, TRAIN_ROWS, ROUNDS, LOOK, BATCH, RATE = 4096, 8, 1000, 10, 16, 64, 0.01
+WINDOW, STRIDE, WORD_DIM, CHAR_DIM, STATE, ATTEND = 24, 12, 8, 12, 12, 8
+#: Word vectors, the sampled documents a word must be in to have one of its own, and rows of each label to learn from.
+WORDS, KNOWN_DOCS, TRAIN_ROWS = 4096, 8, 1000
+#: Rounds over the sample, windows in a batch, and the size of a step.
+ROUNDS, BATCH, RATE = 14, 64, 0.01
 #: Characters that don't count at the ends of a word.
 EDGES = ".,;:!?()[]{}'\"#$%&*|"
 #: Windows scored at once, and words that a worker remembers.
-SCORE_WINDOWS, MEMO_WORDS = 4096, 100_000
+SCORE_WINDOWS, MEMO_WORDS = 4096, 60_000
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -48,10 +54,12 @@ def first_weights(seed: int = 1) -> dict[str, np.ndarray]:
     def normal(*shape: int) -> np.ndarray:
         return (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
 
-    w = {"word": 0.1 * rng.standard_normal((WORDS, WORD_DIM)).astype(np.float32), "char": 0.1 * rng.standard_normal((GRAMS, CHAR_DIM)).astype(np.float32)}
+    w = {"word": (WORDS, WORD_DIM), "char": (GRAMS, CHAR_DIM)}
+    w = {k: 0.1 * rng.standard_normal(shape).astype(np.float32) for k, shape in w.items()}
     for side in "fb":
         w |= {f"x{side}": normal(d, 3 * STATE), f"h{side}": normal(STATE, 3 * STATE), f"b{side}": np.zeros(3 * STATE, np.float32)}
-    return w | {"a": normal(2 * STATE, ATTEND), "ab": np.zeros(ATTEND, np.float32), "av": normal(ATTEND, 1)[:, 0], "o": normal(2 * STATE, 1)[:, 0], "ob": np.full(1, -1.0, np.float32)}
+    pool = {"a": normal(2 * STATE, ATTEND), "ab": np.zeros(ATTEND, np.float32), "av": normal(ATTEND, 1)[:, 0]}
+    return w | pool | {"o": normal(2 * STATE, 1)[:, 0], "ob": np.full(1, -1.0, np.float32)}
 
 
 def vocabulary(words: list[str], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,11 +84,19 @@ def recur(gates: np.ndarray, ids: np.ndarray, wh: np.ndarray, backward: bool, ke
     out, h = np.zeros((n, length, STATE), np.float32), np.zeros((n, STATE), np.float32)
     full = ids.min() >= 0 if n else True
     for t in range(length - 1, -1, -1) if backward else range(length):
-        g, q = gates[ids[:, t]], h @ wh
-        rz = 1 / (1 + np.exp(-(g[:, : 2 * STATE] + q[:, : 2 * STATE])))
+        g, q = gates.take(ids[:, t], axis=0), h @ wh
+        rz = g[:, : 2 * STATE] + q[:, : 2 * STATE]
+        np.negative(rz, out=rz)
+        np.exp(rz, out=rz)
+        rz += 1
+        np.reciprocal(rz, out=rz)
         r, z = rz[:, :STATE], rz[:, STATE:]
-        c = np.tanh(g[:, 2 * STATE :] + r * q[:, 2 * STATE :])
-        new = c + z * (h - c)
+        c = r * q[:, 2 * STATE :]
+        c += g[:, 2 * STATE :]
+        np.tanh(c, out=c)
+        new = h - c
+        new *= z
+        new += c
         if not full:
             new = np.where((ids[:, t] >= 0)[:, None], new, h)
         if keep is not None:
@@ -155,11 +171,45 @@ def starts(n: int) -> np.ndarray:
     return np.append(at, n - WINDOW)
 
 
+def window_parts(text: bytes | None) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Words of a text in parts, and the starts in each part of the windows that starts() gives for the whole text."""
+    words: list[str] = []
+    last: list[str] = []
+    for block in blocks(text or b""):
+        new = block.decode().lower().split()
+        words += new
+        last = (last + new)[-WINDOW:]
+        count = max(0, -(-(len(words) - WINDOW) // STRIDE))  # windows that end before the last word
+        for k in range(0, count, SCORE_WINDOWS):
+            n = min(SCORE_WINDOWS, count - k)
+            yield words[k * STRIDE : (k + n - 1) * STRIDE + WINDOW], np.arange(n) * STRIDE
+        words = words[count * STRIDE :]
+    if last:
+        yield last, np.zeros(1, np.int64)
+
+
 def windows(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     padded = np.concatenate([ids, np.full(WINDOW, -1, np.int64)]) if len(ids) < WINDOW else ids
     return padded[at[:, None] + np.arange(WINDOW)]
 
 
+def worst_windows(w: dict, gates: dict[str, np.ndarray], ids: list[np.ndarray]) -> np.ndarray:
+    """Of each text the window with the largest logit, the first of equals; scored in blocks of about SCORE_WINDOWS windows."""
+    at = [starts(len(x)) for x in ids]
+    ends = np.cumsum([len(x) for x in at])
+    chosen = np.zeros((len(ids), WINDOW), np.int64)
+    first = 0
+    while first < len(ids):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + SCORE_WINDOWS, "right")))
+        every = np.concatenate([windows(x, y) for x, y in zip(ids[first:last], at[first:last], strict=True)])
+        logits = np.concatenate([forward(w, gates, every[k : k + SCORE_WINDOWS]) for k in range(0, len(every), SCORE_WINDOWS)])
+        cuts = np.cumsum([len(x) for x in at[first:last]])
+        for k, part in enumerate(np.split(logits, cuts[:-1])):
+            chosen[first + k] = every[cuts[k] - len(part) + np.argmax(part)]
+        first = last
+    return chosen
+
+
 def best_cut(logits: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> float:
     """The middle of the range of cuts with the least weighted errors (the widest of equals)."""
     order = np.argsort(logits, kind="stable")
@@ -185,7 +235,8 @@ def train(rows: list[tuple[str | None, int]], rounds: int = ROUNDS, seed: int =
     if len({y for _, y in split}) < 2:
         return w | {"known": {}}
     held = Counter(n for x, _ in split for n in {y.strip(EDGES) for y in x})
-    known = {n: k + 1 for k, (n, c) in enumerate(sorted(held.items(), key=lambda nc: (-nc[1], nc[0]))[: WORDS - 1]) if c >= KNOWN_DOCS}
+    common = sorted(held.items(), key=lambda nc: (-nc[1], nc[0]))[: WORDS - 1]
+    known = {n: k + 1 for k, (n, c) in enumerate(common) if c >= KNOWN_DOCS}
     words = vocabulary(list(names), known)
     ids = [np.fromiter(map(names.__getitem__, x), np.int64, len(x)) for x, _ in split]
     labels = np.array([y for _, y in split], np.float32)
@@ -194,10 +245,7 @@ def train(rows: list[tuple[str | None, int]], rounds: int = ROUNDS, seed: int =
     step = 0
     for _ in range(rounds):
         gates = gates_of(w, word_vectors(w, *words))
-        looked = [windows(x, rng.permutation(starts(len(x)))[:LOOK]) for x in ids]
-        scores = np.concatenate([forward(w, gates, np.concatenate(looked[k : k + 256])) for k in range(0, len(looked), 256)])
-        cuts = np.cumsum([len(x) for x in looked])[:-1]
-        chosen = np.array([x[np.argmax(s)] for x, s in zip(looked, np.split(scores, cuts), strict=True)])
+        chosen = worst_windows(w, gates, ids)
         for batch in np.array_split(rng.permutation(len(chosen)), max(1, len(chosen) // BATCH)):
             own = np.unique(chosen[batch])
             own = own[own >= 0]
@@ -213,7 +261,7 @@ def train(rows: list[tuple[str | None, int]], rounds: int = ROUNDS, seed: int =
     scorer = Scorer(w | {"known": known})
     scores = np.clip(scorer.scores([t for t, _ in rows]), 1e-9, 1 - 1e-9)
     y = np.array([label for _, label in rows])
-    weights = np.ones(len(y)) if share is None else np.where(y == 1, share / max(1, (y == 1).sum()), (1 - share) / max(1, (y == 0).sum()))
+    weights = np.ones(len(y)) if share is None else np.where(y == 1, share / (y == 1).sum(), (1 - share) / (y == 0).sum())
     w["ob"] -= best_cut(np.log(scores / (1 - scores)), y, weights)
     return w | {"known": known}
 
@@ -237,35 +285,35 @@ class Scorer:
             self.names.update(zip(new, range(first, first + len(new)), strict=True))
         return np.fromiter(map(self.names.__getitem__, words), np.int64, len(words))
 
-    def scores(self, batch: list[str | None]) -> np.ndarray:
+    def scores(self, batch: Iterable[str | bytes | None]) -> np.ndarray:
         """In blocks: a block ends when it has SCORE_WINDOWS windows, so a long text is in many blocks."""
-        best = np.zeros(len(batch))
+        best: list[float] = []
         held: list[np.ndarray] = []
         owner: list[np.ndarray] = []
+        size = 0
 
         def flush() -> None:
             if held:
-                np.maximum.at(best, np.concatenate(owner), sigmoid(forward(self.w, self.gates, np.concatenate(held))))
+                logits = forward(self.w, self.gates, np.concatenate(held))
+                of, first = np.unique(np.concatenate(owner), return_index=True)  # texts lie in order, each in one run
+                for k, x in zip(of.tolist(), np.maximum.reduceat(logits, first).tolist(), strict=True):
+                    best[k] = max(best[k], x)
                 held.clear()
                 owner.clear()
 
-        size = 0
         for k, text in enumerate(batch):
-            words = (text or "").lower().split()
-            at = starts(len(words))
-            for i in range(0, len(at), SCORE_WINDOWS):
-                part = at[i : i + SCORE_WINDOWS]
-                own = words[part[0] : part[-1] + WINDOW]
-                if len(self.names) + len(own) > MEMO_WORDS or size + len(part) > SCORE_WINDOWS:
+            best.append(-np.inf)
+            for own, at in window_parts(text.encode() if isinstance(text, str) else text):
+                if len(self.names) + len(own) > MEMO_WORDS or size + len(at) > SCORE_WINDOWS:
                     flush()
                     size = 0
                 if len(self.names) + len(own) > MEMO_WORDS:
                     self.names.clear()
-                held.append(windows(self.ids_of(own), part - part[0]))
-                owner.append(np.full(len(part), k))
-                size += len(part)
+                held.append(windows(self.ids_of(own), at))
+                owner.append(np.full(len(at), k))
+                size += len(at)
         flush()
-        return best
+        return sigmoid(np.array(best))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -281,7 +329,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            found = scorer.scores([None if t is None else t.decode() for _, t in columns(batch)])
+            found = scorer.scores(t for _, t in columns(batch))
             yield pa.record_batch([batch.column(0), pa.array(found, pa.float64())], ["doc_id", "score"])
 
     scored = texts(docs).mapInArrow(score, "doc_id long, score double")
