@@ -2,27 +2,33 @@
 
 A *document frame* has a 64-bit integer id column and a text column; every other column is
 ignored and passes through untouched where an operator returns whole documents. Texts are
-always read whole.
+always read whole. What works on the words of a text takes them in blocks of about BLOCK_BYTES, so the memory
+it needs beside the text itself is that of its hashes.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import LongType, StructField, StructType, _parse_datatype_string
 
 #: Rows up to which a side table is broadcast; beyond it the same work runs as a shuffled join.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of a text that are split into words at once, and of the texts whose rows are held together in Python.
+BLOCK_BYTES = 1 << 20
+#: Bytes in an Arrow batch between Spark and Python, unless the session says otherwise.
+BATCH_BYTES, BATCH_CONF = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-_P = 0x9E3779B97F4A7C15 | 1
-_PINV = pow(_P, -1, 1 << 64)
+_P = np.uint64(0x9E3779B97F4A7C15)
 _S33, _S29, _S32 = np.uint64(33), np.uint64(29), np.uint64(32)
 
 
@@ -30,34 +36,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, as rows are texts of any length; a bound that the session has set stays."""
+    if not spark.sparkContext.getConf().contains(BATCH_CONF):
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+
 def texts(docs: DataFrame, *more) -> DataFrame:
     """Only the id and text of a document frame, ids as long, with further columns if named."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a new local one if Spark is local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="sparkhaul-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _path(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it again: cuts the lineage and survives lost executors.
 
-    The files go when the driver's file system handle closes, at the end of the application.
+    The files go by drop_shared(), else when the driver's file system handle closes, at the end of the application.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sparkhaul-{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    where, files = _path(spark, path)
+    files.deleteOnExit(where)
     return spark.read.schema(schema).parquet(path)
 
 
+def drop_shared(*tables: DataFrame) -> None:
+    """Deletes the files of shared tables that no later plan reads."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            where, files = _path(df.sparkSession, path)
+            files.delete(where, True)
+
+
 def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow for a function of one batch."""
 
@@ -67,6 +95,7 @@ def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch
             if out is not None and out.num_rows:
                 yield out
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(over, schema)
 
 
@@ -83,49 +112,76 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _S32)
 
 
-def ngrams(h: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each n consecutive elements of h."""
-    m = len(h) - n + 1
-    if m <= 0:
-        return np.empty(0, np.uint64)
-    out = h[:m].copy()
-    for i in range(1, n):
-        out *= np.uint64(_P)
-        out += h[i : i + m]
-    return mix(out)
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of each two sequences in a row, from their hashes; not linear, so patterns of words do not cancel."""
+    return mix(a * _P ^ (a >> _S29)) * _P + mix(b + _P)
 
 
-class Spans:
-    """Hashes of any spans of a word sequence, from prefix sums of its word hashes."""
-
-    _up = np.ones(1, np.uint64)
-    _down = np.ones(1, np.uint64)
+class Grams:
+    """Hashes of any number of consecutive elements of h, made by doubling and kept for the text at hand."""
 
     def __init__(self, h: np.ndarray):
-        n = len(h) + 1
-        if len(Spans._up) < n:
-            size = max(n, 2 * len(Spans._up))
-            Spans._up = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, _P, np.uint64)], dtype=np.uint64)
-            Spans._down = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, _PINV, np.uint64)], dtype=np.uint64)
-        self.sums = np.zeros(n, np.uint64)
-        np.cumsum(h * Spans._up[: n - 1], out=self.sums[1:])
+        self.made = {1: h}
+        self.size = len(h)
+
+    def of(self, n: int) -> np.ndarray:
+        """A hash of each n consecutive elements."""
+        m = self.size - n + 1
+        if m <= 0:
+            return np.empty(0, np.uint64)
+        if n not in self.made:
+            half = 1 << ((n - 1).bit_length() - 1)  # the largest power of two below n
+            left, right = self.of(half), self.of(n - half)
+            self.made[n] = joined(left[:m], right[half : half + m])
+        return self.made[n]
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * Spans._down[start] + (end - start).astype(np.uint64))
+
+def ngrams(h: np.ndarray, n: int) -> np.ndarray:
+    return Grams(h).of(n)
 
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
+_NEXT_BLANK = re.compile(rb"[ \t-\r]")
+_LOW = np.array([0] + [(1 << (8 * k)) - 1 for k in range(1, 9)], np.uint64)  # masks of the first k bytes
+
+
+def blocks(text: bytes, size: int = 0) -> Iterator[bytes]:
+    """A text in parts of about `size` bytes, each cut before a blank, so no word is cut (a longer word stays whole)."""
+    size = size or BLOCK_BYTES
+    start = 0
+    while start < len(text):
+        if len(text) - start <= size:
+            yield text[start:]
+            return
+        cut = _NEXT_BLANK.search(text, start + size)
+        end = cut.start() if cut else len(text)
+        yield text[start:end]
+        start = end
+
+
+def _block_hashes(text: bytes) -> np.ndarray:
+    codes = np.frombuffer(text + b"\0" * 16, np.uint8)
+    inside = np.zeros(len(codes) - 14, bool)
+    np.logical_not(_BLANK[codes[:-16]], out=inside[1:-1])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edges[::2], edges[1::2]
+    length = end - start
+    eight = np.ndarray(len(codes) - 7, np.uint64, codes, strides=(1,))  # the eight bytes from each place on
+    h = mix((eight[start] & _LOW[np.minimum(length, 8)]) + _P)
+    h = mix((h ^ length.astype(np.uint64)) + (eight[start + np.minimum(length, 8)] & _LOW[np.clip(length - 8, 0, 8)]) * _P)
+    for i in np.flatnonzero(length > 16).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(text[start[i] : end[i]])
+    return h
 
 
 def word_hashes(text: bytes | None) -> np.ndarray:
-    """A 64-bit hash of each run of non-blank bytes, all words of a text at once."""
+    """A 64-bit hash of each run of non-blank bytes: its first 16 bytes mixed, of longer words xxh3 over all bytes."""
     if not text:
         return np.empty(0, np.uint64)
-    codes = np.frombuffer(text, np.uint8)
-    inside = np.concatenate([[False], ~_BLANK[codes], [False]])
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    return Spans(codes.astype(np.uint64) + np.uint64(1)).of(edges[::2], edges[1::2])
+    if len(text) <= BLOCK_BYTES:
+        return _block_hashes(text)
+    return np.concatenate([_block_hashes(b) for b in blocks(text)])
 
 
 def signed(h: np.ndarray) -> pa.Array:
@@ -161,14 +217,32 @@ class Lookup:
         return hit, at[hit]
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows whose texts have about BLOCK_BYTES together, one row at least."""
+    sizes = np.cumsum(np.nan_to_num(batch.column(1).cast(pa.binary()).to_pandas().str.len().to_numpy(dtype=np.float64)))
+    start = 0
+    while start < batch.num_rows:
+        end = int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + BLOCK_BYTES)) + 1
+        yield batch.slice(start, end - start)
+        start = end
+
+
+def text_key(text: bytes | None) -> int:
+    """A signed 64-bit hash of a whole text."""
+    return xxhash.xxh3_64_intdigest(text or b"") - (1 << 63)
+
+
+def with_longs(schema: StructType, *names: str) -> StructType:
+    return StructType([*schema.fields, *(StructField(n, LongType()) for n in names)])
+
+
 def with_lookup(
     docs: DataFrame,
     known: DataFrame,
     keys_of: Callable[[bytes | None], np.ndarray],
-    consume: Callable[[list, Callable], pa.RecordBatch | None],
+    consume: Callable[[list], pa.RecordBatch | None],
     schema: str,
-    bound: int = BROADCAST_ROWS,
-    more_wanted: DataFrame | None = None,
+    bound: int | None = None,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Runs consume([(doc_id, text, lookup), ...]) over all documents, lookup holding the rows of `known` that they need.
@@ -176,11 +250,12 @@ def with_lookup(
     known: a column key (long, distinct) and any further long columns, the values. Up to `bound` rows it is
     broadcast as sorted arrays (16 MB for two columns at the default bound). Beyond it, each document's distinct
     keys are joined with `known` by key, gathered per document (at most as many as the document has), and joined
-    to the documents by id; ids then shuffle with their texts once. Both ways give the same rows. more_wanted: rows
-    (doc_id, key) that documents need besides keys_of(text). carry: columns of docs to put behind those of consume, which
-    then gives one row for each document, in order.
+    to the documents by a hash of the text, as equal texts have equal keys: rows without id, or repeated with one id, are no group.
+    Ids then shuffle with their texts once. Both ways give the same rows. carry: columns of docs to put behind those
+    of consume, which then gives one row for each document, in order.
     """
     spark, values = docs.sparkSession, [c for c in known.columns if c != "key"]
+    bound = BROADCAST_ROWS if bound is None else bound
     if carry:
         schema = StructType([*_parse_datatype_string(schema).fields, *(docs.schema[c] for c in carry)])
     carried = [f"carried_{i}" for i in range(len(carry))]
@@ -194,47 +269,55 @@ def with_lookup(
     if known.limit(bound + 1).count() <= bound:
         got = known.select("key", *values).toArrow()
         arrays = [got.column(i).to_numpy().astype(np.int64) for i in range(got.num_columns)]
-        shared = spark.sparkContext.broadcast((arrays[0].view(np.uint64), arrays[1:]))
+        lookup = Lookup(arrays[0].view(np.uint64), arrays[1:])
+        shared = spark.sparkContext.broadcast((lookup.keys, lookup.values))
 
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            lookup = Lookup(*shared.value)
+            lookup = Lookup(np.empty(0, np.uint64), [])
+            lookup.keys, lookup.values = shared.value
             for batch in batches:
-                out = finished(consume([(i, t, lookup) for i, t in columns(batch)]), batch)
-                if out is not None and out.num_rows:
-                    yield out
+                for part in slices(batch):
+                    out = finished(consume([(i, t, lookup) for i, t in columns(part)]), part)
+                    if out is not None and out.num_rows:
+                        yield out
 
         return docs.mapInArrow(apply, schema)
 
     def emit(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [(i, np.unique(keys_of(t))) for i, t in columns(batch)]
-        ids = [np.full(len(k), i if i is not None else 0, np.int64) for i, k in found]
-        empty = [np.full(len(k), i is None) for i, k in found]
-        ids, empty, keys = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((ids, np.int64), (empty, bool), ([k for _, k in found], np.uint64)))
-        return pa.record_batch([pa.array(ids, mask=empty), signed(keys)], ["doc_id", "key"])
-
-    wanted = map_arrow(docs.select("doc_id", "text"), emit, "doc_id long, key long")
-    if more_wanted is not None:
-        wanted = wanted.union(more_wanted.distinct())
-    wanted = wanted.join(known, "key")
-    own = wanted.groupBy(F.col("doc_id").alias("own_id")).agg(F.collect_list(F.struct("key", *values)).alias("own"))
-    joined = docs.join(own, docs.doc_id.eqNullSafe(own.own_id), "left").select("doc_id", "text", "own", *carried)
-
-    def apply_own(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        rows = []
-        for (i, t), own in zip(columns(batch), batch.column(2), strict=True):
-            flat = own.values.flatten() if own.is_valid else [pa.array([], pa.int64())] * (1 + len(values))
-            arrays = [x.to_numpy(zero_copy_only=False).astype(np.int64) for x in flat]
-            rows.append((i, t, Lookup(arrays[0].view(np.uint64), arrays[1:])))
-        return finished(consume(rows), batch)
-
-    return map_arrow(joined, apply_own, schema)
+        found = [(text_key(t), np.unique(keys_of(t))) for _, t in columns(batch)]
+        owner = np.concatenate([np.empty(0, np.int64), *(np.full(len(k), i, np.int64) for i, k in found)])
+        keys = np.concatenate([np.empty(0, np.uint64), *(k for _, k in found)])
+        return pa.record_batch([pa.array(owner), signed(keys)], ["own_text", "key"])
+
+    def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys = pa.array([text_key(t) for _, t in columns(batch)], pa.int64())
+        return pa.RecordBatch.from_arrays([*batch.columns, keys], [*batch.schema.names, "text_key"])
+
+    wanted = map_arrow(docs.select("doc_id", "text"), emit, "own_text long, key long").distinct().join(known, "key")
+    own = wanted.groupBy("own_text").agg(F.collect_list(F.struct("key", *values)).alias("own"))
+    keyed = map_arrow(docs, hashed, with_longs(docs.schema, "text_key"))
+    both = keyed.join(own, keyed.text_key == own.own_text, "left").select("doc_id", "text", "own", *carried)
+
+    def apply_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                rows = []
+                for (i, t), mine in zip(columns(part), part.column(2), strict=True):
+                    flat = mine.values.flatten() if mine.is_valid else [pa.array([], pa.int64())] * (1 + len(values))
+                    arrays = [x.to_numpy(zero_copy_only=False).astype(np.int64) for x in flat]
+                    rows.append((i, t, Lookup(arrays[0].view(np.uint64), arrays[1:])))
+                out = finished(consume(rows), part)
+                if out is not None and out.num_rows:
+                    yield out
+
+    return both.mapInArrow(apply_own, schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (u, v): one row (node, component) per node, the component being its smallest node.
 
     Alternates large-star and small-star steps, each a minimum per node and an equi-join, until no edge
-    changes; every step is written to the shared folder, so the lineage stays one step long.
+    changes; every step is written to the shared folder, so the lineage stays one step long. The step before goes.
     """
 
     def settled(df: DataFrame) -> tuple[DataFrame, tuple]:
@@ -250,9 +333,10 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
-        before = state
+        before, last = now, state
         now, state = settled(small)
-        if state == before:
+        drop_shared(before)
+        if state == last:
             break
     roots = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     return roots.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

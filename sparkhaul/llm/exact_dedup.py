@@ -8,8 +8,13 @@
 3. Only suspects' texts are read again and shuffled, grouped by their bytes (pre-aggregated in each map task,
    so a group of copies costs one row per task). The group gives the row that stays.
 
+The number of owners follows the number of rows, so an owner's share is bounded (OWNER_ROWS), and senders gather SEND_ROWS
+where there are many, so messages are not many and small. A group of copies is one row in the join that tells its
+rows their result; where one group has a large part of all rows, adaptive execution splits its rows over tasks.
+
 Rows with equal normalised text form a group, rows repeated with one id included (each of those that carry the
 largest id has kept = true). Null text counts as empty. A row without id never stays while its group has an id.
+Texts of any length are hashed whole. Columns other than doc_id and text are ignored, whatever their names.
 An empty table gives no rows.
 """
 
@@ -24,13 +29,15 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
-from .common import columns, keep_ids, map_arrow, shared_table, texts
+from .common import columns, drop_shared, keep_ids, map_arrow, shared_table, texts
 
 #: Bits of a fingerprint: N documents give about N * N / 2**(BITS + 1) false pairs, which only cost a verification.
 BITS = 48
-#: Rows whose fingerprints a map task gathers before it sends its messages.
-SEND_ROWS = 200_000
+#: Rows whose fingerprints a map task gathers before it sends its messages, and rows for each owner.
+SEND_ROWS, OWNER_ROWS = 200_000, 1_000_000
 
 
 def golomb_encode(sorted_values: np.ndarray, span: int) -> bytes:
@@ -77,9 +84,14 @@ def _outbox(docs: DataFrame, owners: int) -> DataFrame:
                 own = values[owner == o]
                 distinct, place, count = np.unique(own, return_inverse=True, return_counts=True)
                 rows.append({
-                    "sender": (task << 20) | part, "owner": int(o), "code": golomb_encode(distinct - np.uint64(int(o) * span), span),
-                    "ids": [ids[i] for i in at], "digests": [digests[i] for i in at], "place": place.tolist(), "local": (count[place] > 1).tolist(),
-                })
+                    "sender": (task << 20) | part,
+                    "owner": int(o),
+                    "code": golomb_encode(distinct - np.uint64(int(o) * span), span),
+                    "ids": [ids[i] for i in at],
+                    "digests": [digests[i] for i in at],
+                    "place": place.tolist(),
+                    "local": (count[place] > 1).tolist(),
+                })
             return pa.RecordBatch.from_pylist(rows, schema)
 
         for batch in batches:
@@ -95,8 +107,9 @@ def _outbox(docs: DataFrame, owners: int) -> DataFrame:
         if ids:
             yield messages()
 
-    schema = pa.schema([("sender", pa.int64()), ("owner", pa.int64()), ("code", pa.binary()), ("ids", pa.list_(pa.int64())), ("digests", pa.list_(pa.binary())), ("place", pa.list_(pa.int32())), ("local", pa.list_(pa.bool_()))])
-    return docs.mapInArrow(send, "sender long, owner long, code binary, ids array<long>, digests array<binary>, place array<int>, local array<boolean>")
+    rows = "sender long, owner long, code binary, ids array<long>, digests array<binary>, place array<int>, local array<boolean>"
+    schema = to_arrow_schema(_parse_datatype_string(rows))
+    return docs.mapInArrow(send, rows)
 
 
 def _answer(messages: pa.Table) -> pa.Table:
@@ -112,12 +125,13 @@ def _answer(messages: pa.Table) -> pa.Table:
 def exact_dedup(docs: DataFrame, owners: int | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs.
 
-    owners: fingerprint owners, by default as many as shuffle partitions, so that an owner's share stays
-    bounded when the partitions are set by the size of the data.
+    owners: fingerprint owners, by default one for each OWNER_ROWS rows, but no fewer than Spark has cores.
     """
     docs = texts(docs)
-    spark = docs.sparkSession
-    owners = owners or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    rows = docs.count()
+    owners = owners or max(cores, -(-rows // OWNER_ROWS))
+    docs = docs.coalesce(max(8 * cores, -(-rows // SEND_ROWS)))  # merges small scan tasks only where there are very many
     outbox = shared_table(_outbox(docs, owners), "outbox")
     answers = outbox.select("sender", "owner", "code").groupBy("owner").applyInArrow(_answer, "sender long, owner long, bitmap binary")
     rows = outbox.drop("code").join(answers, ["sender", "owner"])
@@ -131,18 +145,22 @@ def exact_dedup(docs: DataFrame, owners: int | None = None) -> DataFrame:
             suspect += (bits[np.array(r["place"], np.int64)] | np.array(r["local"], bool)).tolist()
         return pa.record_batch([pa.array(ids, pa.int64()), pa.array(digests), pa.array(suspect)], ["doc_id", "text_sha256", "suspect"])
 
-    told_rows = shared_table(map_arrow(rows.select("sender", "owner", "ids", "digests", "place", "local", "bitmap"), told, "doc_id long, text_sha256 string, suspect boolean"), "suspects")
+    told_rows = map_arrow(rows.select("ids", "digests", "place", "local", "bitmap"), told, "doc_id long, text_sha256 string, suspect boolean")
+    told_rows = shared_table(told_rows, "suspects")
+    drop_shared(outbox)
     suspects = told_rows.where("suspect")
     nulls = docs.where("doc_id is null")
     again = keep_ids(docs, suspects.select("doc_id").where("doc_id is not null").distinct()).union(nulls)
 
     def lowered(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = list(columns(batch))
-        return pa.record_batch([pa.array([i for i, _ in rows], pa.int64()), pa.array([normalised(t) for _, t in rows], pa.binary())], ["doc_id", "bytes"])
+        texts_of = pa.array([normalised(t) for _, t in rows], pa.binary())
+        return pa.record_batch([pa.array([i for i, _ in rows], pa.int64()), texts_of], ["doc_id", "bytes"])
 
     groups = map_arrow(again, lowered, "doc_id long, bytes binary").groupBy("bytes").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     groups = groups.select(F.sha2("bytes", 256).alias("sha"), "keep_id", "group_size")
-    found = suspects.join(groups, suspects.text_sha256 == groups.sha, "left").select("doc_id", "text_sha256", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"))
+    found = suspects.join(groups, suspects.text_sha256 == groups.sha, "left")
+    found = found.select("doc_id", "text_sha256", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"))
     single = told_rows.where("not suspect").select("doc_id", "text_sha256", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     out = single.union(found)
     return out.select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256")

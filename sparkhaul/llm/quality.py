@@ -7,17 +7,23 @@ zero until |z| exceeds L1. It runs on a bounded sample of labelled rows, TRAIN_R
 every document is then scored as a sparse dot product. Weights are one array of 4 MB, whatever the input.
 
 Words are runs of non-blank bytes with their case. Empty and null texts have no features and get the score of
-the bias. Without any usable label, or with one label only, the score of every text is 0.5 or near that label.
+the bias. Without any usable label, or with one label only, the score of every text is 0.5 or near that label. A score
+of just 0.5 predicts 1. Equal texts get equal scores; rows repeated with one id are scored each; rows without id are scored
+and are never learned from or held out. A long text is scored in blocks of words; its pairs across blocks
+count too. Columns of docs or labels other than doc_id, text and quality are ignored, also those named score or held_out, and
+pass through untouched in good_documents. An empty table of documents gives no rows, of labels a bias of 0.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, map_arrow, mix, ngrams, texts, word_hashes
+from .common import blocks, columns, map_arrow, mix, ngrams, texts, word_hashes
 from .labelled import fold, sample
 
 #: Places for features (a power of two), rows of the training sample, passages over it, and FTRL's parameters.
@@ -34,14 +40,17 @@ def shape_hashes(text: bytes) -> np.ndarray:
     return word_hashes(kinds[np.flatnonzero(np.diff(kinds, prepend=0))].tobytes())
 
 
-def places(text: bytes | None) -> np.ndarray:
-    """Places of all word and shape n-grams of a text, repeated ones included."""
-    if not text:
-        return np.empty(0, np.int64)
-    h, shape = word_hashes(text), shape_hashes(text) + np.uint64(1)
-    shape[1:][h[1:] == h[:-1]] ^= np.uint64(0x5851F42D4C957F2D)
-    found = [mix(h), ngrams(h, 2), *(ngrams(shape, n) + np.uint64(n) for n in (1, 2, 3))]
-    return (np.concatenate(found) & np.uint64(PLACES - 1)).astype(np.int64)
+def places(text: bytes | None) -> Iterator[np.ndarray]:
+    """Places of all word and shape n-grams of a text, repeated ones included, block by block."""
+    before, shapes_before = np.empty(0, np.uint64), np.empty(0, np.uint64)
+    for block in blocks(text or b""):
+        h, shape = word_hashes(block), shape_hashes(block) + np.uint64(1)
+        own = np.r_[before[-1:], h]
+        shape[np.flatnonzero(own[1:] == own[:-1]) + len(h) - len(own) + 1] ^= np.uint64(0x5851F42D4C957F2D)
+        two, shapes = ngrams(own, 2), np.r_[shapes_before, shape]
+        found = [mix(h), two, *(ngrams(shapes[max(0, len(shapes_before) - n + 1) :], n) + np.uint64(n) for n in (1, 2, 3))]
+        yield (np.concatenate(found) & np.uint64(PLACES - 1)).astype(np.int64)
+        before, shapes_before = own[-1:], shapes[-2:]
 
 
 def train(rows: list[tuple[bytes | None, int]], epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
@@ -49,7 +58,7 @@ def train(rows: list[tuple[bytes | None, int]], epochs: int = EPOCHS) -> tuple[n
     z, n = np.zeros(PLACES + 1), np.zeros(PLACES + 1)
     examples = []
     for text, label in rows:
-        at = places(text)
+        at = np.concatenate([np.empty(0, np.int64), *places(text)])
         place, count = np.unique(at, return_counts=True)
         examples.append((np.r_[place, PLACES], np.r_[count * (SCALE / max(1, len(at))), 1.0], label))
 
@@ -69,8 +78,11 @@ def train(rows: list[tuple[bytes | None, int]], epochs: int = EPOCHS) -> tuple[n
 
 
 def score_of(text: bytes | None, weights: np.ndarray, bias: float) -> float:
-    at = places(text)
-    dot = bias + (SCALE * float(weights[at].sum(dtype=np.float64)) / len(at) if len(at) else 0.0)
+    total, n = 0.0, 0
+    for at in places(text):
+        total += float(weights[at].sum(dtype=np.float64))
+        n += len(at)
+    dot = bias + (SCALE * total / n if n else 0.0)
     return float(1 / (1 + np.exp(-np.clip(dot, -500, 500))))
 
 
