@@ -21,20 +21,28 @@ def haversine(lat1, lng1, lat2, lng2) -> Column:
     return 2 * EARTH_M * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
 
 
+#: Names of the grid columns, which no table should have.
+CELL_Y, CELL_X = "__cell_y", "__cell_x"
+
+
 def with_cells(df: DataFrame, metres: float, neighbours: bool) -> DataFrame:
-    """Adds cell_y and cell_x of a grid in which points within `metres` lie in neighbouring cells, up to latitude 60.
+    """Adds the cell of a grid in which points within `metres` lie in neighbouring cells, at any latitude.
 
-    neighbours: one row for each of the 3 x 3 cells around the point instead of its own cell only.
+    A band of latitude has cells as wide as `metres` are at its edge farther from the equator.
+    neighbours: one row for each of the 3 x 3 cells around the point, numbered as in each cell's own band.
     """
     step = metres / DEGREE_M * 1.001
-    df = df.withColumns({"cell_y": F.floor(F.col("lat") / step).cast("long"), "cell_x": F.floor(F.col("lng") / (2 * step)).cast("long")})
+    df = df.withColumn(CELL_Y, F.floor(F.col("lat") / step).cast("long"))
     if neighbours:
-        for c in ("cell_y", "cell_x"):
-            df = df.withColumn(c, F.explode(F.array(*(F.col(c) + d for d in (-1, 0, 1)))))
+        df = df.withColumn(CELL_Y, F.explode(F.array(*(F.col(CELL_Y) + d for d in (-1, 0, 1)))))
+    edge = F.least(F.lit(90.0), F.greatest(F.abs(F.col(CELL_Y) * step), F.abs((F.col(CELL_Y) + 1) * step)))
+    df = df.withColumn(CELL_X, F.floor(F.col("lng") * F.greatest(F.cos(F.radians(edge)), F.lit(1e-6)) / step).cast("long"))
+    if neighbours:
+        df = df.withColumn(CELL_X, F.explode(F.array(*(F.col(CELL_X) + d for d in (-1, 0, 1)))))
     return df
 
 
-def within(left: DataFrame, right: DataFrame, metres: float, keys: list[str]) -> DataFrame:
+def within(left: DataFrame, right: DataFrame, metres: float, keys: list[str], distance=flat_distance) -> DataFrame:
     """Pairs of equal keys at most `metres` apart, by a grid equi-join: columns of left, then those of right named r_*.
 
     No group is paired as a whole: a key that holds a third of all rows is spread over its cells.
@@ -42,8 +50,31 @@ def within(left: DataFrame, right: DataFrame, metres: float, keys: list[str]) ->
     right = with_cells(right, metres, True)
     right = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns))
     left = with_cells(left, metres, False)
-    on = [F.col(k) == F.col(f"r_{k}") for k in [*keys, "cell_y", "cell_x"]]
-    return left.join(right, on).where(flat_distance("lat", "lng", "r_lat", "r_lng") <= metres).drop("cell_y", "cell_x", "r_cell_y", "r_cell_x")
+    on = [F.col(k) == F.col(f"r_{k}") for k in [*keys, CELL_Y, CELL_X]]
+    near = left.join(right, on).where(distance("lat", "lng", "r_lat", "r_lng") <= metres)
+    return near.drop(CELL_Y, CELL_X, f"r_{CELL_Y}", f"r_{CELL_X}")
+
+
+def nearest(points: DataFrame, targets: DataFrame, key: str, target_key: str, first_m: float = 500.0, most_m: float = 2.1e7) -> DataFrame:
+    """Columns of points, r_<target_key>, metres: the nearest target of each point, of equals the one with the least key.
+
+    Grids of growing cells: a point that has a target within the reach is settled, as its nearest one is among those;
+    the others go on to a grid eight times as coarse. So no point meets all targets unless it is far from all of them.
+    Points and targets are read once for each grid; a point beyond most_m of all targets is left out.
+    """
+    left, reach, found = points, first_m, None
+    targets = targets.select(target_key, "lat", "lng")
+    while True:
+        near = within(left, targets, reach, []).withColumn("metres", flat_distance("lat", "lng", "r_lat", "r_lng"))
+        best = near.groupBy(key).agg(F.min(F.struct("metres", f"r_{target_key}")).alias("best"))
+        settled = left.join(best, key).select(*points.columns, f"best.r_{target_key}", "best.metres")
+        found = settled if found is None else found.unionByName(settled)
+        if reach >= most_m:
+            return found
+        left = left.join(best.select(key), key, "left_anti")
+        if left.isEmpty():
+            return found
+        reach *= 8
 
 
 def segment_distance(lat, lng, lat1, lng1, lat2, lng2) -> Column:

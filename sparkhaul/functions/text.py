@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented letters of Portuguese and their plain forms, letter by letter.
-ACCENTED, PLAIN = "áàâãäéèêëíìîïóòôõöúùûüçñ", "aaaaaeeeeiiiiooooouuuucn"
+
+def _letters() -> tuple[str, str]:
+    """Letters of the Latin blocks that are a plain letter with marks, and that letter."""
+    accented, plain = "", ""
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        parts = unicodedata.normalize("NFD", chr(code))
+        if len(parts) > 1 and parts[0].isascii() and parts[0].isalpha() and all(map(unicodedata.combining, parts[1:])):
+            accented, plain = accented + chr(code), plain + parts[0]
+    return accented, plain
+
+
+ACCENTED, PLAIN = _letters()
 
 
 def normal(text: str | Column) -> Column:
-    """Lower case without accents, one blank between words, none at the ends."""
+    """Lower case without accents, composed or not, one blank between words, none at the ends."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.trim(F.regexp_replace(F.translate(F.lower(text), ACCENTED, PLAIN), r"\s+", " "))
+    bare = F.regexp_replace(F.translate(text, ACCENTED, PLAIN), r"\p{M}", "")
+    return F.trim(F.regexp_replace(F.lower(bare), r"\s+", " "))
 
 
 def words(text: str | Column) -> Column:

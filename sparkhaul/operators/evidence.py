@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import flat_distance, within
+from ..functions.geo import flat_distance, haversine, within
 from .relational import first_per_key
 
 #: Metres within which marks support each other.
@@ -76,3 +76,51 @@ def stop_outliers(stops: DataFrame, least_m: float = 7000.0, times: float = 4.0)
     far = stops.join(centre, "route").withColumn("far", F.round(flat_distance("c_lat", "c_lng", "lat", "lng"), 3))
     limit = far.groupBy("route").agg(F.greatest(F.lit(least_m), times * F.median("far")).alias("limit_m"))
     return far.join(limit, "route").where("far > limit_m").select("route", "stop", F.col("far").alias("far_m"), "limit_m")
+
+
+def review_list(evidence: DataFrame) -> DataFrame:
+    """place (driver/place), status, lat, lng, status_before: what the consensus of a place would be if a driver's pending marks counted.
+
+    Only places with pending marks of the driver, whose consensus is new, has another status or moves by over a metre. All drivers
+    at once: a place is read once for each driver with pending marks there.
+    """
+    mine = evidence.where("pending").select(F.col("driver").alias("who"), "place").distinct()
+    seen = mine.join(evidence, "place").withColumn("place", F.concat(F.col("who").cast("string"), F.lit("/"), "place"))
+    own = F.when(F.col("driver") == F.col("who"), F.lit(False)).otherwise(F.col("pending"))
+    before = consensus(standing_marks(seen.where("NOT pending").drop("who")))
+    after = consensus(standing_marks(seen.withColumn("pending", own).drop("who")))
+    before = before.select("place", *(F.col(c).alias(f"{c}_before") for c in ("lat", "lng", "status")))
+    both = after.join(before, "place", "left")
+    moved = flat_distance("lat", "lng", "lat_before", "lng_before") > 1
+    return both.where(F.col("status_before").isNull() | ~F.col("status").eqNullSafe(F.col("status_before")) | moved)
+
+
+def anchors_with_radius(doors: DataFrame, key: str, share: float = 0.99) -> DataFrame:
+    """key, lat, lng (medians), doors, radius_m: the distance at place floor(n * share) of all, counted from 0."""
+    centres = doors.groupBy(key).agg(F.median("lat").alias("c_lat"), F.median("lng").alias("c_lng"), F.count("*").alias("doors"))
+    far = doors.join(centres, key).withColumn("far", haversine("c_lat", "c_lng", "lat", "lng"))
+    # percentile_disc(p) takes the first value with a share of at least p: a share just beyond floor(n * share) / n
+    place = (F.floor(F.col("doors") * share) + 0.5) / F.col("doors")
+    counts = far.groupBy(key, "c_lat", "c_lng", "doors", "far").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(key).orderBy("far"))
+    radius = counts.withColumn("upto", upto).where(F.col("upto") >= place * F.col("doors")).groupBy(key, "c_lat", "c_lng", "doors").agg(F.min("far").alias("radius_m"))
+    return radius.select(key, F.col("c_lat").alias("lat"), F.col("c_lng").alias("lng"), "doors", "radius_m")
+
+
+def isolated_stops(stops: DataFrame, least_m: float = 7000.0, times: float = 4.0, near_m: float = 2000.0, neighbours: int = 2, least_stops: int = 4) -> DataFrame:
+    """Stops of routes with enough stops, farther from the median centre than max(least_m, times x the median distance), with too few neighbours."""
+    centre = stops.groupBy("route").agg(F.median("lat").alias("c_lat"), F.median("lng").alias("c_lng"), F.count("*").alias("n")).where(F.col("n") >= least_stops)
+    far = stops.join(centre, "route").withColumn("far", haversine("lat", "lng", "c_lat", "c_lng"))
+    limit = far.groupBy("route").agg(F.greatest(F.lit(least_m), times * F.median("far")).alias("limit_m"))
+    out = far.join(limit, "route").where("far > limit_m").select(*stops.columns, "far", "limit_m")
+    near = within(out.select("route", "stop", "lat", "lng"), stops.select("route", "stop", "lat", "lng"), near_m * 1.01, ["route"])
+    close = near.where((F.col("stop") != F.col("r_stop")) & (haversine("lat", "lng", "r_lat", "r_lng") <= near_m)).groupBy("stop").agg(F.count("*").alias("close"))
+    return out.join(close, "stop", "left").where(F.coalesce("close", F.lit(0)) < neighbours).drop("close")
+
+
+def upper_median(values: DataFrame, key: str, value: str, least: int) -> DataFrame:
+    """key, value: the element behind half of a key's values, for keys with enough of them; counted by distinct value."""
+    counts = values.groupBy(key, value).agg(F.count("*").alias("n"))
+    upto, total = (F.sum("n").over(w) for w in (Window.partitionBy(key).orderBy(value), Window.partitionBy(key)))
+    ranked = counts.withColumns({"upto": upto, "total": total}).where((F.col("total") >= least) & (F.col("upto") > F.floor(F.col("total") / 2)))
+    return ranked.groupBy(key).agg(F.min(value).alias("value"))

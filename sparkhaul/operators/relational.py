@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def first_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row per key: the first in the given order, which should be total."""
-    return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rank = 1").drop("_rank")
+    return df.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__rank = 1").drop("__rank")
 
 
 def insert_ignore(table: DataFrame, new: DataFrame, key: list[str], *order: Column) -> DataFrame:
@@ -22,12 +22,15 @@ def merge_greatest(table: DataFrame, new: DataFrame, key: list[str], values: lis
 
 
 def count_per(left: DataFrame, right: DataFrame, key: str, *counts: Column) -> DataFrame:
-    """Every row of left with counts over its rows in right, which is aggregated before it is joined."""
-    return left.join(right.groupBy(key).agg(*counts), key, "left").na.fill(0)
+    """Every row of left with counts over its rows in right, which is aggregated before it is joined. Only counts are filled with 0."""
+    counted = right.groupBy(key).agg(*counts)
+    return left.join(counted, key, "left").na.fill(0, [c for c in counted.columns if c != key])
 
 
 def digest(df: DataFrame, columns: list[str]) -> Column:
-    return F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), 256)
+    """SHA-256 of the columns' texts, each behind its length, so no two rows run together; null is not the empty text."""
+    texts = (F.col(c).cast("string") for c in columns)
+    return F.sha2(F.concat(*(F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("null")) for t in texts)), 256)
 
 
 def missing_rows(backup: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:

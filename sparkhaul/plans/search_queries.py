@@ -21,7 +21,7 @@ def query(name: str, sql: str | None):
 
 
 def _norm(column: str) -> str:
-    return f"trim(regexp_replace(translate(lower({column}), '{t.ACCENTED}', '{t.PLAIN}'), '\\s+', ' ', 'g'))"
+    return f"trim(regexp_replace(lower(strip_accents({column})), '\\s+', ' ', 'g'))"
 
 
 def _words(column: str) -> str:

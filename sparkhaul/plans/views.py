@@ -85,3 +85,92 @@ def consensus_sql(marks: str) -> str:
         SELECT a.*, count(*) FILTER (WHERE b.correction) AS nc, count(*) FILTER (WHERE NOT b.correction) AS np, count(*) FILTER (WHERE b.pinned) AS npp
         FROM {marks} a JOIN {marks} b ON a.place = b.place AND {flat('a.lat', 'a.lng', 'b.lat', 'b.lng')} <= 30 GROUP BY ALL)))
   WHERE r = 1 AND (sure OR correction)"""
+
+
+#: Scalar definitions that both engines read alike: column -> expression over customer.
+_STOP = {
+    "stop": "c_custkey",
+    "route": "c_custkey % 60",
+    "seq": "CAST(floor(c_custkey / 60) AS BIGINT)",
+    "carrier": "CAST(floor(c_custkey / 120) AS BIGINT)",
+    "driver": "c_custkey % 12",
+    "district": "c_mktsegment",
+    "lat": "c_acctbal / 100000 - 9.5e0",
+    "lng": "(c_custkey % 97) / 1000 - 35.7e0",
+    "number": "c_custkey % 500",
+    "cep": "CAST(49000000 + c_nationkey * 1000 + c_custkey % 3 AS BIGINT)",
+    "street": "CASE c_custkey % 4 WHEN 0 THEN 'Rua ' WHEN 1 THEN 'Av. ' WHEN 2 THEN 'Travessa ' ELSE 'R ' END || CASE CAST(floor(c_custkey / 4) AS BIGINT) % 8"
+    " WHEN 0 THEN 'das Flores' WHEN 1 THEN 'Vinte e Cinco' WHEN 2 THEN 'Dr Carlos Firpo' WHEN 3 THEN 'Palmeiras do Norte' WHEN 4 THEN 'A'"
+    " WHEN 5 THEN 'Eng Jorge Neto' WHEN 6 THEN 'Mangueiras' ELSE 'Cento e Dez' END",
+    "precision": "CASE c_custkey % 8 WHEN 0 THEN 'confirmado' WHEN 1 THEN 'rua' WHEN 2 THEN 'bairro' WHEN 3 THEN 'censo' WHEN 4 THEN 'manual' ELSE 'planilha' END",
+    "delivered": "c_custkey % 5 = 0",
+    "additional": "c_custkey % 11 = 0",
+    "units": "1 + c_custkey % 3",
+    "extra": "CASE c_custkey % 6 WHEN 0 THEN 'Apto 0' || (c_custkey % 30) WHEN 1 THEN 'Bloco B Casa 3' WHEN 2 THEN 'perto da padaria' WHEN 3 THEN 'Conjunto Orlando Dantas' ELSE '' END",
+}
+STOPS = "stops0 AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _STOP.items()) + " FROM customer), stops AS (SELECT *, {} AS address FROM stops0)".format(
+    "street || ', ' || number || CASE WHEN extra = '' THEN '' ELSE ', ' || extra END || ', ' || district || ', ' || substr(CAST(cep AS VARCHAR), 1, 5) || '-' || substr(CAST(cep AS VARCHAR), 6, 3)"
+)
+
+
+def stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stops of routes: where they are, what the sheet says, and how sure the position is."""
+    base = load(spark, sf_dir, "customer").selectExpr(*(f"{e} AS {n}" for n, e in _STOP.items()))
+    cep = F.col("cep").cast("string")
+    extra = F.when(F.col("extra") == "", F.lit("")).otherwise(F.concat(F.lit(", "), "extra"))
+    comma = F.lit(", ")
+    line = F.concat("street", comma, F.col("number").cast("string"), extra, comma, "district", comma, F.substring(cep, 1, 5), F.lit("-"), F.substring(cep, 6, 3))
+    return base.withColumn("address", line)
+
+
+_SEGMENT = {
+    "seg": "s_suppkey",
+    "name_key": "CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE 'rua ' || (s_suppkey % 9) END",
+    "city": "s_nationkey",
+    "source": "CASE s_suppkey % 3 WHEN 0 THEN 'osm' WHEN 1 THEN 'prefeitura' ELSE 'entregas' END",
+    "district": "'district ' || (s_suppkey % 7)",
+    "lat0": "s_acctbal / 100000 - 9.5e0",
+    "lng0": "((s_suppkey * 37) % 97) / 1000 - 35.7e0",
+}
+SEGMENTS = f"segments AS (SELECT {', '.join(f'{e} AS {n}' for n, e in _SEGMENT.items())} FROM supplier)"
+_VERTEX = ("lat0 + i * 0.0008e0", "lng0 + i * 0.001e0 + (seg % 3 - 1) * i * i * 0.0002e0")
+VERTICES = f"{SEGMENTS}, vertices AS (SELECT seg, i, {_VERTEX[0]} AS lat, {_VERTEX[1]} AS lng FROM segments, unnest(range(4)) AS t(i))"
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "supplier").selectExpr(*(f"{e} AS {n}" for n, e in _SEGMENT.items()))
+
+
+def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """seg, i, lat, lng: four vertices for each segment."""
+    each = segments(spark, sf_dir).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))))
+    return each.selectExpr("seg", "i", f"{_VERTEX[0]} AS lat", f"{_VERTEX[1]} AS lng")
+
+
+_AREA = {
+    "area": "n_nationkey",
+    "kind": "CASE WHEN n_nationkey % 3 = 0 THEN 'complex' ELSE 'district' END",
+    "lat": "-9.5e0 + (n_nationkey % 5) * 0.02e0",
+    "lng": "-35.69e0 + CAST(floor(n_nationkey / 5) AS BIGINT) * 0.02e0",
+    "half": "0.008e0 + 0.003e0 * (n_nationkey % 4)",
+}
+AREAS = f"areas AS (SELECT {', '.join(f'{e} AS {n}' for n, e in _AREA.items())} FROM nation)"
+#: Corners of an area around its centre, in halves of its size, in order.
+CORNERS = [(-1.0, -1.0), (1.0, -1.0), (1.0, 1.0), (0.0, 0.5), (-1.0, 1.0)]
+
+
+def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "nation").selectExpr(*(f"{e} AS {n}" for n, e in _AREA.items()))
+
+
+PROFILES = "profiles AS (SELECT DISTINCT user_id AS driver, 'Driver ' || (user_id % 40) AS name, user_id % 7 <> 0 AS active, user_id % 5 = 0 AS reviewed FROM events)"
+
+
+def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = load(spark, sf_dir, "events")
+    return e.selectExpr("user_id AS driver", "'Driver ' || (user_id % 40) AS name", "user_id % 7 <> 0 AS active", "user_id % 5 = 0 AS reviewed").distinct()
+
+
+def haversine_sql(lat1: str, lng1: str, lat2: str, lng2: str) -> str:
+    half = f"pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lng2} - {lng1}) / 2), 2)"
+    return f"(2 * 6371000 * asin(least(1e0, sqrt({half}))))"
