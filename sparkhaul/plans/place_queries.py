@@ -319,13 +319,13 @@ def _(spark, sf):
     return ops.name_unnamed(v.segments(spark, sf), v.vertices(spark, sf), seen, 400.0)
 
 
-@query("a08_street_synthesis", f"""WITH {v.STOPS}, p AS (SELECT street || ' ' || CAST(floor(lat * 50) AS BIGINT) || ' ' || CAST(floor(lng * 50) AS BIGINT) AS street_key, street AS name, {_PLACE} AS place, round(lat, 5) AS lat, round(lng, 5) AS lng FROM stops),
+@query("a08_street_synthesis", f"""WITH {v.STOPS}, p AS (SELECT street || ' ' || CAST(floor(lat * 50) AS BIGINT) || ' ' || CAST(floor(lng * 50) AS BIGINT) AS street_key, street AS name, {_PLACE} AS place, round(lat + 1e-8, 5) AS lat, round(lng, 5) AS lng FROM stops),
 n AS (SELECT street_key, name, count(*) AS n FROM p GROUP BY ALL), m AS (SELECT street_key, count(DISTINCT place) AS doors, avg(lat) AS lat, avg(lng) AS lng, count(*) AS times, count(DISTINCT (lat, lng)) AS line_points,
   max(lat) - min(lat) AS sa, (max(lng) - min(lng)) * cos(radians(avg(lat))) AS so FROM p GROUP BY street_key)
 SELECT street_key, arg_max(name, (n, name)) AS name, CAST(round(any_value(lat * times) * 100000) AS BIGINT) AS lat_sum, CAST(round(any_value(lng * times) * 100000) AS BIGINT) AS lng_sum, any_value(times) AS times, any_value(line_points) AS line_points, any_value(sa >= so) AS long_in_lat
 FROM m JOIN n USING (street_key) WHERE doors >= 2 AND 111320 * sqrt(pow(sa, 2) + pow(so, 2)) <= 2000 GROUP BY street_key""")
 def _(spark, sf):
-    p = v.stops(spark, sf).selectExpr("street || ' ' || CAST(floor(lat * 50) AS BIGINT) || ' ' || CAST(floor(lng * 50) AS BIGINT) AS street_key", "street AS name", _PLACE.replace("VARCHAR", "STRING") + " AS place", "round(lat, 5) AS lat", "round(lng, 5) AS lng")
+    p = v.stops(spark, sf).selectExpr("street || ' ' || CAST(floor(lat * 50) AS BIGINT) || ' ' || CAST(floor(lng * 50) AS BIGINT) AS street_key", "street AS name", _PLACE.replace("VARCHAR", "STRING") + " AS place", "round(lat + 1e-8, 5) AS lat", "round(lng, 5) AS lng")
     found = ops.streets_of_deliveries(p, 2000.0)
     sums = (F.round(F.col(c) * F.col("times") * 100000).cast("long").alias(f"{c}_sum") for c in ("lat", "lng"))
     return found.select("street_key", "name", *sums, "times", "line_points", "long_in_lat")

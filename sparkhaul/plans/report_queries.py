@@ -377,10 +377,10 @@ def _(spark, sf):
     return u.groupBy("district", "unit").agg(F.countDistinct("value").alias("readings")).where("readings > 1")
 
 
-@query("a47_registered_packages", f"WITH {v.STOPS} SELECT route, stop, k AS package, CASE WHEN precision = 'bairro' THEN NULL ELSE round(lat, 5) END AS lat FROM stops, unnest(range(units)) AS t(k)")
+@query("a47_registered_packages", f"WITH {v.STOPS} SELECT route, stop, k AS package, CASE WHEN precision = 'bairro' THEN NULL ELSE round(lat + 1e-8, 5) END AS lat FROM stops, unnest(range(units)) AS t(k)")
 def _(spark, sf):
     s = v.stops(spark, sf).withColumn("package", F.explode(F.sequence(F.lit(0).cast("long"), F.col("units") - 1)))
-    return s.select("route", "stop", "package", F.when(F.col("precision") != "bairro", F.round("lat", 5)).alias("lat"))
+    return s.select("route", "stop", "package", F.when(F.col("precision") != "bairro", F.round(F.col("lat") + 1e-8, 5)).alias("lat"))
 
 
 @query("a48_package_rows", f"WITH {v.PACKAGES} SELECT route, count(*) AS items, count(DISTINCT stop) AS stops, min(seq) AS first_seq, string_agg(CAST(item AS VARCHAR), ',' ORDER BY seq, item) AS items_in_order FROM packages GROUP BY route")
