@@ -52,6 +52,8 @@ TOLD_TOKENS = 1_000_000
 COUNT_ALL, COUNT_SHARE = 160, 0.3
 #: Members of a representative that are compared at once with as many of another, and ranges of sizes in a power of e.
 BLOCK_ROWS, SIZE_BANDS = 256, 2
+#: Buckets by which representatives are kept from being compared again, and pairs that a task remembers (some 100 bytes each).
+FIRST_BUCKETS, SEEN_PAIRS = 16, 300_000
 #: Added to bounds on distances, against rounding.
 SLACK = 1e-9
 
@@ -184,15 +186,15 @@ def possible(pairs: DataFrame, marks: DataFrame, most: float) -> DataFrame:
     return map_arrow(sides, keep, "u long, v long")
 
 
-def in_blocks(rows: DataFrame, key: str, who: str) -> DataFrame:
+def in_blocks(rows: DataFrame, key: str, who: str, *more: str) -> DataFrame:
     """key, block, lo, hi (sizes), wide (the largest radius), held: the rows of each key in blocks of about BLOCK_ROWS and like sizes.
 
-    rows: key, who, component, n_shingles, radius, bits.
+    rows: key, who, component, n_shingles, radius, bits and more.
     """
     banded = rows.withColumn("band", F.floor(F.log("n_shingles") * SIZE_BANDS).cast("long"))
     parts = banded.groupBy(key, "band").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("parts"))
     dealt = banded.join(parts, [key, "band"]).withColumn("block", F.shiftleft("band", 40) + F.pmod(F.xxhash64(who), F.col("parts")))
-    held = F.collect_list(F.struct(F.col(who).alias("who"), "component", "n_shingles", "radius", "bits"))
+    held = F.collect_list(F.struct(F.col(who).alias("who"), "component", "n_shingles", "radius", "bits", *more))
     edges = (F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"), F.max("radius").alias("wide"))
     return shared_table(dealt.groupBy(key, "block").agg(*edges, held.alias("held")), "blocks")
 
@@ -224,33 +226,44 @@ def near_representatives(reps: DataFrame, wide: DataFrame, most: float) -> DataF
     """u, v, bound of representatives that share a bucket and that sizes and parities leave within `most` and both radii.
 
     reps: sig, rep, component; wide: doc_id, n_shingles, bits, radius. Block meets block within a bucket if their sizes
-    allow it; pairs of one component are passed over.
+    allow it; pairs of one component are passed over. Representatives share many buckets: each brings the FIRST_BUCKETS least of
+    its own, and two that have any of those in common are compared in the least of them only.
     """
-    dealt = in_blocks(reps.join(wide.withColumnRenamed("doc_id", "rep"), "rep"), "sig", "rep")
+    firsts = reps.groupBy("rep").agg(F.slice(F.array_sort(F.collect_set("sig")), 1, FIRST_BUCKETS).alias("firsts"))
+    dealt = in_blocks(reps.join(firsts, "rep").join(wide.withColumnRenamed("doc_id", "rep"), "rep"), "sig", "rep", "firsts")
     a, b = (side(dealt, x, "sig", "block", "lo", "hi", "wide") for x in "ab")
     pairs = a.join(b, F.col("sig_a") == F.col("sig_b")).where((F.col("block_a") <= F.col("block_b")) & may_be_near(most))
     pairs = pairs.select("sig_a", "block_a", "sig_b", "block_b", F.expr("block_a = block_b AS own"))
-    sides = block_pairs(pairs, dealt, dealt, "sig").select("held_a", "held_b", "own")
+    sides = block_pairs(pairs, dealt, dealt, "sig").select("held_a", "held_b", "own", "sig_a")
 
-    def pair(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        found = {}
-        for a, b, own in zip(*batch.columns[:2], batch.column(2).to_pylist(), strict=True):
-            (ra, ca, na, fa, ma), (rb, cb, nb, fb, mb) = fields(a), fields(b)
-            room = most + SLACK + fa[:, None] + fb
-            fits = (ca[:, None] != cb) & (1 - np.minimum(na[:, None], nb) / np.maximum(na[:, None], nb) <= room)
-            if own:
-                fits &= ra[:, None] < rb
-            for i, j in zip(*np.nonzero(fits), strict=True):
-                d = least_difference(ma[i], mb[j])
-                bound = 2 * d / (na[i] + nb[j] + d)
-                if bound <= room[i, j]:
-                    found[min(ra[i], rb[j]), max(ra[i], rb[j])] = bound
-        if not found:
-            return None
-        u, v = zip(*found, strict=True)
-        return pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(list(found.values()), pa.float64())], ["u", "v", "bound"])
-
-    out = shared_table(map_arrow(sides, pair, "u long, v long, bound double").groupBy("u", "v").agg(F.min("bound").alias("bound")), "near")
+    def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()  # pairs that this task has told or ruled out
+        for batch in batches:
+            found = []
+            for a, b, own, sig in zip(*batch.columns[:2], batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                (ra, ca, na, fa, ma), (rb, cb, nb, fb, mb) = fields(a), fields(b)
+                first_a, first_b = ([frozenset(f) for f in x.values.field(5).to_pylist()] for x in (a, b))
+                room = most + SLACK + fa[:, None] + fb
+                fits = (ca[:, None] != cb) & (1 - np.minimum(na[:, None], nb) / np.maximum(na[:, None], nb) <= room)
+                if own:
+                    fits &= ra[:, None] < rb
+                for i, j in zip(*(x.tolist() for x in np.nonzero(fits)), strict=True):
+                    if min(first_a[i] & first_b[j], default=sig) != sig:
+                        continue
+                    u, v = sorted((int(ra[i]), int(rb[j])))
+                    if (key := (u, v, int(na[i] + nb[j]))) in seen:
+                        continue
+                    seen.add(key)
+                    d = least_difference(ma[i], mb[j])
+                    bound = 2 * d / (na[i] + nb[j] + d)
+                    if bound <= room[i, j]:
+                        found.append((u, v, bound))
+            if len(seen) > SEEN_PAIRS:
+                seen.clear()
+            if found:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["u", "v", "bound"])
+
+    out = shared_table(sides.mapInArrow(pairs_of, "u long, v long, bound double").groupBy("u", "v").agg(F.min("bound").alias("bound")), "near")
     drop_shared(dealt)
     return out
 
