@@ -114,9 +114,12 @@ def phrase_table(docs: DataFrame, words: int) -> DataFrame:
 
 def occurrences(table: DataFrame) -> DataFrame:
     """t, seed, phrase, first, windows of every phrase whose seed occurs at least twice."""
-    seeds = table.select(F.explode("seed").alias("seed")).groupBy("seed").count().where("count > 1").select("seed")
+    # written first: a join whose both sides are shuffled for it can be split where a seed is in very many places
+    seeds = shared_table(table.select(F.explode("seed").alias("seed")).groupBy("seed").count().where("count > 1").select("seed"), "seeds")
     each = table.select("t", F.explode(F.arrays_zip("seed", "phrase", "first", "windows")).alias("p")).select("t", "p.*")
-    return shared_table(each.join(seeds, "seed").select("t", "seed", "phrase", "first", "windows"), "occurrences")
+    out = shared_table(each.join(seeds, "seed").select("t", "seed", "phrase", "first", "windows"), "occurrences")
+    drop_shared(seeds)
+    return out
 
 
 def joined_to_texts(docs: DataFrame, own: DataFrame, kind: str) -> DataFrame:
