@@ -348,3 +348,14 @@ def wildcard_distance(bent: str | Column, clean: str | Column) -> Column:
 
     rows = F.aggregate(F.filter(F.split(a, ""), lambda c: c != ""), first, row)
     return F.element_at(rows, -1)
+
+
+def spelled(number: Column) -> Column:
+    """A number below 1000 in words, as an array: hundreds, tens and units joined by "e"."""
+    word = _map({n: ws.split()[0] for n, ws in NUMBER_WORDS.items()})
+    hundreds, below = F.floor(number / 100).cast("int") * 100, number % 100
+    tens, unit = F.floor(below / 10).cast("int") * 10, below % 10
+    first = F.when(number == 100, "cem").otherwise(F.when(hundreds == 100, "cento").otherwise(F.try_element_at(word, hundreds)))
+    small = F.when(below < 20, F.array(F.try_element_at(word, below))).otherwise(F.array(F.try_element_at(word, tens), F.try_element_at(word, unit)))
+    named = F.array_compact(F.concat(F.array(first), small))
+    return F.flatten(F.transform(named, lambda w, i: F.when(i > 0, F.array(F.lit("e"), w)).otherwise(F.array(w))))

@@ -51,3 +51,42 @@ def hex_to_decimal(text: str | Column) -> Column:
     """Up to 16 hexadecimal digits as decimal text, over the whole unsigned range; null for anything else."""
     text = F.col(text) if isinstance(text, str) else text
     return F.when(text.rlike("^[0-9a-fA-F]{1,16}$"), F.conv(text, 16, 10))
+
+
+def one_edit_marks(text: str | Column) -> Column:
+    """A text and what is left of it without any one of its characters: two texts one edit apart have a mark in common."""
+    text = F.col(text) if isinstance(text, str) else text
+    places = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text))).otherwise(F.array().cast("array<int>"))
+    cut = F.transform(places, lambda i: F.concat(F.substring(text, 1, i - 1), F.substring(text, i + 1, F.length(text))))
+    return F.array_distinct(F.concat(F.array(text), cut))
+
+
+# How a position is written in a link or a text, the most telling way first.
+_PAIR = r"(-?[0-9]{1,3}\.[0-9]{4,})"
+_DOOR, _ASKED, _FRAME, _BARE = f"!3d{_PAIR}!4d{_PAIR}", f"(?i)[?&](?:q|query|destination|ll)={_PAIR}(?:,|%2C){_PAIR}", f"@{_PAIR},{_PAIR}", rf"{_PAIR}[,\s]+{_PAIR}"
+
+
+def coordinate(text: str | Column, part: int) -> Column:
+    """Latitude (1) or longitude (2) in a text: of a link's last door, else of its query, else of its frame, else a pair outside links."""
+    text = F.col(text) if isinstance(text, str) else text
+    door = F.try_element_at(F.regexp_extract_all(text, F.lit(_DOOR), F.lit(part)), F.lit(-1))
+    outside = F.regexp_replace(text, r"https?://\S+", " ")
+    others = (F.nullif(F.regexp_extract(x, p, part), F.lit("")) for x, p in ((text, _ASKED), (text, _FRAME), (outside, _BARE)))
+    return F.coalesce(door, *others).cast("double")
+
+
+#: Beginnings of postal codes and their city.
+CITIES = {"490": "Aracaju", "4910": "São Cristóvão", "4914": "Barra dos Coqueiros", "4916": "Nossa Senhora do Socorro"}
+
+
+def city_of_code(code: Column) -> Column:
+    digits, out = F.regexp_replace(code, r"\D", ""), None
+    for start, city in CITIES.items():
+        out = (F if out is None else out).when(digits.startswith(start), city)
+    return out
+
+
+def title(text: Column, small: tuple[str, ...] = ("de", "da", "do", "das", "dos", "e")) -> Column:
+    """Every word with a capital, but small ones."""
+    words = F.transform(F.split(text, " "), lambda w: F.when(w.isin(*small), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 20)))))
+    return F.array_join(words, " ")

@@ -60,3 +60,22 @@ def fuzzy_best(names: DataFrame, known: DataFrame) -> DataFrame:
     best = two.agg(F.min_by("candidate", "r").alias("candidate"), F.min("edits").alias("edits"), F.max(F.when(F.col("r") == 2, F.col("edits"))).alias("second"))
     near = (F.col("edits") * 100 <= length * 35) & (F.coalesce(F.col("second") - F.col("edits"), F.lit(3)) >= 3)
     return best.where(near & (digits("name") == digits("candidate"))).select("name", "candidate", "edits")
+
+
+def answered(df: DataFrame, keys: DataFrame, key: str, most: int) -> DataFrame:
+    """Rows of df whose key is asked for; none at all if more than `most` keys are asked for."""
+    asked = keys.select(key).distinct()
+    few = asked.limit(most + 1).count() <= most
+    return df.where(F.lit(few)).join(F.broadcast(asked) if few else asked, key, "left_semi")
+
+
+def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """df with a number from 1 on in the given order, without one task for all rows.
+
+    Rows are dealt into ranges of the order and numbered in each; a range begins behind the rows of those before it.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__range", F.spark_partition_id())
+    inside = ranged.withColumn("__place", F.row_number().over(Window.partitionBy("__range").orderBy(*order)))
+    counts = ranged.groupBy("__range").agg(F.count("*").alias("__n"))  # one row for each range
+    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    return inside.join(F.broadcast(before), "__range").withColumn(name, F.col("__place") + F.col("__before")).drop("__range", "__place", "__before")
