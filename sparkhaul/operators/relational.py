@@ -42,23 +42,32 @@ def share_of_group(df: DataFrame, group: str, count: str) -> Column:
     return F.col(count) / F.sum(count).over(Window.partitionBy(group))
 
 
-def fuzzy_best(names: DataFrame, known: DataFrame) -> DataFrame:
-    """name, candidate, edits: the other known name with the fewest edits, for names of eight characters at least.
+def fuzzy_two(names: DataFrame, known: DataFrame, margin: int) -> DataFrame:
+    """name, candidate, edits, second: the other known name with the fewest edits, and the edits of the runner-up, if any.
 
-    Refused: more edits than 0.35 of the length, a runner-up less than three edits behind, other digits.
-    names: name; known: candidate. A match and any runner-up that refuses it are within 0.35 of the length and two edits,
-    so only names of a length within that reach meet; no other pair is left out. So many edits leave unchanged
-    pieces of one or two characters only, by which nearly all pairs would meet again.
+    For names of eight characters at least. Candidates within 0.35 of the length and `margin` edits more are looked for: names
+    meet by length, and no other pair is left out. So many edits leave unchanged pieces of one or two characters only, by
+    which nearly all pairs would meet again.
     """
-    digits = lambda c: F.array_join(F.regexp_extract_all(c, F.lit("[0-9]+"), F.lit(0)), " ")
-    length, reach = F.length("name"), F.floor(F.length("name") * 35 / 100).cast("int") + 2
+    length = F.length("name")
+    reach = F.floor(length * 35 / 100).cast("int") + margin
     names = names.select("name").distinct().where(length >= 8).withColumn("reach", reach)
-    names = names.withColumn("n", F.explode(F.sequence(length - F.col("reach"), length + F.col("reach"))))
+    spans = names.withColumn("n", F.explode(F.sequence(length - F.col("reach"), length + F.col("reach"))))
     known = known.select("candidate").distinct().withColumn("n", F.length("candidate"))
-    pairs = names.join(known, "n").where("name <> candidate").withColumn("edits", F.levenshtein("name", "candidate").cast("long")).where("edits <= reach")
+    pairs = spans.join(known, "n").where("name <> candidate")
+    pairs = pairs.withColumn("edits", F.levenshtein("name", "candidate").cast("long")).where("edits <= reach")
     two = pairs.withColumn("r", F.row_number().over(Window.partitionBy("name").orderBy("edits", "candidate"))).where("r <= 2").groupBy("name")
-    best = two.agg(F.min_by("candidate", "r").alias("candidate"), F.min("edits").alias("edits"), F.max(F.when(F.col("r") == 2, F.col("edits"))).alias("second"))
-    near = (F.col("edits") * 100 <= length * 35) & (F.coalesce(F.col("second") - F.col("edits"), F.lit(3)) >= 3)
+    return two.agg(F.min_by("candidate", "r").alias("candidate"), F.min("edits").alias("edits"), F.max(F.when(F.col("r") == 2, F.col("edits"))).alias("second"))
+
+
+def fuzzy_best(names: DataFrame, known: DataFrame) -> DataFrame:
+    """name, candidate, edits: the best of fuzzy_two.
+
+    Refused: more edits than 0.35 of the length, a runner-up less than three edits behind, other digits.
+    """
+    digits = lambda c: F.array_join(F.regexp_extract_all(c, F.lit("[0-9]+"), F.lit(0)), " ")
+    best = fuzzy_two(names, known, 2)
+    near = (F.col("edits") * 100 <= F.length("name") * 35) & (F.coalesce(F.col("second") - F.col("edits"), F.lit(3)) >= 3)
     return best.where(near & (digits("name") == digits("candidate"))).select("name", "candidate", "edits")
 
 

@@ -314,7 +314,7 @@ def _(spark, sf):
     return a.with_address(s).select("stop", a.in_complex().alias("inside"), a.complement_street().alias("inner_street"))
 
 
-@query("x19_place_keys", f"WITH {v.STOPS} SELECT stop, cep || '|' || number AS place, CASE WHEN street NOT LIKE '% A' AND street NOT LIKE '%Vinte e Cinco' THEN replace(replace(lower(street), 'av.', 'avenida'), 'r ', CASE WHEN street LIKE 'R %' THEN 'rua ' ELSE 'r ' END) || '|' || number END AS door FROM stops WHERE cep % 1000 <> 0")
+@query("x19_place_keys", f"WITH {v.STOPS} SELECT stop, cep || '|' || number AS place, CASE WHEN street NOT LIKE '% A' AND street NOT LIKE '%Vinte e Cinco' THEN regexp_replace(regexp_replace(lower(street), '^av[.]', 'avenida'), '^r ', 'rua ') || '|' || number END AS door FROM stops WHERE cep % 1000 <> 0")
 def _(spark, sf):
     p = a.with_place_key(a.with_address(v.stops(spark, sf).where("cep % 1000 <> 0").withColumn("city", F.lit("Aracaju"))))
     return p.select("stop", F.col("place_key").alias("place"), a.door_key().alias("door"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import relational as rel
 from ..session import load
+from . import views as v
 
 QUERIES: dict = {}
 
@@ -81,18 +81,18 @@ def _(spark, sf):
     return load(spark, sf, "documents").select("doc_id", t.hex_to_decimal(F.left(F.md5(F.coalesce("text", F.lit(""))), F.lit(16))).alias("code"))
 
 
-@query("j24_fuzzy_best_match", """WITH q AS (SELECT DISTINCT p_name AS name FROM part WHERE p_partkey % 2 = 0), c AS (SELECT DISTINCT p_name AS candidate FROM part),
-d AS (SELECT name, candidate, levenshtein(name, candidate) AS edits, row_number() OVER (PARTITION BY name ORDER BY levenshtein(name, candidate), candidate) AS r FROM q JOIN c ON substr(name, 1, 2) = substr(candidate, 1, 2) AND name <> candidate)
-SELECT a.name, a.candidate, a.edits, b.edits - a.edits AS margin FROM d a LEFT JOIN d b ON a.name = b.name AND b.r = 2 WHERE a.r = 1 AND a.edits <= 0.35 * length(a.name)""")
+_NEAR = "levenshtein(a.name, b.name) <= 0.35 * length(a.name) AND a.name <> b.name"
+
+
+@query("j24_fuzzy_best_match", f"""WITH n AS (SELECT DISTINCT p_name || ' ' || lower(p_type) AS name FROM part),
+d AS (SELECT a.name, b.name AS candidate, levenshtein(a.name, b.name) AS edits, row_number() OVER (PARTITION BY a.name ORDER BY levenshtein(a.name, b.name), b.name) AS r FROM n a JOIN n b ON {_NEAR} WHERE length(a.name) >= 8)
+SELECT a.name, a.candidate, a.edits, b.edits - a.edits AS margin FROM d a LEFT JOIN d b ON a.name = b.name AND b.r = 2 WHERE a.r = 1""")
 def _(spark, sf):
-    names = load(spark, sf, "part")
-    q = names.where("p_partkey % 2 = 0").select(F.col("p_name").alias("name")).distinct().withColumn("start", F.left("name", F.lit(2)))
-    c = names.select(F.col("p_name").alias("candidate")).distinct().withColumn("start", F.left("candidate", F.lit(2)))
-    pairs = q.join(c, "start").where("name <> candidate").withColumn("edits", F.levenshtein("name", "candidate").cast("long"))
-    rank = F.row_number().over(Window.partitionBy("name").orderBy("edits", "candidate"))
-    two = pairs.withColumn("r", rank).where("r <= 2").groupBy("name")  # cut to two per task before the rows shuffle
-    out = two.agg(F.min_by("candidate", "r").alias("candidate"), F.min_by("edits", "r").alias("edits"), F.max(F.when(F.col("r") == 2, F.col("edits"))).alias("second"))
-    return out.where(F.col("edits") <= 0.35 * F.length("name")).select("name", "candidate", "edits", (F.col("second") - F.col("edits")).alias("margin"))
+    names = load(spark, sf, "part").selectExpr("p_name || ' ' || lower(p_type) AS name").distinct()
+    two = rel.fuzzy_two(names, names.withColumnRenamed("name", "candidate"), 0)
+    near = two.where(F.col("edits") * 100 <= F.length("name") * 35)
+    second = F.when(F.col("second") * 100 <= F.length("name") * 35, F.col("second"))
+    return near.select("name", "candidate", "edits", (second - F.col("edits")).alias("margin"))
 
 
 @query("j24_fuzzy_best_of_all", """WITH n AS (SELECT DISTINCT p_name AS name FROM part),
@@ -104,31 +104,61 @@ def _(spark, sf):
     return rel.fuzzy_best(names.select(F.col("p_name").alias("name")), names.select(F.col("p_name").alias("candidate")))
 
 
-@query("j25_token_containment", f"""SELECT a.p_partkey AS a, b.p_partkey AS b FROM (SELECT p_partkey, p_brand, p_size, {_words('p_name')} AS w FROM part) a JOIN (SELECT p_partkey, p_brand, p_size, {_words('p_name')} AS w FROM part) b
-ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey <> b.p_partkey AND list_bool_and(list_transform(a.w, lambda x: list_bool_or(list_transform(b.w, lambda y: x = y OR (length(x) >= 5 AND levenshtein(x, y) <= 1)))))""")
+@query("j24_door_must_exist", f"""WITH {v.STOPS}, n AS (SELECT DISTINCT lower(street) || ' ' || lower(district) AS name FROM stops), q AS (SELECT stop, number, cep, lower(replace(street, 'e', 'ee')) || ' ' || lower(district) AS name FROM stops WHERE stop % 2 = 0),
+c AS (SELECT DISTINCT name FROM q), d AS (SELECT c.name, n.name AS candidate, levenshtein(c.name, n.name) AS edits, row_number() OVER (PARTITION BY c.name ORDER BY levenshtein(c.name, n.name), n.name) AS r FROM c JOIN n ON c.name <> n.name),
+b AS (SELECT x.name, x.candidate, x.edits FROM d x LEFT JOIN d y ON x.name = y.name AND y.r = 2 WHERE x.r = 1 AND length(x.name) >= 8 AND x.edits <= 0.35 * length(x.name) AND coalesce(y.edits - x.edits, 3) >= 3
+  AND array_to_string(regexp_extract_all(x.name, '[0-9]+'), ' ') = array_to_string(regexp_extract_all(x.candidate, '[0-9]+'), ' '))
+SELECT q.stop, b.candidate FROM q JOIN b USING (name) WHERE EXISTS (SELECT 1 FROM stops s WHERE lower(s.street) || ' ' || lower(s.district) = b.candidate AND s.number = q.number AND s.cep = q.cep)""")
+def _(spark, sf):
+    s = v.stops(spark, sf)
+    known = s.selectExpr("lower(street) || ' ' || lower(district) AS candidate", "number", "cep").distinct()
+    q = s.where("stop % 2 = 0").selectExpr("stop", "number", "cep", "lower(replace(street, 'e', 'ee')) || ' ' || lower(district) AS name")
+    best = rel.fuzzy_best(q.select("name"), known.select("candidate"))
+    return q.join(best, "name").join(known, ["candidate", "number", "cep"], "left_semi").select("stop", "candidate")
+
+
+_NAMES = f"n AS (SELECT DISTINCT p_name || ' ' || lower(p_type) AS name FROM part), w AS (SELECT name, {_words('name')} AS w FROM n)"
+
+
+def _names(spark, sf):
+    return load(spark, sf, "part").selectExpr("p_name || ' ' || lower(p_type) AS name").distinct().select("name", t.words("name").alias("w"))
+
+
+@query("j25_token_containment", f"""WITH {_NAMES} SELECT a.name AS a, b.name AS b FROM w a JOIN w b ON a.name <> b.name
+AND list_bool_and(list_transform(a.w, lambda x: list_bool_or(list_transform(b.w, lambda y: x = y OR (length(x) >= 5 AND levenshtein(x, y) <= 1)))))""")
 def _(spark, sf):
-    p = load(spark, sf, "part").select("p_partkey", "p_brand", "p_size", t.words("p_name").alias("w"))
-    q = p.select("p_brand", "p_size", F.col("p_partkey").alias("b"), F.col("w").alias("w_b"))
-    near = p.join(q, ["p_brand", "p_size"]).where((F.col("p_partkey") != F.col("b")) & t.fits_into(F.col("w"), F.col("w_b")))
-    return near.select(F.col("p_partkey").alias("a"), "b")
+    w = _names(spark, sf)
+    # every word of a is almost a word of b, so one is enough to meet: the longest, by itself and without any one character
+    longest = F.array_max(F.transform("w", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    asked = w.select(F.col("name").alias("a"), F.col("w").alias("w_a"), F.explode(t.one_edit_marks(longest)).alias("mark"))
+    held = w.select(F.col("name").alias("b"), F.col("w").alias("w_b"), F.explode("w").alias("word"))
+    held = held.select("b", "w_b", F.explode(t.one_edit_marks("word")).alias("mark")).distinct()
+    near = asked.join(held, "mark").where("a <> b").select("a", "b", "w_a", "w_b").distinct()
+    return near.where(t.fits_into(F.col("w_a"), F.col("w_b"))).select("a", "b")
+
+
+_SHARE = "len(list_filter(a.w, lambda x: list_contains(b.w, x))) / len(a.w) >= 0.6"
+
+
+def _overlapping(spark, sf):
+    """Ordered pairs of different names of which the second holds 60 % of the first's words; they meet by a word they share."""
+    w = _names(spark, sf)
+    each = w.select("name", "w", F.explode(F.array_distinct("w")).alias("word"))
+    other = each.select(F.col("name").alias("b"), F.col("w").alias("w_b"), "word")
+    asked = each.select(F.col("name").alias("a"), F.col("w").alias("w_a"), "word")
+    near = asked.join(other, "word").where("a <> b").select("a", "b", "w_a", "w_b").distinct()
+    return near.where(t.overlap(F.col("w_a"), F.col("w_b")) >= 0.6).select("a", "b")
 
 
-@query("j26_token_overlap", f"""SELECT a.p_partkey AS a, b.p_partkey AS b FROM (SELECT p_partkey, p_brand, p_size, {_words('p_name')} AS w FROM part) a JOIN (SELECT p_partkey, p_brand, p_size, {_words('p_name')} AS w FROM part) b
-ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey AND len(list_filter(a.w, lambda x: list_contains(b.w, x))) / len(a.w) >= 0.6""")
+@query("j26_token_overlap", f"WITH {_NAMES} SELECT a.name AS a, b.name AS b FROM w a JOIN w b ON a.name <> b.name AND {_SHARE}")
 def _(spark, sf):
-    p = load(spark, sf, "part").select("p_partkey", "p_brand", "p_size", t.words("p_name").alias("w"))
-    q = p.select("p_brand", "p_size", F.col("p_partkey").alias("b"), F.col("w").alias("w_b"))
-    near = p.join(q, ["p_brand", "p_size"]).where((F.col("p_partkey") < F.col("b")) & (t.overlap(F.col("w"), F.col("w_b")) >= 0.6))
-    return near.select(F.col("p_partkey").alias("a"), "b")
+    return _overlapping(spark, sf)
 
 
-@query("j26_token_overlap_both_ways", f"""SELECT a.p_partkey AS a, b.p_partkey AS b FROM (SELECT p_partkey, p_brand, p_size, {_words('p_name')} AS w FROM part) a JOIN (SELECT p_partkey, p_brand, p_size, {_words('p_name')} AS w FROM part) b
-ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey <> b.p_partkey AND len(list_filter(a.w, lambda x: list_contains(b.w, x))) / len(a.w) >= 0.6""")
+@query("j26_token_overlap_both_ways", f"WITH {_NAMES} SELECT a.name AS a, b.name AS b FROM w a JOIN w b ON a.name < b.name AND {_SHARE} AND {_SHARE.replace('a.w', 'c.w').replace('b.w', 'a.w').replace('c.w', 'b.w')}")
 def _(spark, sf):
-    p = load(spark, sf, "part").select("p_partkey", "p_brand", "p_size", t.words("p_name").alias("w"))
-    q = p.select("p_brand", "p_size", F.col("p_partkey").alias("b"), F.col("w").alias("w_b"))
-    near = p.join(q, ["p_brand", "p_size"]).where((F.col("p_partkey") != F.col("b")) & (t.overlap(F.col("w"), F.col("w_b")) >= 0.6))
-    return near.select(F.col("p_partkey").alias("a"), "b")
+    pairs = _overlapping(spark, sf)
+    return pairs.where("a < b").join(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_semi")
 
 
 @query("t03_latest_with_floor", "WITH r AS (SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) SELECT o_orderkey FROM r WHERE r <= 500 OR o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 7 DAY")
