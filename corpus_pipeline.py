@@ -2,6 +2,12 @@
 
 Bad documents go, repeated lines go, one document of each group of near copies stays, documents that hold test
 items go, and the rest is packed into training sequences.
+
+Every stage works on whole rows: all columns of documents, also those named like what an operator makes, pass through all stages
+but the last untouched, except for text and n_chars where lines went. Rows without id are judged by their text, and count as
+documents of their own; near copies are only looked for among rows with an id. Rows repeated with one id stay or go together
+as near copies and are rows of their own elsewhere. Null and empty texts have no near copies, lines or test items, and are
+packed as the closing id alone if the classifier keeps them. An empty table of documents, labels or test items is no error.
 """
 
 from __future__ import annotations
