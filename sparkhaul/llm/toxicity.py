@@ -2,8 +2,8 @@
 
 Each blank-separated word has a word vector (one for all words rare in the sample) and a character vector (the largest
 values of its hashed character n-grams), joined. Two GRUs read a window of WINDOW words forward and backward; attention
-pools their states; a logistic unit scores the window. Windows start every STRIDE words, half a window, so they overlap, and the
-last one ends with the text; all of them are scored, and a document's score is its largest.
+pools their states; a logistic unit scores the window. Windows start every STRIDE words, so they overlap, and the last one ends
+with the text; all of them are scored, and a document's score is its largest.
 
 Training (Adam, back-propagation through time) knows documents only: each round picks, of all windows of every
 sampled document, the one the network finds worst, and trains it towards the document's label. The sample has
@@ -33,7 +33,7 @@ from .language_id import PLACES as GRAMS
 from .language_id import gram_places
 
 #: Words of a window and between window starts; sizes of word and character vectors, states and attention.
-WINDOW, STRIDE, WORD_DIM, CHAR_DIM, STATE, ATTEND = 24, 12, 8, 12, 12, 8
+WINDOW, STRIDE, WORD_DIM, CHAR_DIM, STATE, ATTEND = 24, 16, 8, 12, 12, 8
 #: Word vectors, the sampled documents a word must be in to have one of its own, and rows of each label to learn from.
 WORDS, KNOWN_DOCS, TRAIN_ROWS = 4096, 8, 1000
 #: Rounds over the sample, windows in a batch, and the size of a step.
