@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, shared_table, texts
 
-#: Parts of a label's rows that are cut to size before they meet in one task (a power of two).
-SPREAD = 128
+#: How many times the rows wanted of a label are looked at, and some more, by the hash of their ids.
+MARGIN, MORE = 2, 64
 
 
 def fold(parts: int):
@@ -28,9 +28,14 @@ def sample(docs: DataFrame, labels: DataFrame, learnable, rows: int, per_class:
     labels = labels.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
     draw = labels.withColumn("draw", F.xxhash64("doc_id"))
     if per_class:
-        for keys in (["label", F.col("draw").bitwiseAND(SPREAD - 1)], ["label"]):
-            least = F.row_number().over(Window.partitionBy(*keys).orderBy("draw", "doc_id"))
-            draw = draw.withColumn("place", least).where(F.col("place") <= rows).drop("place")
+        # hashes are even over their range, so the least ones of a label lie below a bound that its count tells: what meets in
+        # one task are some MARGIN times the rows wanted. That fewer than wanted are left has a chance of one in many billions
+        counts = draw.groupBy("label").agg(F.count("*").alias("n"))
+        told = F.broadcast(counts) if counts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else counts
+        place = F.col("draw") / 2.0**64 + 0.5
+        few = draw.join(told, "label").where(place <= (rows * MARGIN + MORE) / F.col("n"))
+        least = F.row_number().over(Window.partitionBy("label").orderBy("draw", "doc_id"))
+        draw = few.withColumn("place", least).where(F.col("place") <= rows).drop("place", "n")
         chosen = shared_table(draw.select("doc_id", "label"), "sample")
         chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
     else:
