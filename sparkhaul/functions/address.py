@@ -359,3 +359,12 @@ def spelled(number: Column) -> Column:
     small = F.when(below < 20, F.array(F.try_element_at(word, below))).otherwise(F.array(F.try_element_at(word, tens), F.try_element_at(word, unit)))
     named = F.array_compact(F.concat(F.array(first), small))
     return F.flatten(F.transform(named, lambda w, i: F.when(i > 0, F.array(F.lit("e"), w)).otherwise(F.array(w))))
+
+
+#: Marks that receipts have; one alone stands in other texts too.
+RECEIPT_MARKS = ("d[o0] pedido", "localizador", "c[oó]digo de coleta", "entrega para [aà]s", r"(?m)^\W*pedido\s*[:.]?\s*[#hH*]?\s*\d", "fiscal", "goomer", r"\bcnpj\b", r"cliente\s*:", "taxa de ent", "forma de pagamento", "sub ?total")
+
+
+def receipt_marks(text: str | Column) -> Column:
+    """How many different marks of a receipt a text has."""
+    return sum((F.when(_col(text).rlike(f"(?i){m}"), 1).otherwise(0) for m in RECEIPT_MARKS), F.lit(0)).cast("long")

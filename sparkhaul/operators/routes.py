@@ -233,3 +233,28 @@ def claimed(points: DataFrame, lassos: DataFrame, inside: Column) -> DataFrame:
 
 def running(value: str, *order: str) -> Column:
     return F.sum(value).over(Window.partitionBy("route").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+
+
+def linked_readings(lines: DataFrame) -> DataFrame:
+    """document, line, readings: one line for each door that several readings of a document saw, the cleanest text of it.
+
+    lines: document, reading, line, door (street and number), unit. Lines of one door are the same unless their units differ or one reading
+    has both; a line without a unit is taken into the one line with a unit, if there is just one. The cleanest text has the fewest
+    odd symbols, then the most letters, then comes first. A document has some tens of lines.
+    """
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, door in rows.groupby("door", sort=True):
+            units = {u: g for u, g in door.groupby("unit", sort=True)}
+            named = [u for u in units if u]
+            if "" in units and len(named) == 1 and not set(units[""].reading) & set(units[named[0]].reading):
+                units[named[0]] = pd.concat([units[named[0]], units.pop("")])
+            for g in units.values():
+                copies = int(g.groupby("reading").size().max())  # what one reading saw several times is several stops
+                odd = g.line.str.count(r"[^\w\s,.\-/]")
+                order = g.assign(odd=odd, letters=-g.line.str.len()).sort_values(["odd", "letters", "line"])
+                out += [(rows.document.iloc[0], order.line.iloc[0], g.reading.nunique())] * copies
+        return pd.DataFrame(out, columns=["document", "line", "readings"])
+
+    return lines.groupBy("document").applyInPandas(one, "document long, line string, readings long")

@@ -289,3 +289,53 @@ def _(spark, sf):
     # the two least are enough: one of them is another stop
     two = open_.withColumn("r", F.row_number().over(Window.partitionBy("door").orderBy("open"))).where("r <= 2")
     return s.join(two, "door").where("stop <> open").groupBy("stop").agg(F.min("open").alias("open"))
+
+
+_ASKED = "CASE stop % 3 WHEN 0 THEN 'place ' || (stop % 40) WHEN 1 THEN lower(extra) ELSE lower(district) END"
+
+
+@query("j31_named_places", f"""WITH {v.STOPS}, q AS (SELECT stop, {_ASKED} AS key FROM stops), learned AS (SELECT 'place ' || (stop % 60) AS key, avg(lat) AS lat FROM stops WHERE precision = 'confirmado' AND stop % 60 < 20 GROUP BY 1),
+c AS (SELECT lower(extra) AS key, avg(lat) AS lat, avg(lng) AS lng FROM stops WHERE extra LIKE 'Conjunto%' OR extra LIKE 'Bloco%' GROUP BY 1), near AS (SELECT c.key, any_value(c.lat) AS lat FROM stops s JOIN c ON c.key = lower(s.extra) GROUP BY c.key
+  HAVING bool_and({v.haversine_sql('c.lat', 'c.lng', 's.lat', 's.lng')} <= 9000)), d AS (SELECT DISTINCT lower(district) AS key FROM stops)
+SELECT stop, CASE WHEN l.key IS NOT NULL THEN 'learned' ELSE 'complex' END AS how, round(coalesce(l.lat, n.lat), 6) AS lat FROM q LEFT JOIN learned l USING (key) LEFT JOIN near n USING (key) WHERE coalesce(l.lat, n.lat) IS NOT NULL AND key NOT IN (SELECT key FROM d)""")
+def _(spark, sf):
+    s = v.stops(spark, sf)
+    q = s.selectExpr("stop", f"{_ASKED} AS key").join(s.select(F.lower("district").alias("key")).distinct(), "key", "left_anti")
+    learned = s.where("precision = 'confirmado' AND stop % 60 < 20").groupBy(F.expr("'place ' || (stop % 60)").alias("key")).agg(F.avg("lat").alias("l_lat"))
+    own = s.where("extra LIKE 'Conjunto%' OR extra LIKE 'Bloco%'").select(F.lower("extra").alias("key"), "lat", "lng")
+    centre = own.groupBy("key").agg(F.avg("lat").alias("c_lat"), F.avg("lng").alias("c_lng"))
+    together = own.join(centre, "key").groupBy("key", "c_lat").agg(F.bool_and(haversine("c_lat", "c_lng", "lat", "lng") <= 9000).alias("ok")).where("ok").drop("ok")
+    both = q.join(learned, "key", "left").join(together, "key", "left").where("l_lat IS NOT NULL OR c_lat IS NOT NULL")
+    return both.select("stop", F.when(F.col("l_lat").isNotNull(), "learned").otherwise("complex").alias("how"), F.round(F.coalesce("l_lat", "c_lat"), 6).alias("lat"))
+
+
+@query("x31_same_door_by_name", None)
+def _(spark, sf):
+    key = F.array_compact(F.array(a.place_name_key(a.place_hints())))
+    s = a.with_address(v.stops(spark, sf).select("stop", "address", "district"))
+    s = s.select("stop", F.col("parts.number").alias("number"), F.explode(key).alias("key"))
+    other = s.select(F.col("stop").alias("other"), "key", "number")
+    return s.join(other, ["key", "number"]).where("stop < other").select("stop", "other")
+
+
+@query("x32_receipt_lines", f"WITH {v.STOPS} SELECT stop, CAST(CASE WHEN stop % 2 = 0 THEN 3 ELSE 1 END AS BIGINT) AS marks, stop % 2 = 0 AS receipt FROM stops")
+def _(spark, sf):
+    said = F.expr("CASE WHEN stop % 2 = 0 THEN 'ID do pedido 12\nCliente: x\n' || address || '\nTaxa de entrega 5' ELSE address || '\nCNPJ 1' END")
+    return v.stops(spark, sf).select("stop", a.receipt_marks(said).alias("marks"), (a.receipt_marks(said) >= 2).alias("receipt"))
+
+
+@query("x34_lines_repaired", f"""WITH {v.STOPS}, n AS (SELECT DISTINCT lower(street) || ' de baixo' AS name FROM stops), q AS (SELECT DISTINCT replace(lower(street), 'o', 'oo') || ' de baixo' AS name FROM stops),
+d AS (SELECT q.name, n.name AS candidate, levenshtein(q.name, n.name) AS edits, row_number() OVER (PARTITION BY q.name ORDER BY levenshtein(q.name, n.name), n.name) AS r FROM q JOIN n ON q.name <> n.name)
+SELECT x.name || ', 12' AS line, x.candidate || ', 12' AS repaired FROM d x LEFT JOIN d y ON x.name = y.name AND y.r = 2 WHERE x.r = 1 AND length(x.name) >= 8 AND x.edits <= 0.35 * length(x.name) AND coalesce(y.edits - x.edits, 3) >= 3""")
+def _(spark, sf):
+    s = v.stops(spark, sf)
+    known = s.selectExpr("lower(street) || ' de baixo' AS candidate")
+    lines = s.selectExpr("replace(lower(street), 'o', 'oo') || ' de baixo, 12' AS line").distinct().withColumn("name", F.split_part("line", F.lit(","), F.lit(1)))
+    best = rel.fuzzy_best(lines.select("name"), known)
+    return lines.join(best, "name").select("line", F.replace("line", F.col("name"), F.col("candidate")).alias("repaired"))
+
+
+@query("x26_readings_linked", None)
+def _(spark, sf):
+    s = v.stops(spark, sf).selectExpr("route AS document", "stop % 3 AS reading", "CASE WHEN stop % 5 = 0 THEN '| ' || address ELSE address END AS line")
+    return ops.linked_readings(a.with_address(s, "line").select("document", "reading", "line", a.street_and_number().alias("door"), a.complement_key(F.col("parts.rest")).alias("unit")))
