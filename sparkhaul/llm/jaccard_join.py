@@ -192,11 +192,14 @@ def in_blocks(rows: DataFrame, key: str, who: str, *more: str) -> DataFrame:
     rows: key, who, component, n_shingles, radius, bits and more.
     """
     banded = rows.withColumn("band", F.floor(F.log("n_shingles") * SIZE_BANDS).cast("long"))
-    parts = banded.groupBy(key, "band").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("parts"))
+    # written first: a join whose both sides are shuffled for it can be split where a key has very many rows
+    parts = shared_table(banded.groupBy(key, "band").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("parts")), "parts")
     dealt = banded.join(parts, [key, "band"]).withColumn("block", F.shiftleft("band", 40) + F.pmod(F.xxhash64(who), F.col("parts")))
     held = F.collect_list(F.struct(F.col(who).alias("who"), "component", "n_shingles", "radius", "bits", *more))
     edges = (F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"), F.max("radius").alias("wide"))
-    return shared_table(dealt.groupBy(key, "block").agg(*edges, held.alias("held")), "blocks")
+    out = shared_table(dealt.groupBy(key, "block").agg(*edges, held.alias("held")), "blocks")
+    drop_shared(parts)
+    return out
 
 
 def side(blocks: DataFrame, x: str, *names: str) -> DataFrame:
