@@ -89,7 +89,10 @@ def read_line(line: str | Column) -> Column:
 
 
 def with_address(df: DataFrame, line: str = "address") -> DataFrame:
-    """df with `read` (see read_line) and `parts` (the address in parts), in steps, so no expression is worked out twice."""
+    """df with `read` (see read_line) and `parts` (the address in parts), in steps, so no expression is worked out twice.
+
+    Write keys made of parts to a table before joining or filtering on them: the optimizer would push that below the steps.
+    """
     code = r"\b(\d{5})-?(\d{3})\b"
     text, first, second = F.col("read.text"), F.col("__first"), F.col("__second")
     df = df.withColumn("read", read_line(line))

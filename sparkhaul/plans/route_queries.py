@@ -11,6 +11,7 @@ from ..operators import evidence as ev
 from ..operators import places
 from ..operators import relational as rel
 from ..operators import routes as ops
+from ..scratch import settled
 from . import views as v
 from .registry import registry
 
@@ -284,7 +285,7 @@ def _(spark, sf):
 @query("j37_open_at_the_same_door", f"WITH {v.STOPS} SELECT a.stop, min(b.stop) AS open FROM stops a JOIN stops b ON lower(a.street) = lower(b.street) AND a.number % 100 = b.number % 100 AND NOT b.delivered AND a.stop <> b.stop GROUP BY a.stop")
 def _(spark, sf):
     s = a.with_address(v.stops(spark, sf).selectExpr("stop", "delivered", "street || ', ' || (number % 100) AS address"))
-    s = s.select("stop", "delivered", F.concat_ws("|", F.lower("parts.street"), "parts.number").alias("door"))
+    s = settled(s.select("stop", "delivered", F.concat_ws("|", F.lower("parts.street"), "parts.number").alias("door")), "doors")
     open_ = s.where("NOT delivered").select("door", F.col("stop").alias("open"))
     # the two least are enough: one of them is another stop
     two = open_.withColumn("r", F.row_number().over(Window.partitionBy("door").orderBy("open"))).where("r <= 2")
@@ -311,9 +312,8 @@ def _(spark, sf):
 
 @query("x31_same_door_by_name", None)
 def _(spark, sf):
-    key = F.array_compact(F.array(a.place_name_key(a.place_hints())))
     s = a.with_address(v.stops(spark, sf).select("stop", "address", "district"))
-    s = s.select("stop", F.col("parts.number").alias("number"), F.explode(key).alias("key"))
+    s = settled(s.select("stop", F.col("parts.number").alias("number"), a.place_name_key(a.place_hints()).alias("key")), "place-names")
     other = s.select(F.col("stop").alias("other"), "key", "number")
     return s.join(other, ["key", "number"]).where("stop < other").select("stop", "other")
 
