@@ -40,8 +40,8 @@ WORDS, KNOWN_DOCS, TRAIN_ROWS = 4096, 8, 1000
 ROUNDS, BATCH, RATE = 14, 64, 0.01
 #: Characters that don't count at the ends of a word.
 EDGES = ".,;:!?()[]{}'\"#$%&*|"
-#: Windows scored at once, and words that a worker remembers.
-SCORE_WINDOWS, MEMO_WORDS = 4096, 60_000
+#: Windows scored at once, words that a worker remembers, and words whose n-grams are looked up at once.
+SCORE_WINDOWS, MEMO_WORDS, SOME_WORDS = 4096, 60_000, 10_000
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -65,16 +65,22 @@ def first_weights(seed: int = 1) -> dict[str, np.ndarray]:
 def vocabulary(words: list[str], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Number of each word among the known ones (0 for others), places of all their n-grams word by word, and how many each has."""
     bucket = np.fromiter((known.get(w.strip(EDGES), 0) for w in words), np.int64, len(words))
-    places, count = gram_places(words)
+    parts = [gram_places(words[k : k + SOME_WORDS]) for k in range(0, len(words), SOME_WORDS)]
+    places, count = (np.concatenate(x) for x in zip(*parts, strict=True))
     return bucket, places, count
 
 
 def word_vectors(w: dict, bucket: np.ndarray, places: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Word vector beside the largest value of each dimension among the word's n-grams (0 at least)."""
+    """Word vector beside the largest value of each dimension among the word's n-grams (0 at least); some words at once."""
     chars = np.zeros((len(bucket), CHAR_DIM), np.float32)
-    some = np.flatnonzero(count)
-    if len(some):
-        chars[some] = np.maximum.reduceat(w["char"][places], (np.cumsum(count) - count)[some], axis=0)
+    ends = np.cumsum(count)
+    for k in range(0, len(bucket), SOME_WORDS):
+        own = slice(k, k + SOME_WORDS)
+        some = k + np.flatnonzero(count[own])
+        if len(some):
+            first = ends[k] - count[k]
+            starts_of = (ends - count)[some] - first
+            chars[some] = np.maximum.reduceat(w["char"][places[first : ends[some[-1]]]], starts_of, axis=0)
     return np.concatenate([w["word"][bucket], np.maximum(chars, 0)], axis=1)
 
 
