@@ -189,7 +189,8 @@ class Model:
             words = part.decode("utf-8", "replace").lower().split()
             for i in range(0, len(words), BLOCK_WORDS):
                 block = words[i : i + BLOCK_WORDS]
-                total += self.values[self.places_of(block)].sum(axis=0)
+                at = self.places_of(block)  # may put a larger table in the place of self.values
+                total += self.values[at].sum(axis=0)
                 counted += len(block)
         margins = total / counted + self.bias
         k = int(np.argmax(margins[: len(self.families)])) if len(self.families) > 1 else 0

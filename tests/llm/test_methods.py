@@ -221,6 +221,27 @@ def test_families_of_several_languages():
         assert wins[model.predict(text)[0]] == max(wins.values())
 
 
+def test_predictions_over_large_vocabularies():
+    """5,000 distinct words, in one text and in many, against a plain sum over each text's n-grams; also where a worker forgets."""
+    rng = random.Random(12)
+    words = {n: sorted({*invented(rng, letters, 3000)}) for n, letters in (("x", "abcdeiou"), ("y", "klmnprsv"))}
+    rows = [(sentence(rng, words[n], 40), n) for n in "xy" for _ in range(30)]
+    model = language_id.Model(rows)
+
+    def plain(text):
+        at, v = language_id.features(text)
+        margins = model.weights[at].T @ v + model.bias
+        return model.families[int(np.argmax(margins))][0] if len(model.families) > 1 else ("x" if margins[0] >= 0 else "y")
+
+    every = [" ".join(w) for w in words.values()] + [sentence(rng, words["x"], 30) for _ in range(200)] + [w for w in words["y"][:300]]
+    assert len({w for t in every for w in t.split()}) > 5000
+    for most in (language_id.BLOCK_WORDS, 64):
+        model.words.clear()
+        model.most_words = most if most > 64 else model.most_words
+        found = [model.predict(t)[0] for t in (every if most > 64 else every[::-1])]
+        assert found == [plain(t) for t in (every if most > 64 else every[::-1])]
+
+
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_tokens_that_cross_bounds(spark, rule):
     """Sections cut every three bytes, in the middle of tokens, against a walk over all bytes."""
