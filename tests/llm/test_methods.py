@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -174,6 +175,43 @@ def test_contamination_against_all_pairs(spark, contamination, shard_words):
     assert {(r.doc_id, r.item_id) for r in found} == expected and len(found) == len(expected)
 
 
+def test_edited_long_items_are_found(spark):
+    """Items of 70 to 200 words, one word in eight changed, at every offset from the passages."""
+    rng = random.Random(13)
+    words = [f"w{k}" for k in range(3000)]
+    items = [(i, sentence(rng, words, 70 + 13 * i)) for i in range(11)]
+    docs = []
+    for k in range(64):
+        changed = [w if j % 8 != k % 8 else f"new{j}" for j, w in enumerate(items[k % 11][1].split())]
+        docs.append((k, " ".join([sentence(rng, words, 100 + k), *changed, sentence(rng, words, 50)])))
+    found = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    by_doc = {r.doc_id: r.item_id for r in found}
+    grams = {i: decontamination.grams(decontamination.terms(t.encode())) for i, t in items}
+    verified = {d for d, text in docs if decontamination.share(grams[d % 11], decontamination.terms(text.encode())) >= decontamination.QUESTION}
+    assert len(verified) > 50 and all(by_doc.get(d) == d % 11 for d in verified) and all(i == d % 11 for d, i in by_doc.items())
+
+
+def test_first_bound_in_runs(monkeypatch):
+    """The passages passed on are the same for runs of any size, and memory does not grow with the text."""
+    rng = random.Random(14)
+    words = [f"w{k}" for k in range(300)]
+    index = decontamination.Index([(i, sentence(rng, words, 30).encode()) for i in range(400)])
+    text = [w.encode() for w in sentence(rng, words, 5000).split()]
+    ids = np.array([index.term.get(w, len(index.term)) for w in text], np.int64)
+    whole = index._likely(ids, len(decontamination.passages(len(ids))))
+    assert len(whole)
+    for run in (1, 1000, 7777):
+        monkeypatch.setattr(decontamination, "RUN_POSTINGS", run)
+        assert index.likely(ids).tolist() == whole.tolist()
+    for short in (0, 1, 63, 64, 65, 96, 97):
+        assert index.likely(ids[:short]).tolist() == index._likely(ids[:short], len(decontamination.passages(short))).tolist()
+    monkeypatch.setattr(decontamination, "RUN_POSTINGS", 20_000)
+    tracemalloc.start()
+    index.likely(np.tile(ids, 8))
+    assert tracemalloc.get_traced_memory()[1] < 20e6
+    tracemalloc.stop()
+
+
 def test_machines_reach_the_least_objective(monkeypatch):
     monkeypatch.setattr(language_id, "PASSES", 400)  # the eight of the operator stop before the last digits
     rng = random.Random(8)
