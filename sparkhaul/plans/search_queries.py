@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import address as a
 from ..functions import text as t
 from ..operators import relational as rel
+from ..operators import trigrams as tri
+from ..scratch import settled
 from ..session import load
 from . import views as v
 
@@ -39,6 +42,34 @@ def _(spark, sf):
     return load(spark, sf, "part").where(F.forall(wanted, lambda w: F.contains(F.lower("p_name"), w) | F.contains(F.lower("p_type"), w))).select("p_partkey")
 
 
+_SAID = (
+    "CASE s_suppkey % 8 WHEN 0 THEN 'Flôres, ' || (s_suppkey % 500) WHEN 1 THEN '#' || (s_suppkey % 25) WHEN 2 THEN 'cen Dez 4900' || (s_suppkey % 3) WHEN 3 THEN 'br' || (s_suppkey * 7 % 1000)"
+    " WHEN 4 THEN CAST(1000 + s_suppkey % 9000 AS VARCHAR) WHEN 5 THEN 'CARLOS-padaria' WHEN 6 THEN 'bloco x # casa' ELSE 'à ' || (s_suppkey % 100) END"
+)
+_PLAIN = "trim(regexp_replace(regexp_replace(lower(strip_accents({})), '[^a-z0-9{}]', ' ', 'g'), ' +', ' ', 'g'))"
+
+
+@query("f06_stops_found", f"""WITH {v.STOPS}, q AS (SELECT s_suppkey AS query, {_PLAIN.format(_SAID, '# ')} AS said FROM supplier),
+s AS (SELECT stop, {_PLAIN.format('address', ' ')} || ' ' || {_PLAIN.format('district', ' ')} AS t, CAST(cep AS VARCHAR) AS cep, 'br' || (stop * 37) || 'x' AS code, seq, carrier FROM stops),
+w AS (SELECT query, word, regexp_replace(word, '^#', '') AS piece FROM (SELECT query, unnest(string_split(said, ' ')) AS word FROM q) WHERE regexp_replace(word, '^#', '') <> ''),
+hit AS (SELECT DISTINCT query, word, stop FROM w, s WHERE CASE WHEN regexp_full_match(piece, '[0-9]+')
+  THEN (NOT starts_with(word, '#') AND list_contains(regexp_extract_all(t, '[0-9]+'), piece)) OR piece = CAST(seq AS VARCHAR) OR piece = CAST(carrier AS VARCHAR) OR (length(piece) >= 4 AND contains(code, piece)) OR (length(piece) >= 5 AND contains(cep, piece))
+  ELSE contains(t, piece) OR (regexp_matches(piece, '[0-9]') AND contains(code, piece)) END)
+SELECT query, stop AS key FROM hit JOIN (SELECT query, count(DISTINCT word) AS n FROM w GROUP BY query) USING (query) GROUP BY query, stop, n HAVING count(*) = n""")
+def _(spark, sf):
+    s = v.stops(spark, sf).select("stop", a.plain("address").alias("text"), a.plain("district").alias("district"), F.col("cep").cast("string").alias("cep"), F.expr("array('BR' || (stop * 37) || 'X')").alias("codes"), F.array("seq", "carrier").alias("numbers"))
+    said = F.regexp_replace(t.normal(F.expr(_SAID.replace("VARCHAR", "STRING"))), "[^a-z0-9# ]", " ")
+    asked = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("query"), said.alias("said"))
+    return tri.found_by_all(tri.build(tri.stop_entries(settled(s, "searched"))), tri.stop_queries(asked))
+
+
+@query("f04_indexed_search", "WITH q AS (SELECT DISTINCT substr(unnest(string_split(p_name, ' ')), 2, 3) AS piece FROM part) SELECT piece, p_partkey AS key FROM q JOIN part ON contains(p_name, piece) WHERE piece <> ''")
+def _(spark, sf):
+    names = load(spark, sf, "part").select(F.lit("name").alias("kind"), F.explode(F.split("p_name", " ")).alias("word"), F.col("p_partkey").alias("key"), F.lit(False).alias("whole"))
+    asked = names.select("kind", F.substring("word", 2, 3).alias("piece"), "whole").distinct()
+    return tri.find(tri.build(names), asked).select("piece", "key")
+
+
 @query("x01_normal_text", f"SELECT doc_id, md5({_norm('text')}) AS digest FROM documents")
 def _(spark, sf):
     return load(spark, sf, "documents").select("doc_id", F.md5(t.normal("text")).alias("digest"))
