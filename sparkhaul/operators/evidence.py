@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import flat_distance, haversine, within
+from ..scratch import settled
+from . import ranks
 from .relational import first_per_key
 
 #: Metres within which marks support each other.
@@ -63,19 +65,19 @@ def named_places(sightings: DataFrame, metres: float = 120.0, least: int = 2) ->
 
 def postal_anchors(doors: DataFrame, least_m: float = 60.0, most_m: float = 1500.0) -> DataFrame:
     """cep, lat, lng (medians by component), radius_m (90th percentile of the distances, clamped), doors."""
-    centres = doors.groupBy("cep").agg(F.percentile("lat", 0.5).alias("c_lat"), F.percentile("lng", 0.5).alias("c_lng"))
-    far = doors.join(centres, "cep").withColumn("far", flat_distance("c_lat", "c_lng", "lat", "lng"))
-    radius = F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY far)")
-    out = far.groupBy("cep", "c_lat", "c_lng").agg(radius.alias("radius"), F.count("*").alias("doors"))
-    return out.select("cep", F.col("c_lat").alias("lat"), F.col("c_lng").alias("lng"), F.greatest(F.lit(least_m), F.least(F.lit(most_m), F.col("radius"))).alias("radius_m"), "doors")
+    centres = settled(ranks.medians(doors, ["cep"], ["lat", "lng"]).withColumnsRenamed({"lat": "c_lat", "lng": "c_lng", "n": "doors"}), "centres")
+    far = ranks.beside(doors, centres, ["cep"]).withColumn("far", flat_distance("c_lat", "c_lng", "lat", "lng"))
+    radius = ranks.value_at(far, ["cep"], "far", F.ceil(F.col("n") * 0.9) - 1)
+    out = centres.join(radius, "cep")
+    return out.select("cep", F.col("c_lat").alias("lat"), F.col("c_lng").alias("lng"), F.greatest(F.lit(least_m), F.least(F.lit(most_m), F.col("far"))).alias("radius_m"), "doors")
 
 
 def stop_outliers(stops: DataFrame, least_m: float = 7000.0, times: float = 4.0) -> DataFrame:
     """Stops of a route farther from its median centre than max(least_m, times x the median distance)."""
-    centre = stops.groupBy("route").agg(F.median("lat").alias("c_lat"), F.median("lng").alias("c_lng"))
-    far = stops.join(centre, "route").withColumn("far", F.round(flat_distance("c_lat", "c_lng", "lat", "lng"), 3))
-    limit = far.groupBy("route").agg(F.greatest(F.lit(least_m), times * F.median("far")).alias("limit_m"))
-    return far.join(limit, "route").where("far > limit_m").select("route", "stop", F.col("far").alias("far_m"), "limit_m")
+    centre = ranks.medians(stops, ["route"], ["lat", "lng"]).select("route", F.col("lat").alias("c_lat"), F.col("lng").alias("c_lng"))
+    far = settled(ranks.beside(stops, centre, ["route"]).withColumn("far", F.round(flat_distance("c_lat", "c_lng", "lat", "lng"), 3)), "far")
+    limit = ranks.medians(far, ["route"], ["far"]).select("route", F.greatest(F.lit(least_m), times * F.col("far")).alias("limit_m"))
+    return ranks.beside(far, limit, ["route"]).where("far > limit_m").select("route", "stop", F.col("far").alias("far_m"), "limit_m")
 
 
 def review_list(evidence: DataFrame) -> DataFrame:
@@ -97,22 +99,18 @@ def review_list(evidence: DataFrame) -> DataFrame:
 
 def anchors_with_radius(doors: DataFrame, key: str, share: float = 0.99) -> DataFrame:
     """key, lat, lng (medians), doors, radius_m: the distance at place floor(n * share) of all, counted from 0."""
-    centres = doors.groupBy(key).agg(F.median("lat").alias("c_lat"), F.median("lng").alias("c_lng"), F.count("*").alias("doors"))
-    far = doors.join(centres, key).withColumn("far", haversine("c_lat", "c_lng", "lat", "lng"))
-    # percentile_disc(p) takes the first value with a share of at least p: a share just beyond floor(n * share) / n
-    place = (F.floor(F.col("doors") * share) + 0.5) / F.col("doors")
-    counts = far.groupBy(key, "c_lat", "c_lng", "doors", "far").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(key).orderBy("far"))
-    radius = counts.withColumn("upto", upto).where(F.col("upto") >= place * F.col("doors")).groupBy(key, "c_lat", "c_lng", "doors").agg(F.min("far").alias("radius_m"))
-    return radius.select(key, F.col("c_lat").alias("lat"), F.col("c_lng").alias("lng"), "doors", "radius_m")
+    centres = settled(ranks.medians(doors, [key], ["lat", "lng"]).withColumnsRenamed({"lat": "c_lat", "lng": "c_lng", "n": "doors"}), "centres")
+    far = ranks.beside(doors, centres, [key]).withColumn("far", haversine("c_lat", "c_lng", "lat", "lng"))
+    radius = ranks.value_at(far, [key], "far", F.least(F.col("n") - 1, F.floor(F.col("n") * share)))
+    return centres.join(radius, key).select(key, F.col("c_lat").alias("lat"), F.col("c_lng").alias("lng"), "doors", F.col("far").alias("radius_m"))
 
 
 def isolated_stops(stops: DataFrame, least_m: float = 7000.0, times: float = 4.0, near_m: float = 2000.0, neighbours: int = 2, least_stops: int = 4) -> DataFrame:
     """Stops of routes with enough stops, farther from the median centre than max(least_m, times x the median distance), with too few neighbours."""
-    centre = stops.groupBy("route").agg(F.median("lat").alias("c_lat"), F.median("lng").alias("c_lng"), F.count("*").alias("n")).where(F.col("n") >= least_stops)
-    far = stops.join(centre, "route").withColumn("far", haversine("lat", "lng", "c_lat", "c_lng"))
-    limit = far.groupBy("route").agg(F.greatest(F.lit(least_m), times * F.median("far")).alias("limit_m"))
-    out = far.join(limit, "route").where("far > limit_m").select(*stops.columns, "far", "limit_m")
+    centre = ranks.medians(stops, ["route"], ["lat", "lng"]).where(F.col("n") >= least_stops).select("route", F.col("lat").alias("c_lat"), F.col("lng").alias("c_lng"))
+    far = settled(ranks.beside(stops, centre, ["route"]).withColumn("far", haversine("lat", "lng", "c_lat", "c_lng")), "far")
+    limit = ranks.medians(far, ["route"], ["far"]).select("route", F.greatest(F.lit(least_m), times * F.col("far")).alias("limit_m"))
+    out = ranks.beside(far, limit, ["route"]).where("far > limit_m").select(*stops.columns, "far", "limit_m")
     near = within(out.select("route", "stop", "lat", "lng"), stops.select("route", "stop", "lat", "lng"), near_m * 1.01, ["route"])
     close = near.where((F.col("stop") != F.col("r_stop")) & (haversine("lat", "lng", "r_lat", "r_lng") <= near_m)).groupBy("stop").agg(F.count("*").alias("close"))
     return out.join(close, "stop", "left").where(F.coalesce("close", F.lit(0)) < neighbours).drop("close")

@@ -8,6 +8,7 @@ from ..functions import geo
 from ..functions import text as t
 from ..functions.geo import flat_distance, haversine, within
 from ..operators import places as ops
+from ..operators import ranks
 from ..operators import relational as rel
 from ..session import load
 from . import views as v
@@ -349,7 +350,7 @@ def _(spark, sf):
 
 @query("g03_median", f"WITH {v.STOPS} SELECT route, median(lat) AS lat, median(number) AS number FROM stops GROUP BY route")
 def _(spark, sf):
-    return v.stops(spark, sf).groupBy("route").agg(F.median("lat").alias("lat"), F.median("number").alias("number"))
+    return ranks.medians(v.stops(spark, sf), ["route"], ["lat", "number"]).drop("n")
 
 
 @query("g04_segment_distance", f"WITH {v.VERTICES}, {_EDGES} SELECT seg, i, round({_segment_sql('-9.45e0', '-35.65e0')}, 4) AS metres FROM edges")
