@@ -36,24 +36,31 @@ def _(spark, sf):
 _TODAY = "DATE '2024-02-03'"
 
 
-@query("st04_days_in_bounds", f"WITH {_EVENTS}, b AS (SELECT driver, bool_and(day BETWEEN {_TODAY} - 30 AND {_TODAY} + 1) AS ok FROM e WHERE id % 400 = driver % 400 OR day >= DATE '2024-01-10' GROUP BY driver) SELECT e.driver, count(*) AS n FROM e JOIN b USING (driver) WHERE ok AND (id % 400 = driver % 400 OR day >= DATE '2024-01-10') GROUP BY e.driver")
+_SENT = "id - id % 25 AS request"
+
+
+@query("st04_days_in_bounds", f"WITH {_EVENTS}, b AS (SELECT *, {_SENT}, bool_or(day NOT BETWEEN {_TODAY} - 30 AND {_TODAY} + 1) OVER (PARTITION BY id - id % 25) AS bad FROM e) SELECT request, id FROM b WHERE NOT bad")
 def _(spark, sf):
-    bounds = F.expr(f"day BETWEEN date_sub({_TODAY}, 30) AND date_add({_TODAY}, 1)")
+    sizes = v.evidence(spark, sf).groupBy(F.expr(_SENT)).agg(F.count("*").alias("size"))  # what the senders say
+    sent = _events(spark, sf).selectExpr(_SENT, "id", f"NOT (day BETWEEN date_sub({_TODAY}, 30) AND date_add({_TODAY}, 1)) AS bad")
+    return rules.written(rules.whole_or_not(sent.join(sizes, "request"), ["request"], "request long, id long"), "bounds")
+
 
-    def whole(batch):  # a driver's batch is refused whole if one day is out of bounds
-        bad = batch.where(~bounds).select("driver").distinct()
-        return batch.join(bad, "driver", "left_anti").select("driver", "id")
+def _quiet(key: str, starts: str, ends: str, seconds: int) -> str:
+    """Rows that start, without an end within the time, told once the last row is an hour beyond the deadline."""
+    return f"""WITH {_EVENTS}, k AS (SELECT *, epoch_us(ts) AS us, {starts} AS starts, {ends} AS ends FROM e), n AS (SELECT (max(us) // 1000) * 1000 - 3600000000 AS now FROM k)
+SELECT a.{key}, a.id FROM k a, n WHERE a.starts AND a.us + {seconds}000000 < now AND NOT EXISTS (SELECT 1 FROM k b WHERE b.{key} = a.{key} AND b.ends AND (b.us, b.id) > (a.us, a.id) AND b.us - a.us <= {seconds}000000)"""
 
-    sent = _events(spark, sf).where("id % 400 = driver % 400 OR day >= DATE '2024-01-10'").select("driver", "id", "day")
-    return rules.written(sent, "bounds", prepare=whole).groupBy("driver").agg(F.count("*").alias("n"))
 
+def _told(spark, sf, key: str, starts: str, ends: str, seconds: int, name: str):
+    e = _events(spark, sf).selectExpr(key, "id", "ts", f"{starts} AS starts", f"{ends} AS ends")
+    kind = "string" if key == "place" else "long"
+    return rules.written(rules.unfollowed(e, [key], f"{key} {kind}, id long", seconds), name)
 
-@query("st05_held_then_sent", f"""WITH {_EVENTS}, k AS (SELECT * FROM e WHERE kind IN ('click', 'error')), l AS (SELECT driver, max((ts, id)) AS last FROM k GROUP BY driver)
-SELECT a.driver, a.id FROM k a WHERE a.kind = 'click' AND NOT EXISTS (SELECT 1 FROM k b WHERE b.driver = a.driver AND b.kind = 'error' AND (b.ts, b.id) > (a.ts, a.id) AND epoch(b.ts) - epoch(a.ts) <= 36000)
-AND EXISTS (SELECT 1 FROM k b WHERE b.driver = a.driver AND epoch(b.ts) - epoch(a.ts) > 36000)""")
+
+@query("st05_held_then_sent", _quiet("driver", "kind = 'click'", "kind = 'error'", 36000))
 def _(spark, sf):
-    k = _events(spark, sf).where("kind IN ('click', 'error')").select("driver", "id", "ts", "kind")
-    return rules.written(rules.per_key(k, ["driver"], "driver long, id long", "times array<double>, ids array<long>", rules.held_until(36_000.0, "error"), ([], [])), "held")
+    return _told(spark, sf, "driver", "kind = 'click'", "kind = 'error'", 36000, "held")
 
 
 @query("st06_latest_wish", f"WITH {_EVENTS} SELECT driver, place, arg_max(kind, (ts, id)) AS wish FROM e GROUP BY ALL")
@@ -78,10 +85,14 @@ def _undo(rows, state):
     return out, (int(last), str(kind))
 
 
-@query("st08_rolling_cap", None)
+@query("st08_rolling_cap", f"""WITH RECURSIVE {_EVENTS}, o AS (SELECT driver, id, epoch_us(ts) / 1e6 AS tm, row_number() OVER (PARTITION BY driver ORDER BY ts, id) AS r FROM e),
+s AS (SELECT driver, id, r, true AS taken, [tm] AS accepted FROM o WHERE r = 1
+UNION ALL SELECT o.driver, o.id, o.r, len(list_filter(s.accepted, lambda x: x > o.tm - 864000)) < 5, CASE WHEN len(list_filter(s.accepted, lambda x: x > o.tm - 864000)) < 5
+  THEN list_append(list_filter(s.accepted, lambda x: x > o.tm - 864000), o.tm) ELSE s.accepted END FROM s JOIN o ON o.driver = s.driver AND o.r = s.r + 1)
+SELECT driver, id FROM s WHERE taken""")
 def _(spark, sf):
-    e = _events(spark, sf).selectExpr("driver % 40 AS driver", "id", "ts")
-    return rules.written(rules.per_key(e, ["driver"], "driver long, id long", "accepted array<double>", rules.rolling_cap(5), ([],)), "cap")
+    e = _events(spark, sf).select("driver", "id", "ts")
+    return rules.written(rules.per_key(e, ["driver"], "driver long, id long", "accepted array<double>", rules.rolling_cap(5, 864_000.0), ([],)), "cap")
 
 
 @query("st09_time_to_live", "SELECT event_id AS id FROM events WHERE ts >= TIMESTAMP '2024-04-20 00:00:00' - INTERVAL 90 DAY")
@@ -89,6 +100,12 @@ def _(spark, sf):
     return rules.written(_events(spark, sf).where("ts >= TIMESTAMP '2024-04-20 00:00:00' - INTERVAL 90 DAYS").select("id"), "ttl")
 
 
+@query("st09_expired_places", _quiet("place", "true", "true", 86400))
+def _(spark, sf):
+    """The last word on a place that had no newer one for a day."""
+    return _told(spark, sf, "place", "true", "true", 86400, "expired")
+
+
 @query("st10_click_pairs", f"WITH {_EVENTS}, l AS (SELECT id, kind, lag(kind) OVER w AS before, epoch_ms(ts) - epoch_ms(lag(ts) OVER w) AS gap FROM e WINDOW w AS (PARTITION BY driver, day ORDER BY ts, id)) SELECT kind, CASE WHEN gap <= 7200000 THEN before ELSE '' END AS before, count(*) AS n FROM l GROUP BY ALL")
 def _(spark, sf):
     e = _events(spark, sf).select("driver", "day", "id", "ts", "kind")
@@ -96,10 +113,17 @@ def _(spark, sf):
     return rules.written(pairs, "pairs").groupBy("kind", "before").agg(F.count("*").alias("n"))
 
 
-@query("st11_followed_positions", None)
+@query("st11_followed_positions", f"""WITH RECURSIVE {_EVENTS}, o AS (SELECT driver, id, epoch_us(ts) / 1e6 AS tm, value * 4000 AS x, CAST(id % 7 AS DOUBLE) * 3000 AS y, row_number() OVER (PARTITION BY driver ORDER BY ts, id) AS r FROM e),
+s AS (SELECT driver, id, r, 'moves' AS what, x, y, tm, x AS sx, y AS sy, -1e0 AS suspected FROM o WHERE r = 1
+UNION ALL SELECT driver, id, r, what, CASE WHEN what = 'moves' THEN nx ELSE x END, CASE WHEN what = 'moves' THEN ny ELSE y END, CASE WHEN what = 'moves' THEN now ELSE tm END,
+  CASE WHEN what = 'waits' AND suspected <> now THEN nx ELSE sx END, CASE WHEN what = 'waits' AND suspected <> now THEN ny ELSE sy END, CASE WHEN what = 'waits' THEN now ELSE -1e0 END
+  FROM (SELECT o.driver, o.id, o.r, s.x, s.y, s.tm, s.sx, s.sy, s.suspected, o.x AS nx, o.y AS ny, o.tm AS now,
+    CASE WHEN sqrt(pow(o.x - s.x, 2) + pow(o.y - s.y, 2)) < 5 THEN 'stays' WHEN sqrt(pow(o.x - s.x, 2) + pow(o.y - s.y, 2)) / greatest(o.tm - s.tm, 1) <= 50 THEN 'moves'
+    WHEN s.suspected >= 0 AND o.tm > s.suspected AND sqrt(pow(o.x - s.sx, 2) + pow(o.y - s.sy, 2)) / greatest(o.tm - s.suspected, 1) <= 50 THEN 'moves' ELSE 'waits' END AS what FROM s JOIN o ON o.driver = s.driver AND o.r = s.r + 1))
+SELECT driver, id, what FROM s""")
 def _(spark, sf):
-    e = _events(spark, sf).selectExpr("driver", "id", "ts", "value * 40 AS x", "CAST(id % 7 AS DOUBLE) * 30 AS y")
-    moves = rules.per_key(e, ["driver"], "driver long, id long, what string", "x double, y double, at double, wx double, wy double, waiting boolean", rules.follow(), (0.0, 0.0, -1.0, 0.0, 0.0, False))
+    e = _events(spark, sf).selectExpr("driver", "id", "ts", "value * 4000 AS x", "CAST(id % 7 AS DOUBLE) * 3000 AS y")
+    moves = rules.per_key(e, ["driver"], "driver long, id long, what string", "x double, y double, at double, sx double, sy double, suspected double", rules.follow(), (0.0, 0.0, -1.0, 0.0, 0.0, -1.0))
     return rules.written(moves, "followed")
 
 
@@ -118,6 +142,12 @@ def _(spark, sf):
     return last.select("driver", (F.unix_micros(F.expr("TIMESTAMP '2024-02-01 00:00:00'")) - F.unix_micros("last") >= 86_400_000_000).alias("idle"))
 
 
+@query("st13_idle_alerts", _quiet("driver", "true", "true", 86400))
+def _(spark, sf):
+    """Each time a driver is still for a day: told when the day is over, not when the driver comes back."""
+    return _told(spark, sf, "driver", "true", "true", 86400, "idle-alerts")
+
+
 @query("st14_disputes_on_arrival", f"""WITH {v.EVIDENCE}, m AS ({v.standing(None, '(SELECT * FROM evidence WHERE id % 2 = 0)')}), c AS ({v.consensus_sql('m')})
 SELECT e.id FROM evidence e JOIN c USING (place) WHERE e.id % 2 = 1 AND c.status = 'confirmed' AND {v.flat('c.lat', 'c.lng', 'e.lat', 'e.lng')} > 30""")
 def _(spark, sf):

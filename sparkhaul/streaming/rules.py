@@ -16,12 +16,15 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..scratch import shared_folder
 
+#: Files of a micro-batch.
+FILES_PER_TRIGGER = 8
+
 
 def event_stream(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
     """The files of a table as a stream; timestamps without zone become instants, as watermarks need."""
     path = f"{sf_dir}/{name}.parquet"
     schema = spark.read.parquet(path).schema
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{path}*")
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_TRIGGER).parquet(f"{sf_dir}/{name}.[p]arquet")  # a pattern, as a single file is no folder; it has no other match
     return rows.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in rows.columns else rows
 
 
@@ -67,33 +70,33 @@ def rolling_cap(most: int, seconds: float = 86_400.0) -> Callable:
     return step
 
 
-def follow(stay_m: float = 5.0, most_speed: float = 50.0) -> Callable:
+def follow(stay_m: float = 5.0, most_speed: float = 50.0, least_s: float = 1.0) -> Callable:
     """A marker that follows positions: it stays within stay_m, moves at a likely speed, and else waits for a second like reading.
 
-    rows: ts, id, x, y in metres. Puts out (id, what): stays, moves, waits.
+    Speed is that since the last move, least_s being the least time counted. A reading that is too fast is the suspect; a later one
+    that is not too fast since the suspect confirms it, and the marker moves. Staying changes neither place nor time of the last move.
+    rows: ts, id, x, y in metres. Puts out (id, what): stays, moves, waits. state: place and time of the last move, then of the suspect;
+    a time below 0 stands for none.
     """
 
+    def too_fast(x: float, y: float, at: float, px: float, py: float, t: float) -> bool:
+        return ((px - x) ** 2 + (py - y) ** 2) ** 0.5 / max(t - at, least_s) > most_speed
+
     def step(rows: pd.DataFrame, state: tuple) -> tuple[list, tuple]:
-        x, y, at, wx, wy, waiting = state
+        x, y, at, sx, sy, suspected = state
         out = []
         for t, ident, px, py in zip(rows.ts.astype("int64") / 1e9, rows.id, rows.x, rows.y, strict=True):
-            far = ((px - x) ** 2 + (py - y) ** 2) ** 0.5
-            if at < 0 or (far >= stay_m and far <= most_speed * max(t - at, 1e-9)):
-                what = "moves"
-            elif far < stay_m:
-                what = "stays"
-            else:
-                confirmed = waiting and ((px - wx) ** 2 + (py - wy) ** 2) ** 0.5 <= most_speed
-                what = "moves" if confirmed else "waits"
-            if what == "waits":
-                wx, wy, waiting = px, py, True
+            if at >= 0 and ((px - x) ** 2 + (py - y) ** 2) ** 0.5 < stay_m:
+                what, suspected = "stays", -1.0
+            elif at < 0 or not too_fast(x, y, at, px, py, t) or (suspected >= 0 and t > suspected and not too_fast(sx, sy, suspected, px, py, t)):
+                what, suspected = "moves", -1.0
+                x, y, at = px, py, t
             else:
-                waiting = False
-                if what == "moves":
-                    x, y = px, py
-                at = t
+                what = "waits"
+                if suspected != t:
+                    sx, sy, suspected = px, py, t
             out.append((ident, what))
-        return out, (float(x), float(y), float(at), float(wx), float(wy), bool(waiting))
+        return out, (float(x), float(y), float(at), float(sx), float(sy), float(suspected))
 
     return step
 
@@ -127,24 +130,65 @@ def pairs_within(seconds: float) -> Callable:
     return step
 
 
-def held_until(seconds: float, cancel: str) -> Callable:
-    """Rows that no row of kind `cancel` follows within `seconds`: (id,). state: rows still held, as times and ids.
+def unfollowed(stream: DataFrame, keys: list[str], schema: str, seconds: float, late: str = "1 hour") -> DataFrame:
+    """keys, id of the rows with `starts` that no row of their key with `ends` follows within `seconds`; told when the watermark passes
+    that deadline, by a timer, whether or not another row of the key comes.
 
-    A row is released by the first later row of its key beyond the deadline; what is held at the end stays in the state.
+    stream: keys, ts, id, starts, ends. A row follows another by (ts, id); one with both is held and ends those before it. Rows may come
+    in any order up to `late`; the result does not depend on how they fall into micro-batches. State of a key: rows held, and the ends
+    that may still meet rows to come; it goes when neither is left. schema: of keys and id.
     """
+    names = [c.split()[0] for c in schema.split(", ")]
+    reach = round(seconds * 1e6)
 
-    def step(rows: pd.DataFrame, state: tuple) -> tuple[list, tuple]:
-        times, ids, out = list(state[0]), list(state[1]), []
-        for t, ident, kind in zip(rows.ts.astype("int64") / 1e9, rows.id, rows.kind, strict=True):
-            due = [i for i, at in enumerate(times) if at + seconds < t]
-            out += [(ids[i],) for i in due]
-            keep = [i for i in range(len(times)) if i not in set(due)]
-            times, ids = [times[i] for i in keep], [ids[i] for i in keep]
-            if kind == cancel:
-                times, ids = [], []
-            else:
-                times.append(t)
-                ids.append(int(ident))
-        return out, (times, ids)
+    def over(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        times, ids, ends, end_ids = (list(x) for x in held.get) if held.exists else ([], [], [], [])
+        rows = [] if held.hasTimedOut else list(frames)
+        for frame in rows:
+            at = frame.ts.astype("datetime64[us]").astype("int64").to_numpy()
+            for t, ident, starts, stops in zip(at.tolist(), frame.id.tolist(), frame.starts, frame.ends, strict=True):
+                if stops:
+                    ends.append(t)
+                    end_ids.append(ident)
+                if starts:
+                    times.append(t)
+                    ids.append(ident)
+        now = held.getCurrentWatermarkMs() * 1000
+        stopped = lambda t, i: any((t, i) < (e, j) and e - t <= reach for e, j in zip(ends, end_ids, strict=True))
+        waiting = [(t, i) for t, i in zip(times, ids, strict=True) if not stopped(t, i)]
+        out = [i for t, i in waiting if t + reach < now]
+        waiting = [(t, i) for t, i in waiting if t + reach >= now]
+        recent = [(e, j) for e, j in zip(ends, end_ids, strict=True) if e >= now]  # an earlier end follows no row that can still come
+        if waiting or recent:
+            held.update(([t for t, _ in waiting], [i for _, i in waiting], [e for e, _ in recent], [j for _, j in recent]))
+            wake = min([t + reach for t, _ in waiting] + [e for e, _ in recent])
+            held.setTimeoutTimestamp(max(wake // 1000 + 1, held.getCurrentWatermarkMs() + 1))
+        elif held.exists:
+            held.remove()
+        yield pd.DataFrame([(*key, i) for i in out], columns=names)
+
+    marked = stream.withWatermark("ts", late)
+    return marked.groupBy(*keys).applyInPandasWithState(over, schema, "times array<long>, ids array<long>, ends array<long>, end_ids array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def whole_or_not(stream: DataFrame, keys: list[str], schema: str) -> DataFrame:
+    """keys, id of the rows of batches without a bad row; a batch is told by its keys, and comes whole or in parts, in any micro-batches.
+
+    stream: keys, id, bad, size (how many rows the sender says the batch has). A batch is judged once all its rows are there; rows sent
+    again are known by their ids. A batch that is never whole stays in the state. schema: of keys and id.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    return step
+    def over(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        ids, bad, done = held.get if held.exists else ([], False, False)
+        ids, size = set(ids), 0
+        for frame in frames:
+            ids |= set(frame.id.tolist())
+            bad, size = bool(bad or frame.bad.any()), int(frame["size"].max())
+        out = []
+        if not done and len(ids) >= size:
+            out, done = ([] if bad else sorted(ids)), True
+        held.update(([] if done else sorted(ids), bad, done))
+        yield pd.DataFrame([(*key, i) for i in out], columns=names)
+
+    return stream.groupBy(*keys).applyInPandasWithState(over, schema, "ids array<long>, bad boolean, done boolean", "append", GroupStateTimeout.NoTimeout)

@@ -99,7 +99,7 @@ def test_stateful_rules_row_by_row():
     second, _ = rules.alerts()(rows[77:], state)
     assert [i for (i,) in first + second] == fired
     at = pd.DataFrame({"ts": pd.to_datetime([0, 10, 11, 12, 13], unit="s").astype("datetime64[ns]"), "id": range(5), "x": [0.0, 3.0, 90.0, 5000.0, 5001.0], "y": [0.0] * 5})
-    assert [w for _, w in rules.follow()(at, (0.0, 0.0, -1.0, 0.0, 0.0, False))[0]] == ["moves", "stays", "waits", "waits", "moves"]
+    assert [w for _, w in rules.follow()(at, (0.0, 0.0, -1.0, 0.0, 0.0, -1.0))[0]] == ["moves", "stays", "moves", "waits", "moves"]
 
 
 def test_backups_and_decisions(spark, tmp_path):
