@@ -261,9 +261,10 @@ def _(spark, sf):
     return v.stops(spark, sf).select("street").distinct().select("street", a.street_key("street").alias("key"))
 
 
-@query("x10_numbers_in_words", "SELECT k AS number, CAST(k AS VARCHAR) AS read FROM range(1, 1000) t(k)")
+@query("x10_numbers_in_words", "SELECT p_partkey, CAST(p_partkey * 7 % 999 + 1 AS VARCHAR) || ' travessa ' || CAST(p_partkey % 999 + 1 AS VARCHAR) AS read FROM part")
 def _(spark, sf):
-    return spark.range(1, 1000).select(F.col("id").alias("number"), F.array_join(a.digits_for_words(a.spelled(F.col("id").cast("int"))), " ").alias("read"))
+    words = F.concat(a.spelled(F.expr("CAST(p_partkey * 7 % 999 + 1 AS INT)")), F.array(F.lit("travessa")), a.spelled(F.expr("CAST(p_partkey % 999 + 1 AS INT)")))
+    return load(spark, sf, "part").select("p_partkey", F.array_join(a.digits_for_words(words), " ").alias("read"))
 
 
 @query("x11_complex_names", f"WITH {v.STOPS} SELECT stop, CASE WHEN extra LIKE 'Conjunto%' THEN extra ELSE '' END AS complex FROM stops")
@@ -464,12 +465,12 @@ def _(spark, sf):
     return c.withColumn("r", r).where("r <= 6").select("route", "best.stop", "r")
 
 
-@query("t04_near_by", f"WITH {v.STOPS} SELECT a.stop, b.stop AS other FROM stops a JOIN stops b ON a.stop <> b.stop AND NOT b.delivered AND {v.haversine_sql('a.lat', 'a.lng', 'b.lat', 'b.lng')} BETWEEN 10 AND 200 WHERE a.stop % 5 = 1")
+@query("t04_near_by", f"WITH {v.STOPS} SELECT a.stop, b.stop AS other FROM stops a JOIN stops b ON a.stop <> b.stop AND NOT b.delivered AND {v.haversine_sql('a.lat', 'a.lng', 'b.lat', 'b.lng')} BETWEEN 10 AND 200")
 def _(spark, sf):
     from ..functions.geo import haversine, within
 
     s = v.stops(spark, sf)
-    near = within(s.where("stop % 5 = 1").select("stop", "lat", "lng"), s.where("NOT delivered").select("stop", "lat", "lng"), 202.0, [])
+    near = within(s.select("stop", "lat", "lng"), s.where("NOT delivered").select("stop", "lat", "lng"), 202.0, [])
     return near.where((F.col("stop") != F.col("r_stop")) & haversine("lat", "lng", "r_lat", "r_lng").between(10, 200)).select("stop", F.col("r_stop").alias("other"))
 
 

@@ -174,7 +174,7 @@ def _(spark, sf):
 _DOORS = f"{v.STOPS}, doors AS (SELECT DISTINCT stop AS door, street, number, district, lat, lng FROM stops)"
 
 
-@query("j23_census_by_street", f"""WITH {_DOORS}, q AS (SELECT stop AS query, street, (number * 7) % 500 AS wanted, district AS stated, lat AS q_lat, lng AS q_lng FROM stops WHERE stop % 3 = 0),
+@query("j23_census_by_street", f"""WITH {_DOORS}, q AS (SELECT stop AS query, street, (number * 7) % 500 AS wanted, district AS stated, lat AS q_lat, lng AS q_lng FROM stops),
 g AS (SELECT query, wanted, stated, q_lat, q_lng, d.district, d.door, d.lat, d.lng, abs(d.number - wanted) AS gap,
   row_number() OVER (PARTITION BY query, d.district ORDER BY abs(d.number - wanted), d.door) AS r FROM q JOIN doors d USING (street) WHERE abs(d.number - wanted) <= 20),
 b AS (SELECT *, round({v.flat('q_lat', 'q_lng', 'lat', 'lng')}, 3) AS metres, count(*) OVER (PARTITION BY query) AS districts,
@@ -183,7 +183,7 @@ SELECT query, district, door, gap, metres FROM b WHERE best = 1 AND (districts =
 def _(spark, sf):
     s = v.stops(spark, sf)
     doors = s.select(F.col("stop").alias("door"), "street", "number", "district", "lat", "lng")
-    q = s.where("stop % 3 = 0").selectExpr("stop AS query", "street", "(number * 7) % 500 AS wanted", "district AS stated", "lat AS q_lat", "lng AS q_lng")
+    q = s.selectExpr("stop AS query", "street", "(number * 7) % 500 AS wanted", "district AS stated", "lat AS q_lat", "lng AS q_lng")
     blocks = F.transform(F.array(*(F.lit(x) for x in (-1, 0, 1))), lambda x: F.floor(F.col("wanted") / 20) + x)
     pairs = q.withColumn("block", F.explode(blocks)).join(doors.withColumn("block", F.floor(F.col("number") / 20)), ["street", "block"])
     pairs = pairs.withColumn("gap", F.abs(F.col("number") - F.col("wanted"))).where("gap <= 20")
@@ -411,9 +411,13 @@ def _(spark, sf):
     return s.join(b, ["route", "carrier"]).select("route", "stop", "other", F.round(metres, 3).alias("metres"), F.round(metres / 7, 3).alias("seconds"))
 
 
-@query("g11_anchor_limit", f"WITH {v.STOPS} SELECT cep, greatest(3000e0, 2 * stddev_pop(lat) * 111320) AS limit_m FROM stops GROUP BY cep")
+@query("g11_anchor_limit", f"""WITH {v.STOPS}, c AS (SELECT cep, median(lat) AS lat0, median(lng) AS lng0, count(*) AS n FROM stops GROUP BY cep),
+f AS (SELECT cep, n, {v.haversine_sql('lat0', 'lng0', 'lat', 'lng')} AS far FROM stops JOIN c USING (cep)), r AS (SELECT cep, n, far, row_number() OVER (PARTITION BY cep ORDER BY far) AS place FROM f)
+SELECT cep, round(greatest(3000, 2 * far), 3) AS limit_m FROM r WHERE place - 1 = least(n - 1, CAST(floor(n * 0.99) AS BIGINT))""")
 def _(spark, sf):
-    return v.stops(spark, sf).groupBy("cep").agg(F.greatest(F.lit(3000.0), 2 * F.stddev_pop("lat") * 111320).alias("limit_m"))
+    from ..operators.evidence import anchors_with_radius
+
+    return anchors_with_radius(v.stops(spark, sf), "cep").select("cep", F.round(F.greatest(F.lit(3000.0), 2 * F.col("radius_m")), 3).alias("limit_m"))
 
 
 @query("g12_path_cost", f"""WITH {v.STOPS}, l AS (SELECT *, lag(lat) OVER w AS lat0, lag(lng) OVER w AS lng0 FROM stops WINDOW w AS (PARTITION BY route ORDER BY seq, stop))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import haversine, within
 from ..operators import evidence as ops
 from ..operators import relational as rel
+from ..scratch import settled
 from . import views as v
 from .registry import registry
 
@@ -51,32 +52,36 @@ def _(spark, sf):
     return _by_route(spark, sf).groupBy(F.expr(_STATE).alias("state")).agg(F.count("*").alias("routes"))
 
 
-_FILE = "lower(replace('Rota ' || lpad(CAST(extract(day FROM day) AS VARCHAR), 2, '0') || '-' || lpad(CAST(extract(month FROM day) AS VARCHAR), 2, '0') || '-' || CAST(extract(year FROM day) AS VARCHAR) || ' lane ' || lane || ' driver' || (route % 7) || ' (' || (route % 3) || ')', '(0)', ''))"
+#: First names by driver, and the file name of a route's sheet: another month's date, another driver's name and copies among them.
+_FIRST = "CASE {} % 8 WHEN 0 THEN 'ana' WHEN 1 THEN 'bruno' WHEN 2 THEN 'carla' WHEN 3 THEN 'jo' WHEN 4 THEN 'edu' WHEN 5 THEN 'fabio' WHEN 6 THEN 'gil' ELSE 'hugo' END"
+_DATED = "CASE WHEN route % 10 = 3 THEN CAST(day + INTERVAL 1 MONTH AS DATE) ELSE day END"
+_FILE = "lower(replace('Rota ' || {date} || ' lane ' || lane || ' ' || " + _FIRST.format("(CASE WHEN route % 3 = 0 THEN route ELSE driver END)") + " || ' (' || (route % 3) || ')', '(0)', ''))"
 _BASE = "trim(regexp_replace(regexp_replace({}, '[(][0-9]+[)]', '', 'g'), ' +', ' ', 'g'))"
 
 
-@query("a14_suspicious_routes", f"""WITH {v.ROUTES}, {v.PACKAGES}, f AS (SELECT r.*, {_FILE} AS file FROM routes r), n AS (SELECT *, {_BASE.format('file')} AS base FROM f),
-d AS (SELECT route, count(*) FILTER (WHERE delivered) AS delivered FROM packages GROUP BY route), g AS (SELECT base, min((day, route)) AS first, count(*) AS copies FROM n GROUP BY base)
-SELECT n.route, CASE WHEN regexp_extract(file, '([0-9]{{2}})-', 1) <> lpad(CAST(extract(day FROM (day + to_days(CAST(n.route % 2 AS INTEGER)))) AS VARCHAR), 2, '0') THEN 'another day'
-WHEN driver % 7 <> n.route % 7 AND driver % 3 = 0 THEN 'another driver' WHEN copies > 1 AND first <> (day, n.route) THEN 'repeated' END AS suspicion
-FROM n JOIN g USING (base) LEFT JOIN d ON d.route = n.route WHERE coalesce(delivered, 0) = 0 AND (CASE WHEN regexp_extract(file, '([0-9]{{2}})-', 1) <> lpad(CAST(extract(day FROM (day + to_days(CAST(n.route % 2 AS INTEGER)))) AS VARCHAR), 2, '0') THEN true
-WHEN driver % 7 <> n.route % 7 AND driver % 3 = 0 THEN true WHEN copies > 1 AND first <> (day, n.route) THEN true ELSE false END)""")
-def _(spark, sf):
-    r = v.routes(spark, sf)
-    two = lambda c: F.lpad(c.cast("string"), 2, "0")
-    said = F.concat(F.lit("Rota "), two(F.dayofmonth("day")), F.lit("-"), two(F.month("day")), F.lit("-"), F.year("day").cast("string"), F.lit(" lane "), "lane", F.lit(" driver"),
-        (F.col("route") % 7).cast("string"), F.lit(" ("), (F.col("route") % 3).cast("string"), F.lit(")"))
-    r = r.withColumn("file", F.lower(F.replace(said, F.lit("(0)"), F.lit(""))))
-    r = r.withColumn("base", F.trim(F.regexp_replace(F.regexp_replace("file", r"[(][0-9]+[)]", ""), " +", " ")))
+@query("a14_suspicious_routes", f"""WITH {v.ROUTES}, {v.PACKAGES}, f AS (SELECT r.*, CAST(day + to_days(CAST(route % 2 AS INTEGER)) AS DATE) AS today, {_FIRST.format('driver')} AS own, driver % 11 = 0 AS admin,
+  {_FILE.format(date=f"strftime({_DATED}, '%d-%m-%Y')")} AS file FROM routes r), n AS (SELECT *, {_BASE.format('file')} AS base, regexp_split_to_array(file, '[^a-z]+') AS words FROM f),
+names AS (SELECT DISTINCT own AS name FROM n WHERE length(own) > 2), others AS (SELECT DISTINCT route FROM n JOIN names ON name <> own AND list_contains(words, name) WHERE NOT list_contains(words, own)),
+d AS (SELECT route, count(*) FILTER (WHERE delivered) AS delivered FROM packages GROUP BY route), g AS (SELECT base, min((day, route)) AS first, count(*) AS copies FROM n GROUP BY base),
+s AS (SELECT n.route, CASE WHEN regexp_extract(file, '[0-9]{{2}}-[0-9]{{2}}-[0-9]{{4}}') <> strftime(today, '%d-%m-%Y') THEN 'another day' WHEN NOT admin AND n.route IN (FROM others) THEN 'another driver'
+  WHEN copies > 1 AND first <> (day, n.route) THEN 'repeated' END AS suspicion FROM n JOIN g USING (base) LEFT JOIN d ON d.route = n.route WHERE coalesce(delivered, 0) = 0)
+SELECT route, suspicion FROM s WHERE suspicion IS NOT NULL""")
+def _(spark, sf):
+    r = v.routes(spark, sf).withColumns({"today": F.date_add("day", (F.col("route") % 2).cast("int")), "own": F.expr(_FIRST.format("driver")), "admin": F.col("driver") % 11 == 0})
+    r = r.withColumn("file", F.expr(_FILE.format(date=f"date_format({_DATED}, 'dd-MM-yyyy')").replace("VARCHAR", "STRING")))
+    r = r.withColumn("base", F.trim(F.regexp_replace(F.regexp_replace("file", r"[(][0-9]+[)]", ""), " +", " "))).withColumn("words", F.split("file", "[^a-z]+"))
+    r = settled(r, "sheets")
+    names = r.select(F.col("own").alias("name")).distinct().where("length(name) > 2")
+    said = r.where(~F.array_contains("words", F.col("own"))).select("route", "own", F.explode(F.array_distinct("words")).alias("name"))
+    others = said.join(names, "name").where("name <> own").select("route").distinct().withColumn("other", F.lit(True))
     d = v.packages(spark, sf).groupBy("route").agg(F.count_if("delivered").alias("delivered"))
     g = r.groupBy("base").agg(F.min(F.struct("day", "route")).alias("first"), F.count("*").alias("copies"))
-    today = F.date_add("day", (F.col("route") % 2).cast("int"))
     suspicion = (
-        F.when(F.regexp_extract("file", "([0-9]{2})-", 1) != two(F.dayofmonth(today)), "another day")
-        .when((F.col("driver") % 7 != F.col("route") % 7) & (F.col("driver") % 3 == 0), "another driver")
+        F.when(F.regexp_extract("file", "[0-9]{2}-[0-9]{2}-[0-9]{4}", 0) != F.date_format("today", "dd-MM-yyyy"), "another day")
+        .when(~F.col("admin") & F.col("other"), "another driver")
         .when((F.col("copies") > 1) & (F.col("first") != F.struct("day", "route")), "repeated")
     )
-    all_ = r.join(g, "base").join(d, "route", "left").where("coalesce(delivered, 0) = 0")
+    all_ = r.join(g, "base").join(d, "route", "left").join(others, "route", "left").where("coalesce(delivered, 0) = 0")
     return all_.select("route", suspicion.alias("suspicion")).where("suspicion IS NOT NULL")
 
 

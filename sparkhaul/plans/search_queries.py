@@ -135,7 +135,7 @@ def _(spark, sf):
     return rel.fuzzy_best(names.select(F.col("p_name").alias("name")), names.select(F.col("p_name").alias("candidate")))
 
 
-@query("j24_door_must_exist", f"""WITH {v.STOPS}, n AS (SELECT DISTINCT lower(street) || ' ' || lower(district) AS name FROM stops), q AS (SELECT stop, number, cep, lower(replace(street, 'e', 'ee')) || ' ' || lower(district) AS name FROM stops WHERE stop % 2 = 0),
+@query("j24_door_must_exist", f"""WITH {v.STOPS}, n AS (SELECT DISTINCT lower(street) || ' ' || lower(district) AS name FROM stops), q AS (SELECT stop, number, cep, lower(replace(street, 'e', 'ee')) || ' ' || lower(district) AS name FROM stops),
 c AS (SELECT DISTINCT name FROM q), d AS (SELECT c.name, n.name AS candidate, levenshtein(c.name, n.name) AS edits, row_number() OVER (PARTITION BY c.name ORDER BY levenshtein(c.name, n.name), n.name) AS r FROM c JOIN n ON c.name <> n.name),
 b AS (SELECT x.name, x.candidate, x.edits FROM d x LEFT JOIN d y ON x.name = y.name AND y.r = 2 WHERE x.r = 1 AND length(x.name) >= 8 AND x.edits <= 0.35 * length(x.name) AND coalesce(y.edits - x.edits, 3) >= 3
   AND array_to_string(regexp_extract_all(x.name, '[0-9]+'), ' ') = array_to_string(regexp_extract_all(x.candidate, '[0-9]+'), ' '))
@@ -143,7 +143,7 @@ SELECT q.stop, b.candidate FROM q JOIN b USING (name) WHERE EXISTS (SELECT 1 FRO
 def _(spark, sf):
     s = v.stops(spark, sf)
     known = s.selectExpr("lower(street) || ' ' || lower(district) AS candidate", "number", "cep").distinct()
-    q = s.where("stop % 2 = 0").selectExpr("stop", "number", "cep", "lower(replace(street, 'e', 'ee')) || ' ' || lower(district) AS name")
+    q = s.selectExpr("stop", "number", "cep", "lower(replace(street, 'e', 'ee')) || ' ' || lower(district) AS name")
     best = rel.fuzzy_best(q.select("name"), known.select("candidate"))
     return q.join(best, "name").join(known, ["candidate", "number", "cep"], "left_semi").select("stop", "candidate")
 

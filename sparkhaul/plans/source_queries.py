@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..scratch import shared_folder
+from ..scratch import settled, shared_folder
+from ..session import load
 from ..sources import readers, sinks
 from . import views as v
 from .registry import registry
@@ -118,11 +119,11 @@ def _(spark, sf):
     return readers.labelled_list(spark, f"{path}/route=*").select("order_id", "address")
 
 
-@query("src07_receipts", f"WITH {v.STOPS} SELECT CASE WHEN street NOT LIKE '% Dr %' THEN address END AS address, district, 'casa azul' AS reference FROM stops WHERE stop % 20 = 0")
+@query("src07_receipts", f"WITH {v.STOPS} SELECT CASE WHEN street NOT LIKE '% Dr %' THEN address END AS address, district, 'casa azul' AS reference FROM stops")
 def _(spark, sf):
     path = shared_folder(spark, "receipts")
-    v.stops(spark, sf).where("stop % 20 = 0").selectExpr("stop", "'ENTREGA\nTelefone: 0800 123\n' || address || '\nAracaju - ' || district || '\nRef: casa azul\nTotal 30' AS value").write.partitionBy("stop").text(path)
-    return readers.receipts(spark, f"{path}/stop=*").select("address", "district", "reference")
+    sinks.documents(v.stops(spark, sf).selectExpr("'ENTREGA\nTelefone: 0800 123\n' || address || '\nAracaju - ' || district || '\nRef: casa azul\nTotal 30' AS value"), path)
+    return readers.receipts(readers.documents(spark, path)).select("address", "district", "reference")
 
 
 @query("src07_vote_of_readings", f"WITH {v.STOPS}, r AS (SELECT route, CASE WHEN stop % 3 = 0 THEN lower(street) ELSE street END AS said FROM stops), n AS (SELECT route, said, count(*) AS n FROM r GROUP BY ALL) SELECT route, said FROM (SELECT *, row_number() OVER (PARTITION BY route ORDER BY n DESC, length(said) DESC, said DESC) AS r FROM n) WHERE r = 1")
@@ -135,10 +136,29 @@ def _(spark, sf):
     return readers.page_lines(v.stops(spark, sf).selectExpr("route AS page", "seq AS x", "(stop % 7) * 4 + 0.5e0 AS y", "'w' || stop AS text"))
 
 
-@query("src10_shifted_frames", "SELECT CAST(f AS BIGINT) AS frame, 3 AS shift FROM range(1, 40) t(f)")
+_FRAMES = """f AS (SELECT vec_id // 50 AS video, vec_id % 50 AS frame, list_transform(embedding, lambda x: 128 + 100 * x::DOUBLE) AS rows FROM embeddings),
+p AS (SELECT a.video, a.frame, a.rows AS b, z.rows AS a, least(len(a.rows), len(z.rows)) AS n FROM f a JOIN f z ON z.video = a.video AND z.frame = a.frame - 1),
+t AS (SELECT video, frame, n, s, list_sum(list_transform(range(greatest(0, -s), least(n, n - s)), lambda i: abs(a[i + s + 1] - b[i + 1]))) / (n - abs(s)) + abs(s) * 1e-6 AS error FROM p, unnest(range(-CAST(floor(n * 0.6) AS BIGINT), CAST(floor(n * 0.6) AS BIGINT) + 1)) AS x(s)),
+m AS (SELECT video, frame, n AS height, arg_min(s, (error, s)) AS shift, min(error) AS error FROM t GROUP BY ALL)"""
+
+
+def _shifts(spark, sf):
+    frames = load(spark, sf, "embeddings").select(F.expr("vec_id div 50").alias("video"), (F.col("vec_id") % 50).alias("frame"), F.transform("embedding", lambda x: 128 + 100 * x.cast("double")).alias("rows"))
+    return readers.frame_shifts(settled(frames, "frames"))
+
+
+@query("src10_shifted_frames", f"WITH {_FRAMES} SELECT video, frame, shift, round(error, 6) AS error FROM m")
+def _(spark, sf):
+    return _shifts(spark, sf).select("video", "frame", F.col("shift").cast("long").alias("shift"), F.round("error", 6).alias("error"))
+
+
+@query("src10_key_frames", f"""WITH RECURSIVE {_FRAMES}, last AS (SELECT video, max(frame) AS last FROM m GROUP BY video),
+w AS (SELECT DISTINCT video, 0::BIGINT AS frame, 0::BIGINT AS kept, 0::BIGINT AS moved, false AS jump, 0::BIGINT AS height FROM m
+UNION ALL SELECT m.video, m.frame, CASE WHEN m.error > 20 OR w.moved + abs(m.shift) >= m.height * 0.45 THEN m.frame ELSE w.kept END, CASE WHEN m.error > 20 OR w.moved + abs(m.shift) >= m.height * 0.45 THEN 0 ELSE w.moved + abs(m.shift) END, m.error > 20, m.height
+  FROM w JOIN m ON m.video = w.video AND m.frame = w.frame + 1)
+SELECT video, frame, bool_or(jump) OVER (PARTITION BY video) AS fast FROM w JOIN last USING (video) QUALIFY kept = frame OR (frame = last AND moved > height * 0.1)""")
 def _(spark, sf):
-    rows = F.transform(F.sequence(F.lit(0), F.lit(59)), lambda k: F.sin((k + F.col("id") * 3).cast("double") * 0.37) + F.sin((k + F.col("id") * 3).cast("double") * 0.11))
-    return readers.best_shift(spark.range(40).select(F.col("id").alias("frame"), rows.alias("rows")), 12).select("frame", "shift")
+    return readers.key_frames(_shifts(spark, sf))
 
 
 @query("src20_link_parts", f"WITH {v.STOPS}, s AS (SELECT stop, 'https://maps.google.com/x/data=!1s0x' || lower(printf('%016x', stop * 7919)) || ':0x' || lower(printf('%x', stop)) || '!3d-9.' || (400000 + stop) || '!4d-35.6000' AS link FROM stops) SELECT stop, CAST(stop AS VARCHAR) AS place_number, CAST('-9.' || (400000 + stop) AS DOUBLE) AS lat FROM s")

@@ -130,13 +130,23 @@ def labelled_list(spark: SparkSession, path: str) -> DataFrame:
     return text.select("file", F.regexp_extract("block", r"(?i)pedido\s*#\s*(\d+)", 1).alias("order_id"), address.alias("address")).where("address <> ''")
 
 
-def receipts(spark: SparkSession, path: str) -> DataFrame:
-    """file, address, district, reference of receipts: the address block between the customer's lines and the items."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.split("value", "\n").alias("lines"))
+#: What stands between documents of many lines in one file.
+PAGE_BREAK = "\f"
+
+
+def documents(spark: SparkSession, path: str) -> DataFrame:
+    """value: the documents of text files that hold many, with a page break behind each; sinks.documents() writes them so."""
+    return spark.read.option("lineSep", PAGE_BREAK).text(path)
+
+
+def receipts(texts: DataFrame) -> DataFrame:
+    """The columns of texts with address, district, reference of the receipt in `value`: the address block between the customer's lines and the items."""
+    text = texts.withColumn("lines", F.split("value", "\n"))
     own = F.filter("lines", lambda s: a.looks_like_address(s) & s.rlike(r"\d") & ~s.rlike(r"(?i)\b(telefone|localizador|pedido|cnpj|cliente|desconto)\b"))
     city = F.filter("lines", lambda s: s.rlike(r"^[A-Za-zÀ-ÿ' .]{3,30}\s+[-–]\s+[A-Za-zÀ-ÿ' .]{3,40}$"))
     reference = F.filter("lines", lambda s: s.rlike(r"(?i)^ref\s*[.:]"))
-    return text.select("file", F.get(own, 0).alias("address"), F.trim(F.get(F.split(F.get(city, 0), r"\s+[-–]\s+"), 1)).alias("district"), F.trim(F.regexp_replace(F.get(reference, 0), r"(?i)^ref\s*[.:]", "")).alias("reference"))
+    found = {"address": F.get(own, 0), "district": F.trim(F.get(F.split(F.get(city, 0), r"\s+[-–]\s+"), 1)), "reference": F.trim(F.regexp_replace(F.get(reference, 0), r"(?i)^ref\s*[.:]", ""))}
+    return text.withColumns(found).drop("lines")
 
 
 def voted(readings: DataFrame, key: str, value: str) -> DataFrame:
@@ -159,17 +169,43 @@ def doors_in_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(name.alias("name"), t.coordinate("value", 1).alias("lat"), t.coordinate("value", 2).alias("lng")).where("lat IS NOT NULL")
 
 
-def best_shift(profiles: DataFrame, most: int) -> DataFrame:
-    """frame, shift, difference: by how many rows each frame is shifted against the one numbered before it, by the least mean difference of row brightness.
+def frame_shifts(profiles: DataFrame, least_overlap: float = 0.4) -> DataFrame:
+    """video, frame, height, shift, error: by how many rows each frame is shifted, up or down, against the frame before it.
 
-    profiles: frame, rows (array of doubles). Ties go to the smaller shift.
+    profiles: video, frame (numbered without gaps), rows (brightness of its rows). The shift is the one with the least mean difference
+    over the rows that both show, which are least_overlap of all at least; a millionth for each row of shift lets the smaller one win.
     """
-    before = profiles.select((F.col("frame") + 1).alias("frame"), F.col("rows").alias("before"))
-    pairs = profiles.join(before, "frame")
+    before = profiles.select("video", (F.col("frame") + 1).alias("frame"), F.col("rows").alias("before"))
+    n = F.least(F.size("rows"), F.size("before"))
+    most = F.floor(n * (1 - F.lit(least_overlap))).cast("int")
 
-    def mean_difference(s: Column) -> Column:
-        mine, other = F.slice("rows", 1, F.size("rows") - s), F.slice("before", s + 1, F.size("rows") - s)
-        return F.aggregate(F.zip_with(mine, other, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda acc, x: acc + x) / (F.size("rows") - s)
+    def tried(s: Column) -> Column:
+        shared = n - F.abs(s)
+        mine, other = F.slice("rows", F.greatest(F.lit(0), -s) + 1, shared), F.slice("before", F.greatest(F.lit(0), s) + 1, shared)
+        total = F.aggregate(F.zip_with(mine, other, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda acc, x: acc + x)
+        return F.struct((total / shared + F.abs(s) * 1e-6).alias("error"), s.alias("shift"))
 
-    tries = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda s: F.struct(F.round(mean_difference(s), 9).alias("difference"), s.alias("shift")))
-    return pairs.select("frame", F.array_min(tries).alias("best")).select("frame", F.col("best.shift").alias("shift"), "best.difference")
+    best = F.array_min(F.transform(F.sequence(-most, most), tried))
+    return profiles.join(before, ["video", "frame"]).select("video", "frame", n.alias("height"), best.alias("best")).select("video", "frame", "height", "best.shift", "best.error")
+
+
+def key_frames(shifts: DataFrame, step: float = 0.45, most_error: float = 20.0, rest: float = 0.1) -> DataFrame:
+    """video, frame, fast: the first frame (numbered 0), then each one that is `step` of the height beyond the last one told, or that
+    nothing in the frame before explains; the last frame too if it shows `rest` of the height more. fast: whether any was not explained.
+
+    One fold in order over a video's shifts, some bytes for each frame.
+    """
+    each = shifts.groupBy("video").agg(F.array_sort(F.collect_list(F.struct("frame", "height", F.abs("shift").alias("shift"), "error"))).alias("frames"))
+    state = F.struct(F.array(F.lit(0).cast("long")).alias("kept"), F.lit(0.0).alias("moved"), F.lit(False).alias("fast"))
+
+    def walked(held: Column, x: Column) -> Column:
+        jump = x["error"] > most_error
+        moved = held["moved"] + x["shift"]
+        keep = jump | (moved >= x["height"] * F.lit(step))
+        kept = F.when(keep, F.concat(held["kept"], F.array(x["frame"]))).otherwise(held["kept"])
+        return F.struct(kept.alias("kept"), F.when(keep, F.lit(0.0)).otherwise(moved).alias("moved"), (held["fast"] | jump).alias("fast"))
+
+    end = each.withColumn("end", F.aggregate("frames", state, walked)).withColumn("last", F.element_at("frames", -1))
+    more = (F.element_at("end.kept", -1) != F.col("last.frame")) & (F.col("end.moved") > F.col("last.height") * F.lit(rest))
+    kept = F.when(more, F.concat(F.col("end.kept"), F.array("last.frame"))).otherwise(F.col("end.kept"))
+    return end.select("video", F.explode(kept).alias("frame"), F.col("end.fast").alias("fast"))

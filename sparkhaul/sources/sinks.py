@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .readers import PAGE_BREAK
+
 
 def merged(table: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """table after an upsert: rows of new in place of those with their key, and null values of new leaving the old ones."""
@@ -71,3 +73,8 @@ def verified_backup(spark: SparkSession, path: str, name: str, schema: str) -> D
     if told is None or line_digest(lines).first() != told:
         raise ValueError(f"backup of {name} is not what its manifest tells")
     return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
+def documents(texts: DataFrame, path: str) -> None:
+    """Writes the column `value`, documents of many lines, into as many files as texts has partitions; readers.documents() reads them."""
+    texts.select("value").write.option("lineSep", PAGE_BREAK).text(path)
