@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import settled
+
 #: Metres in a degree of latitude, mean radius of the earth in metres.
 DEGREE_M, EARTH_M = 111320.0, 6371000.0
 
@@ -55,26 +57,25 @@ def within(left: DataFrame, right: DataFrame, metres: float, keys: list[str], di
     return near.drop(CELL_Y, CELL_X, f"r_{CELL_Y}", f"r_{CELL_X}")
 
 
-def nearest(points: DataFrame, targets: DataFrame, key: str, target_key: str, first_m: float = 500.0, most_m: float = 2.1e7) -> DataFrame:
+def nearest(points: DataFrame, targets: DataFrame, key: str, target_key: str, first_m: float = 500.0, most_m: float = 2.1e7, keys: tuple[str, ...] = ()) -> DataFrame:
     """Columns of points, r_<target_key>, metres: the nearest target of each point, of equals the one with the least key.
 
     Grids of growing cells: a point that has a target within the reach is settled, as its nearest one is among those;
-    the others go on to a grid eight times as coarse. So no point meets all targets unless it is far from all of them.
-    Points and targets are read once for each grid; a point beyond most_m of all targets is left out.
+    the others are written and go on to a grid eight times as coarse. So no point meets all targets unless it is far from all of them,
+    and the plan stays one grid long. A point beyond most_m of all targets is left out. keys: only targets with equal keys count.
     """
     left, reach, found = points, first_m, None
-    targets = targets.select(target_key, "lat", "lng")
+    targets = targets.select(*keys, target_key, "lat", "lng")
     while True:
-        near = within(left, targets, reach, []).withColumn("metres", flat_distance("lat", "lng", "r_lat", "r_lng"))
+        near = within(left, targets, reach, list(keys)).withColumn("metres", flat_distance("lat", "lng", "r_lat", "r_lng"))
         best = near.groupBy(key).agg(F.min(F.struct("metres", f"r_{target_key}")).alias("best"))
-        settled = left.join(best, key).select(*points.columns, f"best.r_{target_key}", "best.metres")
-        found = settled if found is None else found.unionByName(settled)
-        if reach >= most_m:
-            return found
-        left = left.join(best.select(key), key, "left_anti")
-        if left.isEmpty():
+        both = settled(left.join(best, key, "left"), "nearest")
+        done = both.where("best IS NOT NULL").select(*points.columns, f"best.r_{target_key}", "best.metres")
+        found = done if found is None else found.unionByName(done)
+        left = both.where("best IS NULL").select(*points.columns)
+        if reach >= most_m or left.isEmpty():
             return found
-        reach *= 8
+        reach = min(8 * reach, most_m)
 
 
 def segment_distance(lat, lng, lat1, lng1, lat2, lng2) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import settled
+
 
 def first_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row per key: the first in the given order, which should be total."""
@@ -83,7 +85,7 @@ def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
 
     Rows are dealt into ranges of the order and numbered in each; a range begins behind the rows of those before it.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__range", F.spark_partition_id())
+    ranged = settled(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")  # the bounds are sampled, so once only
     inside = ranged.withColumn("__place", F.row_number().over(Window.partitionBy("__range").orderBy(*order)))
     counts = ranged.groupBy("__range").agg(F.count("*").alias("__n"))  # one row for each range
     before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")

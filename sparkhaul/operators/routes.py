@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_M
 
-#: Rounds of improvement, metres on the road for a metre in a straight line, and metres a second.
+#: Legs looked at for starts, nearest stops that a stop may be put beside, stops up to which all are near, and paths improved there.
+TRIED, NEAR, ALL_NEAR, PATHS = 2_000_000, 10, 100, 8
+#: Changes for each stop, metres on the road for a metre in a straight line, and metres a second.
 ROUNDS, DETOUR, SPEED = 30, 1.35, 7.0
 #: Metres within which stops are one block, one visit, one visit of the same carrier stop, and one visit of the same address.
 BLOCK_M, VISIT_M, CARRIER_M, ADDRESS_M = 10.0, 25.0, 300.0, 150.0
@@ -34,43 +36,104 @@ def path_cost(order: np.ndarray, seconds: np.ndarray) -> float:
     return float(seconds[order[:-1], order[1:]].sum())
 
 
+def _nearest_neighbour(seconds: np.ndarray, begin: list[int], last: int) -> np.ndarray:
+    """The path that begins so and goes on to the nearest stop each time; `last` comes last, unless it is below 0."""
+    n = len(seconds)
+    left = np.ones(n, bool)
+    left[[*begin, last] if last >= 0 else begin] = False
+    path = list(begin)
+    for _ in range(int(left.sum())):
+        nearest = int(np.argmin(np.where(left, seconds[path[-1]], np.inf)))
+        path.append(nearest)
+        left[nearest] = False
+    return np.array([*path, last] if last >= 0 else path)
+
+
+def _improved(path: np.ndarray, seconds: np.ndarray, near: np.ndarray, fixed_start: bool, fixed_end: bool, most: int) -> np.ndarray:
+    """The path after the best reversal or move, again and again, while one makes it shorter; `most` of them at most.
+
+    Only changes that put a stop beside one of its nearest ones are tried. What a change gains is worked out from the legs it takes
+    away and adds; running sums tell the legs of a part read backwards, so seconds need not be the same both ways.
+    """
+    n = len(path)
+    # a stop that stands before the path and behind it: its legs cost nothing, or keep a fixed end where it is
+    padded = np.zeros((n + 1, n + 1))
+    padded[:n, :n] = seconds
+    low, high = int(fixed_start), n - int(fixed_end)
+    for _ in range(most):
+        around = np.concatenate([[n], path, [n]])  # position + 1
+        place = np.empty(n, np.int64)
+        place[path] = np.arange(n)
+        legs = padded[around[:-1], around[1:]]  # legs[k] goes into position k
+        back = np.concatenate([[0.0], np.cumsum(padded[path[1:], path[:-1]] - legs[1:n])])  # up to each position, read backwards less forwards
+        i = np.repeat(np.arange(n), near.shape[1])
+        j = place[near[path].ravel()]
+        best = (-1e-6, None)
+
+        # reversals of first..end that make the two stops neighbours, or bring one to a free end of the path
+        firsts, ends = np.minimum(i, j), np.maximum(i, j)
+        first = np.concatenate([firsts + 1, firsts, np.arange(low, high), np.full(high - low, low)])
+        end = np.concatenate([ends, ends - 1, np.full(high - low, high - 1), np.arange(low, high)])
+        good = (first >= low) & (end < high) & (first < end)
+        first, end = first[good], end[good]
+        if len(first):
+            before, after = around[first], around[end + 2]
+            gain = padded[before, path[end]] + padded[path[first], after] - legs[first] - legs[end + 1] + back[end] - back[first]
+            k = int(np.argmin(gain))
+            if gain[k] < best[0]:
+                best = (gain[k], ("reverse", int(first[k]), int(end[k])))
+
+        # parts of one to three stops, as they are or backwards, put before or behind the other stop or at an end of the path
+        for size in range(1, min(3, high - low) + 1):
+            begin = np.concatenate([i, i, i - size + 1, i - size + 1, np.arange(n), np.arange(n)])
+            to = np.concatenate([j, j + 1, j, j + 1, np.full(n, low), np.full(n, high)])  # before which position
+            stop = begin + size - 1
+            good = (begin >= low) & (stop < high) & (to >= low) & (to <= high) & ((to < begin) | (to > stop + 1))
+            begin, to, stop = begin[good], to[good], stop[good]
+            if not len(begin):
+                continue
+            left, right, before, after = around[begin], around[stop + 2], around[to], around[to + 1]
+            a, z = path[begin], path[stop]
+            without = padded[left, right] - legs[begin] - legs[stop + 1] - legs[to]
+            for turned in (False, True):
+                x, y = (z, a) if turned else (a, z)
+                gain = without + padded[before, x] + padded[y, after] + (back[stop] - back[begin] if turned else 0.0)
+                k = int(np.argmin(gain))
+                if gain[k] < best[0]:
+                    best = (gain[k], ("turn" if turned else "move", int(begin[k]), int(stop[k]), int(to[k])))
+        change = best[1]
+        if change is None:
+            break
+        if change[0] == "reverse":
+            path[change[1] : change[2] + 1] = path[change[1] : change[2] + 1][::-1].copy()
+        else:
+            what, begin, stop, to = change
+            part = path[begin : stop + 1][::-1] if what == "turn" else path[begin : stop + 1]
+            rest = np.concatenate([path[:begin], path[stop + 1 :]])
+            to -= stop - begin + 1 if to > stop else 0
+            path = np.concatenate([rest[:to], part, rest[to:]])
+    return path
+
+
 def shortest_path(seconds: np.ndarray, fixed_start: bool = False, fixed_end: bool = False, rounds: int = ROUNDS) -> np.ndarray:
-    """An open path over all stops: the best nearest-neighbour path, then reversals and moves while any makes it shorter.
+    """An open path over all stops: the best of nearest-neighbour paths, each made shorter by reversals and moves.
 
-    fixed_start: it begins at stop 0; fixed_end: it ends at the last stop.
+    fixed_start: it begins at stop 0, and starts differ in the next one; fixed_end: it ends at the last stop. Starts are tried while TRIED legs are looked at in all, the
+    PATHS shortest are improved if the route has up to ALL_NEAR stops, else one; from there on a stop is put beside its NEAR nearest only.
+    At most `rounds` changes for each stop.
     """
     n = len(seconds)
+    if n < 3:
+        return np.arange(n)
     last = n - 1 if fixed_end else -1
-    best: np.ndarray | None = None
-    for start in [0] if fixed_start or n < 2 else [k for k in range(n) if k != last]:
-        left = np.ones(n, bool)
-        left[[start, last] if last >= 0 else [start]] = False
-        path = [start]
-        while left.any():
-            nearest = int(np.argmin(np.where(left, seconds[path[-1]], np.inf)))
-            path.append(nearest)
-            left[nearest] = False
-        order = np.array([*path, last] if last >= 0 and start != last else path)
-        if best is None or path_cost(order, seconds) < path_cost(best, seconds) - 1e-9:
-            best = order
-    low, high = int(fixed_start), len(best) - int(fixed_end)
-    cost = path_cost(best, seconds)
-    for _ in range(rounds):
-        before = cost
-        for i in range(low, high):
-            for k in range(low, high):
-                if i == k:
-                    continue
-                tries = [np.concatenate([best[:i], best[i : k + 1][::-1], best[k + 1 :]])] if i < k else []
-                moved = np.delete(best, i)
-                tries.append(np.insert(moved, k, best[i]))
-                for order in tries:
-                    c = path_cost(order, seconds)
-                    if c < cost - 1e-6:
-                        best, cost = order, c
-        if cost >= before - 1e-6:
-            break
-    return best
+    starts = [[0, k] if fixed_start else [k] for k in range(int(fixed_start), n) if k != last]
+    step = -(-len(starts) * n * n // TRIED)
+    paths = sorted((_nearest_neighbour(seconds, k, last) for k in starts[::step]), key=lambda p: path_cost(p, seconds))
+    masked = seconds + np.diag(np.full(n, np.inf))
+    count = n - 1 if n <= ALL_NEAR else NEAR
+    near = np.argsort(masked, axis=1, kind="stable")[:, :count]
+    found = [_improved(p, seconds, near, fixed_start, fixed_end, rounds * n) for p in paths[: PATHS if n <= ALL_NEAR else 1]]
+    return min(found, key=lambda p: path_cost(p, seconds))
 
 
 def sequenced(stops: DataFrame, rounds: int = ROUNDS) -> DataFrame:

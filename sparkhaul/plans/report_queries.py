@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import haversine, within
 from ..operators import evidence as ops
+from ..operators import merging, ranks
 from ..operators import relational as rel
 from ..scratch import settled
 from . import views as v
@@ -243,9 +244,15 @@ def _(spark, sf):
     return s.select(F.concat(F.col("lane").cast("string"), F.lit(": "), F.col("n").cast("string"), F.lit(" package(s) of "), "district", F.lit(", "), km, F.lit(" km from the lane")).alias("line"))
 
 
-@query("a23_district_centres", f"""WITH {v.STOPS} SELECT district, carrier % 5 AS city, count(*) AS doors, round(median(lat), 7) AS lat, round(median(lng), 7) AS lng FROM stops GROUP BY ALL""")
+@query("a23_district_centres", f"""WITH RECURSIVE {v.STOPS}, c AS (SELECT district, carrier % 30 AS id, median(lat) AS lat, median(lng) AS lng FROM stops GROUP BY ALL),
+p AS (SELECT *, row_number() OVER (PARTITION BY district ORDER BY id) AS r FROM c),
+{merging.first_fit_sql('p', 'district', 3000, v.haversine_sql('h.lat', 'h.lng', 'lat', 'lng'))} SELECT f.district, head AS city, count(*) AS cities, round(any_value(c.lat), 7) AS lat, round(any_value(c.lng), 7) AS lng FROM fitted f JOIN c ON c.district = f.district AND c.id = head GROUP BY f.district, head""")
 def _(spark, sf):
-    return v.stops(spark, sf).groupBy("district", (F.col("carrier") % 5).alias("city")).agg(F.count("*").alias("doors"), F.round(F.median("lat"), 7).alias("lat"), F.round(F.median("lng"), 7).alias("lng"))
+    """The median of a district's doors in each city that has the name; what lies within 3 km of an earlier city's is the same district."""
+    c = ranks.medians(v.stops(spark, sf).withColumn("city", F.col("carrier") % 30), ["district", "city"], ["lat", "lng"])
+    c = settled(c.select("district", "city", "lat", "lng"), "centres")
+    heads = merging.first_fit(c, ["district"], "city", [], 3000.0).groupBy("district", F.col("head").alias("city")).agg(F.count("*").alias("cities"))
+    return heads.join(c, ["district", "city"]).select("district", "city", "cities", F.round("lat", 7).alias("lat"), F.round("lng", 7).alias("lng"))
 
 
 @query("a24_district_anchors", f"""WITH {v.STOPS}, c AS (SELECT district, median(lat) AS lat, median(lng) AS lng, count(*) AS doors FROM stops GROUP BY district),

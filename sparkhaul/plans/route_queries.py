@@ -9,6 +9,7 @@ from ..functions import address as a
 from ..functions.geo import flat_distance, haversine, within
 from ..operators import evidence as ev
 from ..operators import places
+from ..operators import merging
 from ..operators import relational as rel
 from ..operators import routes as ops
 from ..scratch import settled
@@ -189,18 +190,25 @@ def _(spark, sf):
     return both.select("stop", F.when(F.col("door").isNotNull(), "census").when(F.col("d_lat").isNotNull(), "district").otherwise("left").alias("how"))
 
 
-@query("a31_pin_progress", None)
+_PINS = f"""WITH RECURSIVE {v.STOPS}, p AS (SELECT route, stop AS id, lat, lng, row_number() OVER (PARTITION BY route ORDER BY seq, stop) AS r FROM stops WHERE WHICH),
+{merging.first_fit_sql('p', 'route', 250, v.haversine_sql('h.lat', 'h.lng', 'lat', 'lng'))}"""
+
+
+def _pins(s):
+    return merging.first_fit(s.select("route", "stop", "seq", "lat", "lng"), ["route"], "stop", ["seq"], 250.0).join(s.drop("route"), "stop")
+
+
+@query("a31_pin_progress", _PINS.replace("WHICH", "true") + ", d AS (SELECT f.route, head, bool_and(delivered) AS done FROM fitted f JOIN stops ON stop = id GROUP BY ALL) SELECT route, count(*) AS pins, count(*) FILTER (WHERE done) AS done FROM d GROUP BY route")
 def _(spark, sf):
-    s = v.stops(spark, sf)
-    pins = ops.anchored_groups(s, "seq", 250.0).join(s.select("stop", "delivered"), "stop")
-    return pins.groupBy("route", "grp").agg(F.bool_and("delivered").alias("done")).groupBy("route").agg(F.count("*").alias("pins"), F.count_if("done").alias("done"))
+    pins = _pins(v.stops(spark, sf)).groupBy("route", "head").agg(F.bool_and("delivered").alias("done"))
+    return pins.groupBy("route").agg(F.count("*").alias("pins"), F.count_if("done").alias("done"))
 
 
-@query("a37_groups_on_the_map", None)
+@query("a37_groups_on_the_map", _PINS.replace("WHICH", "NOT delivered") + """ SELECT f.route, head, sum(units)::BIGINT AS packages, count(DISTINCT lower(street) || '|' || number) AS addresses, count(DISTINCT carrier) AS carrier_stops,
+coalesce(sum(units) FILTER (WHERE additional), 0)::BIGINT AS added FROM fitted f JOIN stops ON stop = id GROUP BY f.route, head""")
 def _(spark, sf):
-    s = v.stops(spark, sf)
-    g = ops.anchored_groups(s.where("NOT delivered"), "seq", 250.0).join(s.drop("route"), "stop")
-    return g.groupBy("route", "grp").agg(F.sum("units").alias("packages"), F.countDistinct(F.expr("lower(street) || '|' || number")).alias("addresses"), F.countDistinct("carrier").alias("carrier_stops"), F.sum(F.when(F.col("additional"), F.col("units")).otherwise(0)).alias("added"))
+    g = _pins(v.stops(spark, sf).where("NOT delivered"))
+    return g.groupBy("route", "head").agg(F.sum("units").alias("packages"), F.countDistinct(F.expr("lower(street) || '|' || number")).alias("addresses"), F.countDistinct("carrier").alias("carrier_stops"), F.sum(F.when(F.col("additional"), F.col("units")).otherwise(0)).alias("added"))
 
 
 @query("a39_copies_in_one_reading", f"WITH {v.STOPS}, r AS (SELECT route, stop % 3 AS reading, lower(street) AS line, count(*) AS copies FROM stops GROUP BY ALL) SELECT route, line, max(copies) AS copies FROM r GROUP BY ALL")

@@ -90,9 +90,9 @@ def consensus_sql(marks: str) -> str:
 #: Scalar definitions that both engines read alike: column -> expression over customer.
 _STOP = {
     "stop": "c_custkey",
-    "route": "c_custkey % 60",
-    "seq": "CAST(floor(c_custkey / 60) AS BIGINT)",
-    "carrier": "CAST(floor(c_custkey / 120) AS BIGINT)",
+    "route": "CAST(floor(c_custkey / 60) AS BIGINT)",
+    "seq": "c_custkey % 60",
+    "carrier": "CAST(floor(c_custkey % 60 / 2) AS BIGINT)",
     "driver": "c_custkey % 12",
     "district": "c_mktsegment",
     "lat": "c_acctbal / 100000 - 9.5e0",
