@@ -14,7 +14,7 @@ from ..functions.geo import haversine, within
 from ..scratch import settled
 
 
-def first_fit(points: DataFrame, keys: list[str], id_: str, order: list[str], metres: float) -> DataFrame:
+def first_fit(points: DataFrame, keys: list[str], id_: str, order: list[str], metres: float, distance=haversine) -> DataFrame:
     """keys, id_, head: the id of the first head, in the given order (ties by id), within `metres` of each point of its group.
 
     points: keys, id_ (distinct in its group), order, lat, lng. Points at one place of a group stand or fall together: the first of them decides, so
@@ -24,7 +24,7 @@ def first_fit(points: DataFrame, keys: list[str], id_: str, order: list[str], me
     places = points.groupBy(*keys, "lat", "lng").agg(F.min(rank).alias("rank"))
     places = settled(places.select(*keys, "lat", "lng", "rank", F.struct(*keys, F.col(f"rank.{id_}").alias("id")).alias("place")), "places")
     near = within(places.select(*keys, "lat", "lng", "rank", "place"), places.select(*keys, "lat", "lng", "rank", "place"), metres * 1.01, keys)
-    near = near.where((F.col("r_rank") < F.col("rank")) & (haversine("r_lat", "r_lng", "lat", "lng") <= metres))
+    near = near.where((F.col("r_rank") < F.col("rank")) & (distance("r_lat", "r_lng", "lat", "lng") <= metres))
     pairs = settled(near.select("place", "rank", F.col("r_place").alias("before"), F.col("r_rank").alias("before_rank")), "pairs")
     heads = places.join(pairs.select("place").distinct(), "place", "left_anti").select("place")  # nothing is near before them
     left, found = pairs, heads

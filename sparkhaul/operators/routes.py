@@ -252,40 +252,6 @@ def visits(stops: DataFrame) -> DataFrame:
     return stops.select("route", "stop", "seq", "carrier", "address_key", "lat", "lng").groupBy("route").applyInPandas(one, "route long, stop long, visit long")
 
 
-def stitched(lines: DataFrame) -> DataFrame:
-    """name, chain, segs (in order): segments of one name joined at end points that just two of them share.
-
-    lines: name, seg, from_lat, from_lng, to_lat, to_lng. A name has some tens of segments.
-    """
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seg")
-        ends = {s: ((round(a, 6), round(b, 6)), (round(c, 6), round(d, 6))) for s, a, b, c, d in rows[["seg", "from_lat", "from_lng", "to_lat", "to_lng"]].itertuples(index=False)}
-        at: dict[tuple, list] = {}
-        for s, pair in ends.items():
-            for p in pair:
-                at.setdefault(p, []).append(s)
-        left, out = set(ends), []
-        while left:
-            chain = [min(left)]
-            left.discard(chain[0])
-            for grow in (1, -1):
-                point = ends[chain[0]][1 if grow == 1 else 0]
-                while True:
-                    near = at[point]
-                    after = [s for s in near if s in left]
-                    if len(near) != 2 or len(after) != 1:
-                        break
-                    s = after[0]
-                    left.discard(s)
-                    chain = [*chain, s] if grow == 1 else [s, *chain]
-                    point = ends[s][1] if ends[s][0] == point else ends[s][0]
-            out.append(chain)
-        return pd.DataFrame({"name": rows["name"].iloc[0], "chain": range(len(out)), "segs": [list(map(int, c)) for c in out]})
-
-    return lines.groupBy("name").applyInPandas(one, "name string, chain long, segs array<long>")
-
-
 def claimed(points: DataFrame, lassos: DataFrame, inside: Column) -> DataFrame:
     """route, stop, area: the first lasso (by number) of its route that holds a stop, else the last area of all. lassos: route, lasso, ring."""
     held = points.join(lassos, "route").where(inside)

@@ -11,6 +11,7 @@ from ..operators import evidence as ev
 from ..operators import places
 from ..operators import merging
 from ..operators import relational as rel
+from ..operators import stitching
 from ..operators import routes as ops
 from ..scratch import settled
 from . import views as v
@@ -134,7 +135,7 @@ def _(spark, sf):
 def _(spark, sf):
     x = v.vertices(spark, sf)
     e = places.edges_of(x).withColumn("name", F.concat(F.lit("line "), (F.col("seg") % 20).cast("string")))
-    return ops.stitched(e.select("name", (F.col("seg") * 4 + F.col("i")).alias("seg"), F.col("lat1").alias("from_lat"), F.col("lng1").alias("from_lng"), F.col("lat2").alias("to_lat"), F.col("lng2").alias("to_lng")))
+    return stitching.stitched(e.select("name", (F.col("seg") * 4 + F.col("i")).alias("seg"), F.col("lat1").alias("from_lat"), F.col("lng1").alias("from_lng"), F.col("lat2").alias("to_lat"), F.col("lng2").alias("to_lng")))
 
 
 @query("o15_split_and_joined", f"""WITH {v.STOPS}, d AS (SELECT route, lower(street) AS door, count(DISTINCT extra) AS extras FROM stops GROUP BY ALL)
@@ -235,7 +236,10 @@ def _(spark, sf):
     return v.evidence(spark, sf).select("id", F.lag("kind").over(w).alias("before"), gap.alias("gap")).where("gap <= 7200000").select("id", "before")
 
 
-@query("w05_blocks_of_stops", None)
+@query("w05_blocks_of_stops", f"""WITH RECURSIVE {v.STOPS}, o AS (SELECT route, stop, lat, lng, row_number() OVER (PARTITION BY route ORDER BY seq, stop) AS r FROM stops),
+g AS (SELECT route, stop, r, lat AS h_lat, lng AS h_lng, 0 AS grp FROM o WHERE r = 1
+UNION ALL SELECT route, stop, r, CASE WHEN same THEN h_lat ELSE lat END, CASE WHEN same THEN h_lng ELSE lng END, CASE WHEN same THEN grp ELSE grp + 1 END
+FROM (SELECT o.*, h_lat, h_lng, grp, {v.haversine_sql('h_lat', 'h_lng', 'o.lat', 'o.lng')} <= 2000 AS same FROM g JOIN o ON o.route = g.route AND o.r = g.r + 1)) SELECT route, stop, grp FROM g""")
 def _(spark, sf):
     return ops.anchored_groups(v.stops(spark, sf), "seq", 2000.0, consecutive=True)
 
@@ -318,12 +322,23 @@ def _(spark, sf):
     return both.select("stop", F.when(F.col("l_lat").isNotNull(), "learned").otherwise("complex").alias("how"), F.round(F.coalesce("l_lat", "c_lat"), 6).alias("lat"))
 
 
-@query("x31_same_door_by_name", None)
+_NAMED = "CASE stop % 5 WHEN 0 THEN 'Condominio Mirante Atalaia' WHEN 1 THEN 'Edificio Aquarela' WHEN 2 THEN 'Residencial Mirante da Atalaia' WHEN 3 THEN 'perto da padaria' ELSE 'Bloco 2' END"
+_DOOR_KEY = "CASE WHEN stop % 5 IN (0, 2) THEN 'atalaia mirante' WHEN stop % 5 = 1 THEN 'aquarela' END"
+
+
+@query("x31_same_door_by_name", f"WITH {v.STOPS}, s AS (SELECT stop, CASE WHEN stop % 7 > 0 THEN stop % 40 END AS number, {_DOOR_KEY} AS key FROM stops) SELECT a.stop, count(*) AS others FROM s a JOIN s b ON a.key = b.key AND a.stop <> b.stop AND (a.number = b.number OR a.number IS NULL OR b.number IS NULL) GROUP BY a.stop")
 def _(spark, sf):
-    s = a.with_address(v.stops(spark, sf).select("stop", "address", "district"))
-    s = settled(s.select("stop", F.col("parts.number").alias("number"), a.place_name_key(a.place_hints()).alias("key")), "place-names")
-    other = s.select(F.col("stop").alias("other"), "key", "number")
-    return s.join(other, ["key", "number"]).where("stop < other").select("stop", "other")
+    said = F.expr(f"street || CASE WHEN stop % 7 > 0 THEN ', ' || (stop % 40) ELSE '' END || ', ' || {_NAMED} AS address")
+    s = a.with_address(v.stops(spark, sf).select("stop", "district", said))
+    s = settled(s.select("stop", F.col("parts.number").alias("number"), a.place_name_key(a.place_hints()).alias("key")), "place-names").where("key IS NOT NULL")
+    # counted per key and number, so doors of a frequent key are no pairs; a door without a number is the same as all of its key
+    n = s.groupBy("key", "number").agg(F.count("*").alias("n"))
+    same = n.where("number IS NOT NULL").withColumnRenamed("n", "same")
+    unknown = n.where("number IS NULL").select("key", F.col("n").alias("unknown"))
+    of_key = n.groupBy("key").agg(F.sum("n").alias("of_key"))
+    both = s.join(same, ["key", "number"], "left").join(unknown, "key", "left").join(of_key, "key")
+    others = F.when(F.col("number").isNull(), F.col("of_key")).otherwise(F.col("same") + F.coalesce("unknown", F.lit(0))) - 1
+    return both.select("stop", others.alias("others")).where("others > 0")
 
 
 @query("x32_receipt_lines", f"WITH {v.STOPS} SELECT stop, CAST(CASE WHEN stop % 2 = 0 THEN 3 ELSE 1 END AS BIGINT) AS marks, stop % 2 = 0 AS receipt FROM stops")

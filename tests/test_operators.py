@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sparkhaul.functions import geo
 from sparkhaul.functions.text import normal
 from sparkhaul.operators import relational as rel
-from sparkhaul.operators import routes
+from sparkhaul.operators import routes, stitching
 from sparkhaul.sources import sinks
 from sparkhaul.streaming import rules
 
@@ -69,7 +69,7 @@ def test_shortest_paths_of_few_stops():
 
 def test_chains_and_groups(spark):
     lines = [("a", 1, 0.0, 0.0, 0.0, 1.0), ("a", 2, 0.0, 2.0, 0.0, 1.0), ("a", 3, 0.0, 2.0, 0.0, 3.0), ("a", 4, 5.0, 0.0, 5.0, 1.0), ("b", 5, 0.0, 0.0, 0.0, 1.0), ("b", 6, 0.0, 1.0, 0.0, 2.0), ("b", 7, 0.0, 1.0, 1.0, 1.0)]
-    found = sorted((r.name, tuple(r.segs)) for r in routes.stitched(spark.createDataFrame(lines, "name string, seg long, from_lat double, from_lng double, to_lat double, to_lng double")).collect())
+    found = sorted((r.name, tuple(r.segs)) for r in stitching.stitched(spark.createDataFrame(lines, "name string, seg long, from_lat double, from_lng double, to_lat double, to_lng double")).collect())
     assert found == [("a", (1, 2, 3)), ("a", (4,)), ("b", (5,)), ("b", (6,)), ("b", (7,))]  # three meet: no chain
     stops = spark.createDataFrame([(1, k, k, 0.0, x) for k, x in enumerate([0.0, 0.00005, 0.01, 0.0])], "route long, stop long, seq long, lat double, lng double")
     groups = {c: [r.grp for r in routes.anchored_groups(stops, "seq", 10.0, c).orderBy("stop").collect()] for c in (False, True)}
