@@ -2,9 +2,11 @@
 
 1. Every map task fingerprints its normalised texts, sorts the distinct fingerprints by owner (the top bits
    choose the owner) and codes each owner's gaps with a Golomb-Rice code: one message per (sender, owner), kept in
-   an outbox table in the shared folder beside the ids. Only the coded messages shuffle.
+   an outbox table in the shared folder beside the ids. To the owners only the coded messages shuffle.
 2. An owner merges its senders' messages and answers each with a bitmap: which of its fingerprints another
-   sender has as well. Fingerprints that repeat inside one sender are suspects without asking.
+   sender has as well. Fingerprints that repeat inside one sender are suspects without asking. The bitmaps are joined to the outbox's
+   rows of ids and digests by sender and owner: where they are too large to be broadcast, those rows (some 50 bytes a document)
+   shuffle once, without texts.
 3. Only suspects' texts are read again and shuffled, grouped by their bytes (pre-aggregated in each map task,
    so a group of copies costs one row per task). The group gives the row that stays.
 

@@ -10,7 +10,7 @@ sampled document, the one the network finds worst, and trains it towards the doc
 TRAIN_ROWS rows of each label at most; the bias is set at the end, by whole documents and the labels' shares. What
 depends on the word alone (its vectors times the input weights of all gates) is computed once for each distinct word in a worker.
 
-Null, empty and blank texts have no window and the score 0. If nothing can be learned (no labels, or one label only), scores
+Null, empty and blank texts have no window and a score of next to 0 (below 1e-12). If nothing can be learned (no labels, or one label only), scores
 are those of the first weights. A score of just 0.5 predicts 1. Equal texts get equal scores; rows repeated with one id are scored
 each, and rows without id are scored but never learned from. A long text is read and scored in blocks of words.
 Columns of docs or labels other than doc_id, text and toxic are ignored, also those named like the new ones. An empty
