@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_M
 
-#: Legs looked at for starts, nearest stops that a stop may be put beside, stops up to which all are near, and paths improved there.
-TRIED, NEAR, ALL_NEAR, PATHS = 2_000_000, 10, 100, 8
+#: Legs looked at for starts, stops of a small route, nearest stops that a stop may be put beside in a small and in a large one, and
+#: paths improved of a small one.
+TRIED, SMALL, NEAR_SMALL, NEAR, PATHS = 2_000_000, 100, 16, 10, 6
 #: Changes for each stop, metres on the road for a metre in a straight line, and metres a second.
 ROUNDS, DETOUR, SPEED = 30, 1.35, 7.0
 #: Metres within which stops are one block, one visit, one visit of the same carrier stop, and one visit of the same address.
@@ -119,7 +120,7 @@ def shortest_path(seconds: np.ndarray, fixed_start: bool = False, fixed_end: boo
     """An open path over all stops: the best of nearest-neighbour paths, each made shorter by reversals and moves.
 
     fixed_start: it begins at stop 0, and starts differ in the next one; fixed_end: it ends at the last stop. Starts are tried while TRIED legs are looked at in all, the
-    PATHS shortest are improved if the route has up to ALL_NEAR stops, else one; from there on a stop is put beside its NEAR nearest only.
+    PATHS shortest are improved if the route has up to SMALL stops, else one. A stop is put beside one of its nearest stops only.
     At most `rounds` changes for each stop.
     """
     n = len(seconds)
@@ -130,9 +131,9 @@ def shortest_path(seconds: np.ndarray, fixed_start: bool = False, fixed_end: boo
     step = -(-len(starts) * n * n // TRIED)
     paths = sorted((_nearest_neighbour(seconds, k, last) for k in starts[::step]), key=lambda p: path_cost(p, seconds))
     masked = seconds + np.diag(np.full(n, np.inf))
-    count = n - 1 if n <= ALL_NEAR else NEAR
+    count = min(n - 1, NEAR_SMALL if n <= SMALL else NEAR)
     near = np.argsort(masked, axis=1, kind="stable")[:, :count]
-    found = [_improved(p, seconds, near, fixed_start, fixed_end, rounds * n) for p in paths[: PATHS if n <= ALL_NEAR else 1]]
+    found = [_improved(p, seconds, near, fixed_start, fixed_end, rounds * n) for p in paths[: PATHS if n <= SMALL else 1]]
     return min(found, key=lambda p: path_cost(p, seconds))
 
 
