@@ -232,7 +232,7 @@ def _(spark, sf):
 @query("w04_click_before", f"WITH {v.EVIDENCE}, l AS (SELECT id, lag(kind) OVER w AS before, epoch_ms(happened) - epoch_ms(lag(happened) OVER w) AS gap FROM evidence WINDOW w AS (PARTITION BY driver ORDER BY happened, id)) SELECT id, before FROM l WHERE gap <= 7200000")
 def _(spark, sf):
     w = Window.partitionBy("driver").orderBy("happened", "id")
-    gap = F.unix_millis("happened") - F.unix_millis(F.lag("happened").over(w))
+    gap = v.epoch_ms("happened") - v.epoch_ms(F.lag("happened").over(w))
     return v.evidence(spark, sf).select("id", F.lag("kind").over(w).alias("before"), gap.alias("gap")).where("gap <= 7200000").select("id", "before")
 
 
