@@ -1,11 +1,16 @@
 """Queries over crowded tables: the rows of the SQL, and no step that makes far more rows than there are."""
 
+import os
+import time
+
 import duckdb
+import pandas as pd
 import pytest
 from growth import crowded, most_rows
 from oracle import connect, rows
 
 from sparkhaul.plans import catalog
+from sparkhaul.streaming import rules
 
 
 @pytest.fixture(scope="module")
@@ -19,8 +24,44 @@ def test_gaps_are_rounded_like_the_sql(spark, tmp_path):
     at = [(1, "2024-01-02 00:00:00.000200"), (1, "2024-01-02 02:00:00.000600"), (2, "2024-01-02 00:00:00.000700"), (2, "2024-01-02 02:00:00.001300"), (3, "2024-01-02 00:00:00"), (3, "2024-01-02 02:00:00")]
     told = ", ".join(f"({k}::BIGINT, TIMESTAMP '{ts}', {user}::BIGINT, 'click', 1e0, '{{\"k\": 1}}')" for k, (user, ts) in enumerate(at))
     con.execute(f"COPY (SELECT * FROM (VALUES {told}) t(event_id, ts, user_id, event_type, value, props)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
-    for name in ("w04_click_before",):
+    for name in ("w04_click_before", "st10_click_pairs"):
         expected = connect(str(tmp_path)).execute(catalog.ORACLE[name])
         names = [d[0] for d in expected.description]
         found = catalog.QUERIES[name](spark, str(tmp_path))
         assert rows(found.columns, found.collect()) == rows(names, expected.fetchall())
+
+
+@pytest.mark.parametrize("name, times", [("a11_review_work_list", 6), ("j23_census_by_street", 12), ("j22_census_number_band", 6), ("j30_street_lookup", 6), ("j34_complement_street_rescue", 6)])
+def test_rows_grow_with_the_input(spark, folder, name, times):
+    """No step makes more rows than `times` those of the larger table the query reads."""
+    size = 40_000 if name.startswith("a11") else 6_000
+    expected = connect(folder).execute(catalog.ORACLE[name])
+    names = [d[0] for d in expected.description]
+    found = {}
+    most = most_rows(spark, lambda: found.update(rows=catalog.QUERIES[name](spark, folder).collect()))
+    assert rows(list(found["rows"][0].asDict()), found["rows"]) == rows(names, expected.fetchall())
+    assert most <= times * size, most
+
+
+def test_row_before_across_micro_batches(spark, tmp_path, monkeypatch):
+    """A key's first row of a micro-batch follows its last row of the ones before, also if the key was missing in between."""
+    monkeypatch.setattr(rules, "FILES_PER_TRIGGER", 1)
+    os.mkdir(tmp_path / "x.parquet")
+    for k, part in enumerate([[("a", 1, 1), ("a", 3, 2), ("b", 2, 3)], [("b", 5, 4)], [("a", 7, 5), ("c", 7, 6)]]):
+        path = tmp_path / "x.parquet" / f"part-{k}.parquet"
+        pd.DataFrame([(key, pd.Timestamp("2024-01-01") + pd.Timedelta(hours=h), i) for key, h, i in part], columns=["key", "ts", "id"]).to_parquet(path, index=False, coerce_timestamps="us")
+        os.utime(path, (1e9 + k, 1e9 + k))
+    found = rules.with_row_before(rules.event_stream(spark, str(tmp_path), "x"), ["key"], "before").collect()
+    assert {r.id: r.id_before for r in found} == {1: None, 2: 1, 3: None, 4: 3, 5: 2, 6: None}
+
+
+def test_rows_of_one_key_meet_the_next_end_only(spark, tmp_path):
+    """40,000 rows of one key, none ended in time: seconds, not the square of the rows."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT 'a' AS key, TIMESTAMP '2024-01-01' + to_seconds(k * 100) AS ts, k AS id, true AS starts, k % 2 = 9 OR k = 39_999 AS ends FROM range(40_000) t(k)) TO '{tmp_path}/x.parquet' (FORMAT parquet)")
+    con.execute(f"COPY (SELECT 'a' AS key, TIMESTAMP '2024-01-01' + to_seconds(k * 100) AS ts, k AS id, k % 2 = 0 AS starts, k % 2 = 1 AS ends FROM range(40_000) t(k)) TO '{tmp_path}/y.parquet' (FORMAT parquet)")
+    begun = time.monotonic()
+    late = rules.written(rules.unfollowed(rules.event_stream(spark, str(tmp_path), "x"), ["key"], "key string, id long", 10), "late").count()
+    held = rules.written(rules.unfollowed(rules.event_stream(spark, str(tmp_path), "y"), ["key"], "key string, id long", 10), "held").count()
+    assert late > 39_000 and held > 19_000
+    assert time.monotonic() - begun < 30
