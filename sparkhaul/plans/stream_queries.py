@@ -109,8 +109,9 @@ def _(spark, sf):
 @query("st10_click_pairs", f"WITH {_EVENTS}, l AS (SELECT id, kind, lag(kind) OVER w AS before, epoch_ms(ts) - epoch_ms(lag(ts) OVER w) AS gap FROM e WINDOW w AS (PARTITION BY driver, day ORDER BY ts, id)) SELECT kind, CASE WHEN gap <= 7200000 THEN before ELSE '' END AS before, count(*) AS n FROM l GROUP BY ALL")
 def _(spark, sf):
     e = _events(spark, sf).select("driver", "day", "id", "ts", "kind")
-    pairs = rules.per_key(e, ["driver", "day"], "driver long, day date, id long, kind string, before string", "at long, kind string", rules.pairs_within(7200.0), (-1, ""))
-    return rules.written(pairs, "pairs").groupBy("kind", "before").agg(F.count("*").alias("n"))
+    gap = v.epoch_ms("ts") - v.epoch_ms("ts_before")
+    pairs = rules.with_row_before(e, ["driver", "day"], "pairs").withColumn("before", F.when(gap <= 7_200_000, F.col("kind_before")).otherwise(""))
+    return pairs.groupBy("kind", "before").agg(F.count("*").alias("n"))
 
 
 @query("st11_followed_positions", f"""WITH RECURSIVE {_EVENTS}, o AS (SELECT driver, id, epoch_us(ts) / 1e6 AS tm, value * 4000 AS x, CAST(id % 7 AS DOUBLE) * 3000 AS y, row_number() OVER (PARTITION BY driver ORDER BY ts, id) AS r FROM e),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -117,17 +117,31 @@ def alerts(fire_m: float = 40.0, rearm_m: float = 100.0) -> Callable:
     return step
 
 
-def pairs_within(seconds: float) -> Callable:
-    """(id, kind, kind before or ''): the row before it of the same key, `seconds` at most earlier. state: its time and kind."""
+def with_row_before(stream: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Runs a stream over all that is there: its rows, and for each the row before it of its key as <column>_before, null for the first.
 
-    def step(rows: pd.DataFrame, state: tuple) -> tuple[list, tuple]:
-        at, kind, out = state[0], state[1], []
-        for t, ident, k in zip(rows.ts.astype("int64") // 10**6, rows.id, rows.kind, strict=True):
-            out.append((ident, k, kind if at >= 0 and t - at <= seconds * 1000 else ""))
-            at, kind = int(t), k
-        return out, (int(at), str(kind))
+    Rows of a micro-batch follow each other by (ts, id), and the last one of a key from the micro-batches before. That last row is all the
+    state there is. It is kept as a table, one folder for each micro-batch, not as a state function's: a key with a few rows costs what
+    its rows cost, so there may be as many keys as rows. A micro-batch that is run again reads the same folder and overwrites its own.
+    """
+    spark, columns = stream.sparkSession, [c for c in stream.columns if c not in keys]
+    out, lasts, state = (shared_folder(spark, f"{name}-{part}") for part in ("out", "last", "state"))
+    kept = stream.select(*keys, F.struct("ts", "id", *(c for c in columns if c not in ("ts", "id"))).alias("row"))
+    before = F.lag("row").over(Window.partitionBy(*keys).orderBy("new", "row.ts", "row.id"))
+    told = lambda df: df.select(*keys, *(F.col(f"row.{c}") for c in columns), *(F.col(f"last.{c}").alias(f"{c}_before") for c in columns))
 
-    return step
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch = batch.select(*kept.columns, F.lit(True).alias("new"))
+        if epoch:
+            held = batch.sparkSession.read.schema(kept.schema).parquet(f"{lasts}/epoch={epoch - 1}")
+            batch = batch.unionByName(held.select(*kept.columns, F.lit(False).alias("new")))
+        told(batch.withColumn("last", before).where("new")).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        last = batch.groupBy(*keys).agg(F.max(F.struct("new", F.col("row.ts"), F.col("row.id"), "row")).alias("last"))
+        last.select(*keys, "last.row").write.mode("overwrite").parquet(f"{lasts}/epoch={epoch}")
+
+    kept.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    schema = told(kept.withColumn("last", F.col("row"))).schema
+    return spark.read.schema(schema).option("basePath", out).parquet(f"{out}/epoch=*").drop("epoch")
 
 
 def unfollowed(stream: DataFrame, keys: list[str], schema: str, seconds: float, late: str = "1 hour") -> DataFrame:
