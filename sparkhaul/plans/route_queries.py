@@ -290,7 +290,8 @@ def _(spark, sf):
     # a key meets a name that is the key itself or its first words
     starts = F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.struct(F.array_join(F.slice(words, 1, n), " ").alias("name_key"), F.when(n == F.size(words), 1).otherwise(2).alias("rank")))
     asked = q.select("stop", F.explode(starts).alias("s")).select("stop", "s.*")
-    best = asked.join(v.segments(spark, sf).select("name_key", "seg"), "name_key").groupBy("stop").agg(F.min(F.struct("rank", "seg")).alias("best"))
+    least = v.segments(spark, sf).groupBy("name_key").agg(F.min("seg").alias("seg"))  # of a name's segments only the least is an answer
+    best = asked.join(least, "name_key").groupBy("stop").agg(F.min(F.struct("rank", "seg")).alias("best"))
     return best.select("stop", "best.rank", "best.seg")
 
 
