@@ -7,6 +7,7 @@ the rows of a key in one micro-batch, which maxFilesPerTrigger bounds, and order
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -168,7 +169,9 @@ def unfollowed(stream: DataFrame, keys: list[str], schema: str, seconds: float,
                     times.append(t)
                     ids.append(ident)
         now = held.getCurrentWatermarkMs() * 1000
-        stopped = lambda t, i: any((t, i) < (e, j) and e - t <= reach for e, j in zip(ends, end_ids, strict=True))
+        stops = sorted(zip(ends, end_ids, strict=True))
+        later = lambda t, i: bisect_right(stops, (t, i))  # noqa: E731  the first end after a row is the only one that counts
+        stopped = lambda t, i: (k := later(t, i)) < len(stops) and stops[k][0] - t <= reach
         waiting = [(t, i) for t, i in zip(times, ids, strict=True) if not stopped(t, i)]
         out = [i for t, i in waiting if t + reach < now]
         waiting = [(t, i) for t, i in waiting if t + reach >= now]
