@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import address as a
-from ..functions.geo import flat_distance, haversine, within
+from ..functions.geo import flat_distance, haversine, nearest, within
 from ..operators import evidence as ev
 from ..operators import places
 from ..operators import merging
@@ -90,10 +90,14 @@ d AS (SELECT stop, seg, row_number() OVER (PARTITION BY stop ORDER BY q.city <>
 SELECT stop, seg FROM d WHERE r = 1""")
 def _(spark, sf):
     q = v.stops(spark, sf).selectExpr("stop", "'rua ' || (stop % 9) AS name_key", "CAST(stop % 25 AS INT) AS city", "'district ' || (stop % 7) AS district", "lat", "lng")
-    s = v.segments(spark, sf).where("name_key IS NOT NULL").selectExpr("name_key", "seg", "city AS s_city", "district AS s_district", "lat0", "lng0")
-    rank = F.struct((F.col("city") != F.col("s_city")).alias("a"), (F.col("district") != F.col("s_district")).alias("b"), flat_distance("lat", "lng", "lat0", "lng0").alias("c"), "seg")
-    best = q.join(s, "name_key").groupBy("stop").agg(F.min(rank).alias("best"))
-    return best.select("stop", "best.seg")
+    s = v.segments(spark, sf).where("name_key IS NOT NULL").selectExpr("name_key", "seg", "city", "district", "lat0 AS lat", "lng0 AS lng")
+    # the nearest of the same city and district; stops without one look in the city, then in the district, then at all of the name
+    found = None
+    for keys in (("name_key", "city", "district"), ("name_key", "city"), ("name_key", "district"), ("name_key",)):
+        left = q if found is None else q.join(found, "stop", "left_anti")
+        best = nearest(left, s, "stop", "seg", keys=keys).select("stop", F.col("r_seg").alias("seg"))
+        found = best if found is None else found.unionByName(best)
+    return found
 
 
 @query("o10_consensus_onto_stops", f"""WITH {v.STOPS}, {v.EVIDENCE}, c AS ({v.consensus_sql('(' + v.standing() + ')')})
