@@ -64,9 +64,11 @@ def _(spark, sf):
     x = v.vertices(spark, sf).groupBy("seg").agg(coords.alias("c"))
     kind = F.when(F.col("seg") % 2 == 0, "MultiLineString").otherwise("LineString")
     geometry = F.when(F.col("seg") % 2 == 0, F.to_json(F.array("c"))).otherwise(F.to_json("c"))
-    feature = F.concat(F.lit('{"features":[{"properties":{"nome":"seg '), F.col("seg").cast("string"), F.lit('"},"geometry":{"type":"'), kind, F.lit('","coordinates":'), geometry, F.lit("}}]}"))
-    x.select(feature.alias("value"), F.col("seg")).write.partitionBy("seg").text(path)
-    found = readers.geojson_lines(spark, f"{path}/seg=*", "nome")
+    feature = F.concat(F.lit('{"properties":{"nome":"seg '), F.col("seg").cast("string"), F.lit('"},"geometry":{"type":"'), kind, F.lit('","coordinates":'), geometry, F.lit("}}"))
+    # a file has a few hundred features, so files are as many as the lines ask for and not one for each
+    files = x.select(feature.alias("value"), F.floor(F.col("seg") / 500).alias("file")).groupBy("file").agg(F.concat(F.lit('{"features":['), F.array_join(F.collect_list("value"), ","), F.lit("]}")).alias("value"))
+    files.write.partitionBy("file").text(path)
+    found = readers.geojson_lines(spark, f"{path}/file=*", "nome")
     return found.withColumns({"lat": F.round("lat", 6), "lng": F.round("lng", 6)})
 
 
