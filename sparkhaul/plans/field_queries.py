@@ -467,11 +467,16 @@ def _(spark, sf):
 
 @query("t04_near_by", f"WITH {v.STOPS} SELECT a.stop, b.stop AS other FROM stops a JOIN stops b ON a.stop <> b.stop AND NOT b.delivered AND {v.haversine_sql('a.lat', 'a.lng', 'b.lat', 'b.lng')} BETWEEN 10 AND 200")
 def _(spark, sf):
-    from ..functions.geo import haversine, within
-
-    s = v.stops(spark, sf)
-    near = within(s.select("stop", "lat", "lng"), s.where("NOT delivered").select("stop", "lat", "lng"), 202.0, [])
-    return near.where((F.col("stop") != F.col("r_stop")) & haversine("lat", "lng", "r_lat", "r_lng").between(10, 200)).select("stop", F.col("r_stop").alias("other"))
+    from ..functions import geo
+
+    s, cells = v.stops(spark, sf), [geo.CELL_Y, geo.CELL_X]
+    a = geo.with_cells(s.select("stop", "lat", "lng", F.cos(F.radians("lat")).alias("width")), 202.0, False)
+    b = geo.with_cells(s.where("NOT delivered").select(F.col("stop").alias("other"), F.col("lat").alias("lat"), F.col("lng").alias("lng")), 202.0, True).withColumnsRenamed({"lat": "r_lat", "lng": "r_lng"})
+    # of the pairs of neighbouring cells two thirds are too far apart by the plane, with room to spare; only the rest need the sphere
+    y, x = F.col("r_lat") - F.col("lat"), (F.col("r_lng") - F.col("lng")) * F.col("width")
+    close = y * y + x * x <= (210.0 / geo.DEGREE_M) ** 2
+    near = geo.spread(a, *cells).join(geo.spread(b, *cells), cells).where((F.col("stop") != F.col("other")) & close)
+    return near.where(geo.haversine("lat", "lng", "r_lat", "r_lng").between(10, 200)).select("stop", "other")
 
 
 @query("t05_first_results", f"WITH {v.EVIDENCE} SELECT place, count(*) AS n FROM evidence WHERE place LIKE '%3%' GROUP BY place ORDER BY n DESC, place LIMIT 20")
