@@ -233,21 +233,19 @@ def visits(stops: DataFrame) -> DataFrame:
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["seq", "stop"]).reset_index(drop=True)
-        heads: list[int] = []
-        found = []
+        lat, lng, carrier = (rows[c].to_numpy() for c in ("lat", "lng", "carrier"))
+        address = pd.factorize(rows.address_key)[0]
+        heads, n = np.empty(len(rows), dtype=np.int64), 0  # the first stop of each visit
+        found = np.empty(len(rows), dtype=np.int64)
         for i in range(len(rows)):
-            r, mine = rows.iloc[i], None
-            for k, j in enumerate(heads):
-                h = rows.iloc[j]
-                far = float(straight_metres(*map(np.float64, (h.lat, h.lng, r.lat, r.lng))))
-                reach = CARRIER_M if h.carrier == r.carrier else ADDRESS_M if h.address_key == r.address_key else VISIT_M
-                if far <= max(reach, VISIT_M):
-                    mine = k
-                    break
-            if mine is None:
-                heads.append(i)
-                mine = len(heads) - 1
-            found.append(mine)
+            h = heads[:n]
+            far = straight_metres(lat[h], lng[h], lat[i], lng[i])
+            reach = np.where(carrier[h] == carrier[i], CARRIER_M, np.where(address[h] == address[i], ADDRESS_M, VISIT_M))
+            fits = np.flatnonzero(far <= np.maximum(reach, VISIT_M))
+            if len(fits):
+                found[i] = fits[0]
+            else:
+                heads[n], found[i], n = i, n, n + 1
         return pd.DataFrame({"route": rows.route, "stop": rows.stop, "visit": found})
 
     return stops.select("route", "stop", "seq", "carrier", "address_key", "lat", "lng").groupBy("route").applyInPandas(one, "route long, stop long, visit long")

@@ -4,11 +4,14 @@ import os
 import time
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from growth import crowded, most_rows
 from oracle import connect, rows
 
+from sparkhaul.functions import geo
+from sparkhaul.operators import places, routes
 from sparkhaul.plans import catalog
 from sparkhaul.streaming import rules
 
@@ -65,3 +68,40 @@ def test_rows_of_one_key_meet_the_next_end_only(spark, tmp_path):
     held = rules.written(rules.unfollowed(rules.event_stream(spark, str(tmp_path), "y"), ["key"], "key string, id long", 10), "held").count()
     assert late > 39_000 and held > 19_000
     assert time.monotonic() - begun < 30
+
+
+def test_crowded_targets_meet_few_points(spark):
+    rng = np.random.default_rng(4)
+    place = lambda n: [(k, float(y), float(x)) for k, (y, x) in enumerate(rng.random((n, 2)) * 0.005)]
+    points, targets = place(1000), place(1000)
+    found, schema = {}, "lat double, lng double"
+    near = lambda: geo.nearest(spark.createDataFrame(points, f"k long, {schema}"), spark.createDataFrame(targets, f"t long, {schema}"), "k", "t").collect()
+    most = most_rows(spark, lambda: found.update({r.k: r.r_t for r in near()}))
+    at = np.array(targets)
+    far = lambda p: np.hypot(at[:, 1] - p[1], (at[:, 2] - p[2]) * np.cos(np.radians(p[1])))
+    assert found == {p[0]: int(np.argmin(far(p))) for p in points}
+    assert most <= 40_000, most  # all pairs are 1,000,000
+
+
+def test_points_meet_a_line_once(spark):
+    rng = np.random.default_rng(5)
+    points = [(k, float(y), float(x)) for k, (y, x) in enumerate(rng.random((1000, 2)) * 0.003)]
+    lines = [(k, i, float(y), float(x)) for k in range(20) for i, (y, x) in enumerate(rng.random((3, 2)) * 0.003)]
+    df, vertices = spark.createDataFrame(points, "k long, lat double, lng double"), spark.createDataFrame(lines, "seg long, i long, lat double, lng double")
+    found = []
+    most = most_rows(spark, lambda: found.extend(places.near_segments(df, vertices, "k", 300.0).collect()))
+    assert len(found) == len({(r.k, r.seg) for r in found}) > 10_000
+    assert most <= 20_000, most  # 1,000 points and 20 lines
+
+
+def test_visits_of_a_long_route_take_seconds():
+    class Frame(pd.DataFrame):  # what the operator asks of a DataFrame, for one route
+        select = lambda self, *_: self
+        groupBy = lambda self, *_: self
+        applyInPandas = lambda self, run, _: run(pd.DataFrame(self))
+
+    n = 400
+    stops = {"route": 1, "stop": range(n), "seq": range(n), "carrier": range(n), "address_key": [str(k) for k in range(n)], "lat": [k % 200 / 100 for k in range(n)], "lng": 0.0}
+    begun = time.monotonic()
+    assert routes.visits(Frame(stops)).visit.tolist() == [k % 200 for k in range(n)]
+    assert time.monotonic() - begun < 1
