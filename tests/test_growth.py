@@ -105,3 +105,9 @@ def test_visits_of_a_long_route_take_seconds():
     begun = time.monotonic()
     assert routes.visits(Frame(stops)).visit.tolist() == [k % 200 for k in range(n)]
     assert time.monotonic() - begun < 1
+
+
+@pytest.mark.parametrize("name", ["a28_isolated_stops", "a28_far_from_district"])
+def test_routes_of_the_whole_job(name):
+    """Routes grow with the stops here, in the SQL as in the query; both are compared with each other in test_catalog."""
+    assert "c_custkey % 60 AS route" in catalog.ORACLE[name] and "c_custkey / 60" not in catalog.ORACLE[name].split("AS seq")[0]
