@@ -19,7 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import shared_folder
+from ..functions.geo import spread
+from ..scratch import settled, shared_folder
 
 #: Longest n-gram of the index.
 LONGEST = 3
@@ -73,10 +74,26 @@ def find(index: Index, asked: DataFrame) -> DataFrame:
 
 def found_by_all(index: Index, queries: DataFrame) -> DataFrame:
     """query, key: the rows that answer each word of a query. queries: query, word, kind, piece, whole; a word is answered by any of its
-    pieces, and a query without words by no row."""
-    hits = queries.join(find(index, queries), ["kind", "piece", "whole"]).select("query", "word", "key").distinct()
-    words = queries.groupBy("query").agg(F.countDistinct("word").alias("words"))
-    return hits.groupBy("query", "key").agg(F.count("*").alias("hits")).join(words, "query").where("hits = words").select("query", "key")
+    pieces, and a query without words by no row.
+
+    Queries that ask for the same are answered once. Of a query's words the one with the fewest rows is read; the others are looked up
+    for those rows only, so a word that nearly all rows have is not paired with its queries.
+    """
+    words = queries.groupBy("query", "word").agg(F.array_sort(F.collect_set(F.struct("kind", "piece", "whole"))).alias("pieces"))
+    asked = settled(words.groupBy("query").agg(F.array_sort(F.collect_set("pieces")).alias("terms")), "asked")
+    questions = settled(asked.groupBy("terms").agg(F.min("query").alias("question")), "questions")
+    each = questions.select("question", F.explode("terms").alias("pieces"))
+    terms = settled(each.select("pieces").distinct().withColumn("term", F.monotonically_increasing_id()), "terms")
+    pieces = terms.select("term", F.explode("pieces").alias("p")).select("term", "p.*")
+    hits = settled(pieces.join(find(index, pieces), ["kind", "piece", "whole"]).select("term", "key").distinct(), "hits")
+    counted = each.join(terms, "pieces").join(hits.groupBy("term").agg(F.count("*").alias("n")), "term", "left")
+    rarest = counted.groupBy("question").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "term"))["term"].alias("term"), F.collect_set("term").alias("others"))
+    rarest = rarest.withColumn("others", F.array_except("others", F.array("term")))
+    read = rarest.join(hits, "term").drop("term")
+    looked_up = read.select("question", "key", F.size("others").alias("n"), F.explode("others").alias("term")).join(hits, ["term", "key"], "left_semi")
+    found = looked_up.groupBy("question", "key").agg(F.count("*").alias("hits"), F.first("n").alias("n")).where("hits = n").select("question", "key")
+    found = spread(read.where(F.size("others") == 0).select("question", "key").unionByName(found), "key")
+    return asked.join(questions, "terms").select("query", "question").join(found, "question").select("query", "key")
 
 
 def stop_entries(stops: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+from growth import most_rows
 from sparkhaul.operators import trigrams
 
 
@@ -43,3 +44,13 @@ def test_rules_of_the_search(spark):
     for r in trigrams.found_by_all(trigrams.build(trigrams.stop_entries(stops)), trigrams.stop_queries(queries)).collect():
         found.setdefault(r.query, set()).add(r.key)
     assert {s: found.get(k, set()) for k, s in enumerate(said)} == said
+
+
+def test_equal_queries_and_frequent_words(spark):
+    """300 queries of two words, one of which every row has: no step makes a row for each query and row."""
+    texts = spark.range(2000).selectExpr("id AS key", "'name' AS kind", "explode(array('every', concat('n', id % 100))) AS word", "false AS whole")
+    queries = spark.range(300).selectExpr("id AS query", "explode(array('every', concat('n', 50 + id % 3))) AS word").selectExpr("query", "word", "'name' AS kind", "word AS piece", "false AS whole")
+    found = {}
+    most = most_rows(spark, lambda: found.update(rows=trigrams.found_by_all(trigrams.build(texts), queries).collect()))
+    assert {(r.query, r.key) for r in found["rows"]} == {(q, k) for q in range(300) for k in range(2000) if k % 100 == 50 + q % 3} and len(found["rows"]) == 6000
+    assert most <= 12_000, most  # 300 x 2,000 are 600,000
