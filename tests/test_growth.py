@@ -83,6 +83,19 @@ def test_crowded_targets_meet_few_points(spark):
     assert most <= 40_000, most  # all pairs are 1,000,000
 
 
+def test_closest_of_far_points(spark):
+    """Points far from all targets, near them and among them; none meets all targets."""
+    rng = np.random.default_rng(6)
+    targets = [(k % 2, k, float(round(y, 3)), float(round(x, 3))) for k, (y, x) in enumerate(rng.random((4000, 2)))]
+    points = [(k % 3, float(y), float(x)) for k, (y, x) in enumerate(np.concatenate([rng.random((100, 2)) + 30, rng.random((100, 2)), rng.random((100, 2)) * 2 - [3, 0.5]]))]
+    df, schema = spark.createDataFrame(points, "k long, lat double, lng double"), "k long, t long, lat double, lng double"
+    found = {}
+    most = most_rows(spark, lambda: found.update({r[:3]: r.t for r in geo.closest(df, spark.createDataFrame(targets, schema), ["k"], "t").collect()}))
+    far = lambda p: min(((t[2] - p[1]) ** 2 + (t[3] - p[2]) ** 2, t[1]) for t in targets if t[0] == p[0])[1]
+    assert found == {p: far(p) for p in points if p[0] < 2}
+    assert most <= 40_000, most  # all pairs of a key are 400,000
+
+
 def test_points_meet_a_line_once(spark):
     rng = np.random.default_rng(5)
     points = [(k, float(y), float(x)) for k, (y, x) in enumerate(rng.random((1000, 2)) * 0.003)]
