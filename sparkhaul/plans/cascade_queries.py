@@ -177,18 +177,18 @@ def _stops(spark, sf):
 def _sources(spark, sf) -> cascade.Sources:
     from ..functions.geo import haversine
 
-    census = _table(spark, sf, "census")
+    census = settled(_table(spark, sf, "census"), "census")
     codes = _table(spark, sf, "codes").withColumnsRenamed({f"code_{c}": c for c in ("street", "district", "city", "lat", "lng")})
 
     def centred(doors, *keys):
         middle = doors.groupBy(*keys).agg(F.avg("lat").alias("m_lat"), F.avg("lng").alias("m_lng"))
         far = doors.join(middle, list(keys)).groupBy(*keys, "m_lat", "m_lng").agg(F.count("*").alias("marks"), F.max(haversine("m_lat", "m_lng", "lat", "lng")).alias("radius_m"))
-        return far.withColumnsRenamed({"m_lat": "lat", "m_lng": "lng"})
+        return settled(far.withColumnsRenamed({"m_lat": "lat", "m_lng": "lng"}), "centres")
 
-    from ..operators.relational import first_per_key
-
-    outside = first_per_key(_table(spark, sf, "answers"), ["asked", "number", "city"], F.col("id")).drop("id")
-    return cascade.Sources(census.drop("marked"), codes, centred(census.where("marked"), "cep"), _table(spark, sf, "base"), outside, centred(census, "district", "city"))
+    answers = _table(spark, sf, "answers")
+    told = [c for c in answers.columns if c not in ("asked", "number", "city", "id")]
+    outside = answers.groupBy("asked", "number", "city").agg(F.min(F.struct("id", *told)).alias("first")).select("asked", "number", "city", *(f"first.{c}" for c in told))
+    return cascade.Sources(census.drop("marked"), codes, centred(census.where("marked"), "cep"), settled(_table(spark, sf, "base"), "base"), settled(outside, "outside"), centred(census, "district", "city"))
 
 
 @query("o08_resolution_cascade", f"""WITH {SOURCES}, {_pass('asked', 'a_')},
