@@ -239,13 +239,13 @@ def _(spark, sf):
 
 @query("x06_addresses_in_parts", f"""WITH {v.STOPS} SELECT stop, street, CAST(number AS VARCHAR) AS number, CAST(cep AS VARCHAR) AS cep, CASE WHEN extra = '' THEN district ELSE extra || '; ' || district END AS rest FROM stops""")
 def _(spark, sf):
-    p = a.with_address(v.stops(spark, sf).select("stop", "address"))
+    p = v.addressed(v.stops(spark, sf).select("stop", "address"))
     return p.select("stop", "parts.street", "parts.number", "parts.cep", F.array_join("parts.rest", "; ").alias("rest"))
 
 
 @query("x07_address_keys", None)
 def _(spark, sf):
-    p = a.with_address(v.stops(spark, sf).select("stop", "address"))
+    p = v.addressed(v.stops(spark, sf).select("stop", "address"))
     return p.select("stop", a.address_key().alias("key"), a.street_and_number().alias("door"))
 
 
@@ -269,7 +269,7 @@ def _(spark, sf):
 
 @query("x11_complex_names", f"WITH {v.STOPS} SELECT stop, CASE WHEN extra LIKE 'Conjunto%' THEN extra ELSE '' END AS complex FROM stops")
 def _(spark, sf):
-    return a.with_address(v.stops(spark, sf).select("stop", "address", "district")).select("stop", a.complex_name().alias("complex"))
+    return v.addressed(v.stops(spark, sf).select("stop", "address", "district")).select("stop", a.complex_name().alias("complex"))
 
 
 @query("x12_edits_between_names", "WITH n AS (SELECT DISTINCT p_name AS name FROM part) SELECT a.name AS a, b.name AS b, levenshtein(a.name, b.name) AS edits FROM n a JOIN n b ON length(a.name) = length(b.name) AND a.name < b.name")
@@ -296,7 +296,7 @@ def _(spark, sf):
 
 @query("x15_named_places", f"WITH {v.STOPS} SELECT stop, CASE WHEN extra LIKE 'Conjunto%' THEN 'dantas orlando' END AS key FROM stops")
 def _(spark, sf):
-    return a.with_address(v.stops(spark, sf).select("stop", "address", "district")).select("stop", a.place_name_key(a.place_hints()).alias("key"))
+    return v.addressed(v.stops(spark, sf).select("stop", "address", "district")).select("stop", a.place_name_key(a.place_hints()).alias("key"))
 
 
 @query("x16_road_types", f"WITH {v.STOPS}, s AS (SELECT DISTINCT street FROM stops) SELECT street, CASE split_part(street, ' ', 1) WHEN 'Av.' THEN 'avenida' WHEN 'Travessa' THEN 'travessa' ELSE 'rua' END AS kind FROM s")
@@ -312,12 +312,12 @@ def _(spark, sf):
 @query("x18_in_a_complex", f"WITH {v.STOPS} SELECT stop, extra LIKE 'Bloco%' AS inside, CASE WHEN stop % 7 = 0 THEN 'rua m' END AS inner_street FROM stops")
 def _(spark, sf):
     s = v.stops(spark, sf).withColumn("address", F.when(F.col("stop") % 7 == 0, F.concat("address", F.lit(", Rua M atrás do mercado"))).otherwise(F.col("address")))
-    return a.with_address(s).select("stop", a.in_complex().alias("inside"), a.complement_street().alias("inner_street"))
+    return v.addressed(s).select("stop", a.in_complex().alias("inside"), a.complement_street().alias("inner_street"))
 
 
 @query("x19_place_keys", f"WITH {v.STOPS} SELECT stop, cep || '|' || number AS place, CASE WHEN street NOT LIKE '% A' AND street NOT LIKE '%Vinte e Cinco' THEN regexp_replace(regexp_replace(lower(street), '^av[.]', 'avenida'), '^r ', 'rua ') || '|' || number END AS door FROM stops WHERE cep % 1000 <> 0")
 def _(spark, sf):
-    p = a.with_place_key(a.with_address(v.stops(spark, sf).where("cep % 1000 <> 0").withColumn("city", F.lit("Aracaju"))))
+    p = a.with_place_key(v.addressed(v.stops(spark, sf).where("cep % 1000 <> 0").withColumn("city", F.lit("Aracaju"))))
     return p.select("stop", F.col("place_key").alias("place"), a.door_key().alias("door"))
 
 
@@ -329,7 +329,7 @@ def _(spark, sf):
 
 @query("x21_customer_keys", f"WITH {v.STOPS} SELECT stop, cep || '|' || number || CASE WHEN extra LIKE 'Apto%' THEN '#apto' || CAST(stop % 30 AS VARCHAR) WHEN extra LIKE 'Bloco%' THEN '#blocob+casa3' ELSE '' END AS key FROM stops WHERE cep % 1000 <> 0")
 def _(spark, sf):
-    p = a.with_place_key(a.with_address(v.stops(spark, sf).where("cep % 1000 <> 0").withColumn("city", F.lit("Aracaju"))))
+    p = a.with_place_key(v.addressed(v.stops(spark, sf).where("cep % 1000 <> 0").withColumn("city", F.lit("Aracaju"))))
     return p.select("stop", a.customer_key(F.col("place_key")).alias("key"))
 
 

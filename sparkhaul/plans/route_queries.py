@@ -301,7 +301,7 @@ def _(spark, sf):
 
 @query("j37_open_at_the_same_door", f"WITH {v.STOPS} SELECT a.stop, min(b.stop) AS open FROM stops a JOIN stops b ON lower(a.street) = lower(b.street) AND a.number % 100 = b.number % 100 AND NOT b.delivered AND a.stop <> b.stop GROUP BY a.stop")
 def _(spark, sf):
-    s = a.with_address(v.stops(spark, sf).selectExpr("stop", "delivered", "street || ', ' || (number % 100) AS address"))
+    s = v.addressed(v.stops(spark, sf).selectExpr("stop", "delivered", "street || ', ' || (number % 100) AS address"))
     s = settled(s.select("stop", "delivered", F.concat_ws("|", F.lower("parts.street"), "parts.number").alias("door")), "doors")
     open_ = s.where("NOT delivered").select("door", F.col("stop").alias("open"))
     # the two least are enough: one of them is another stop
@@ -334,7 +334,7 @@ _DOOR_KEY = "CASE WHEN stop % 5 IN (0, 2) THEN 'atalaia mirante' WHEN stop % 5 =
 @query("x31_same_door_by_name", f"WITH {v.STOPS}, s AS (SELECT stop, CASE WHEN stop % 7 > 0 THEN stop % 40 END AS number, {_DOOR_KEY} AS key FROM stops) SELECT a.stop, count(*) AS others FROM s a JOIN s b ON a.key = b.key AND a.stop <> b.stop AND (a.number = b.number OR a.number IS NULL OR b.number IS NULL) GROUP BY a.stop")
 def _(spark, sf):
     said = F.expr(f"street || CASE WHEN stop % 7 > 0 THEN ', ' || (stop % 40) ELSE '' END || ', ' || {_NAMED} AS address")
-    s = a.with_address(v.stops(spark, sf).select("stop", "district", said))
+    s = v.addressed(v.stops(spark, sf).select("stop", "district", said))
     s = settled(s.select("stop", F.col("parts.number").alias("number"), a.place_name_key(a.place_hints()).alias("key")), "place-names").where("key IS NOT NULL")
     # counted per key and number, so doors of a frequent key are no pairs; a door without a number is the same as all of its key
     n = s.groupBy("key", "number").agg(F.count("*").alias("n"))
@@ -366,4 +366,4 @@ def _(spark, sf):
 @query("x26_readings_linked", None)
 def _(spark, sf):
     s = v.stops(spark, sf).selectExpr("route AS document", "stop % 3 AS reading", "CASE WHEN stop % 5 = 0 THEN '| ' || address ELSE address END AS line")
-    return ops.linked_readings(a.with_address(s, "line").select("document", "reading", "line", a.street_and_number().alias("door"), a.complement_key(F.col("parts.rest")).alias("unit")))
+    return ops.linked_readings(v.addressed(s, "line").select("document", "reading", "line", a.street_and_number().alias("door"), a.complement_key(F.col("parts.rest")).alias("unit")))

@@ -9,10 +9,12 @@ import pandas as pd
 import pytest
 from growth import crowded, most_rows
 from oracle import connect, rows
+from pyspark.sql import functions as F
 
 from sparkhaul.functions import geo
 from sparkhaul.operators import places, routes
 from sparkhaul.plans import catalog
+from sparkhaul.plans import views as v
 from sparkhaul.streaming import rules
 
 
@@ -124,3 +126,10 @@ def test_visits_of_a_long_route_take_seconds():
 def test_routes_of_the_whole_job(name):
     """Routes grow with the stops here, in the SQL as in the query; both are compared with each other in test_catalog."""
     assert "c_custkey % 60 AS route" in catalog.ORACLE[name] and "c_custkey / 60" not in catalog.ORACLE[name].split("AS seq")[0]
+
+
+def test_addresses_are_taken_apart_in_all_tasks(spark):
+    """A table of one file is read in one task; its lines are taken apart in as many as a shuffle has."""
+    one = spark.range(400).selectExpr("id", "concat('Rua ', id, ', 12') AS address").coalesce(1)
+    sizes = [r.n for r in v.addressed(one).select(F.spark_partition_id().alias("p"), "parts").groupBy("p").agg(F.count("parts.street").alias("n")).collect()]
+    assert sorted(sizes) == [100] * 4
