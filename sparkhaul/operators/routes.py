@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_M
+from ..scratch import settled
 
 #: Legs looked at for starts, stops of a small route, nearest stops that a stop may be put beside in a small and in a large one, and
 #: paths improved of a small one.
@@ -19,6 +20,8 @@ TRIED, SMALL, NEAR_SMALL, NEAR, PATHS = 2_000_000, 100, 16, 10, 6
 ROUNDS, DETOUR, SPEED = 30, 1.35, 7.0
 #: Metres within which stops are one block, one visit, one visit of the same carrier stop, and one visit of the same address.
 BLOCK_M, VISIT_M, CARRIER_M, ADDRESS_M = 10.0, 25.0, 300.0, 150.0
+#: What no read line of an address has: neither letter, digit, blank nor , . - / _
+ODD = r"[^\p{L}\p{N}_\t-\r\x1c-\x1f \x85\p{Z},.\-/]"
 
 
 def straight_metres(lat: np.ndarray, lng: np.ndarray, lat2: np.ndarray, lng2: np.ndarray) -> np.ndarray:
@@ -268,21 +271,16 @@ def linked_readings(lines: DataFrame) -> DataFrame:
 
     lines: document, reading, line, door (street and number), unit. Lines of one door are the same unless their units differ or one reading
     has both; a line without a unit is taken into the one line with a unit, if there is just one. The cleanest text has the fewest
-    odd symbols, then the most letters, then comes first. A document has some tens of lines.
+    odd symbols, then the most letters, then comes first. What one reading saw several times is several stops.
     """
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, door in rows.groupby("door", sort=True):
-            units = {u: g for u, g in door.groupby("unit", sort=True)}
-            named = [u for u in units if u]
-            if "" in units and len(named) == 1 and not set(units[""].reading) & set(units[named[0]].reading):
-                units[named[0]] = pd.concat([units[named[0]], units.pop("")])
-            for g in units.values():
-                copies = int(g.groupby("reading").size().max())  # what one reading saw several times is several stops
-                odd = g.line.str.count(r"[^\w\s,.\-/]")
-                order = g.assign(odd=odd, letters=-g.line.str.len()).sort_values(["odd", "letters", "line"])
-                out += [(rows.document.iloc[0], order.line.iloc[0], g.reading.nunique())] * copies
-        return pd.DataFrame(out, columns=["document", "line", "readings"])
-
-    return lines.groupBy("document").applyInPandas(one, "document long, line string, readings long")
+    lines = settled(lines, "readings").where("door IS NOT NULL AND unit IS NOT NULL")
+    clean = F.struct(F.regexp_count("line", F.lit(ODD)).alias("odd"), (-F.length("line")).alias("letters"), "line")
+    seen = lines.groupBy("document", "door", "unit", "reading").agg(F.count("*").alias("n"), F.min(clean).alias("clean"))
+    of_door, bare = Window.partitionBy("document", "door"), F.col("unit") == ""
+    of_reading = Window.partitionBy("document", "door", "reading")
+    named = F.when(~bare, F.col("unit"))
+    seen = seen.withColumn("both", F.bool_or(bare).over(of_reading) & F.bool_or(~bare).over(of_reading))
+    seen = seen.withColumns({"only": F.min(named).over(of_door), "last": F.max(named).over(of_door), "both": F.bool_or("both").over(of_door)})
+    unit = F.when(bare & (F.col("only") == F.col("last")) & ~F.col("both"), F.col("only")).otherwise(F.col("unit"))
+    stops = seen.groupBy("document", "door", unit.alias("unit")).agg(F.max("n").alias("copies"), F.min("clean").alias("clean"), F.count("reading").alias("readings"))
+    return stops.select("document", F.explode(F.array_repeat("clean.line", F.col("copies").cast("int"))).alias("line"), "readings")

@@ -2,6 +2,7 @@
 
 import os
 import time
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -12,7 +13,7 @@ from oracle import connect, rows
 from pyspark.sql import functions as F
 
 from sparkhaul.functions import geo
-from sparkhaul.operators import places, routes
+from sparkhaul.operators import evidence, places, routes
 from sparkhaul.plans import catalog
 from sparkhaul.plans import views as v
 from sparkhaul.streaming import rules
@@ -133,3 +134,42 @@ def test_addresses_are_taken_apart_in_all_tasks(spark):
     one = spark.range(400).selectExpr("id", "concat('Rua ', id, ', 12') AS address").coalesce(1)
     sizes = [r.n for r in v.addressed(one).select(F.spark_partition_id().alias("p"), "parts").groupBy("p").agg(F.count("parts.street").alias("n")).collect()]
     assert sorted(sizes) == [100] * 4
+
+
+def test_sightings_meet_no_spots(spark):
+    """4,000 sightings of 200 spots, most of them near each other: driver-days are counted without a row for each spot around."""
+    rng = np.random.default_rng(9)
+    marks = [(str(k % 2), int(d), int(y), -10.9 + int(a) / 10000, -37.05 + int(x) / 10000, k) for k, (d, y, a, x) in enumerate(zip(rng.integers(0, 40, 4000), rng.integers(0, 30, 4000), rng.integers(0, 33, 4000), rng.integers(0, 3, 4000), strict=True))]
+    df = spark.createDataFrame(marks, "place string, driver long, d long, lat double, lng double, id long").selectExpr("*", "date_add(DATE '2024-01-01', CAST(d AS INT)) AS day", "timestamp_seconds(id) AS happened")
+    found = {}
+    most = most_rows(spark, lambda: found.update({r.place: (r.lat, r.lng, r.seen) for r in evidence.named_places(df).collect()}))
+    for place in "01":
+        own = [m for m in marks if m[0] == place]
+        rated = {}
+        for m in own:
+            lat, lng = m[3:5]
+            if (lat, lng) not in rated:
+                rated[lat, lng] = len({o[1:3] for o in own if 111320 * np.hypot(o[3] - lat, (o[4] - lng) * np.cos(np.radians(lat))) <= 120})
+        best = max(own, key=lambda m: (rated[m[3:5]], m[5]))
+        assert found[place] == (*best[3:5], rated[best[3:5]])
+    assert most <= 25_000, most  # sightings and spots around them are some 170,000
+
+
+def test_readings_of_many_documents(spark):
+    """Lines of 3,000 documents against the rules written plainly; Spark does the work, not a function for each document."""
+    rng = np.random.default_rng(8)
+    lines = [(int(d), int(r), f"Rua {'|©é²'[k % 4] * int(r)} {k % 3}", f"door {k % 2}", ("", "ap1", "ap2")[int(u)]) for k, (d, r, u) in enumerate(rng.integers(0, (3000, 3, 3), (12_000, 3)))]
+    linked = routes.linked_readings(spark.createDataFrame(lines, "document long, reading long, line string, door string, unit string"))
+    assert "Pandas" not in linked._jdf.queryExecution().executedPlan().toString()
+    found = Counter(map(tuple, linked.collect()))
+    doors, expected = {}, Counter()
+    for d, r, line, door, unit in lines:
+        doors.setdefault((d, door), {}).setdefault(unit, []).append((r, line))
+    for (d, _), units in doors.items():
+        named = [u for u in units if u]
+        if "" in units and len(named) == 1 and not {r for r, _ in units[""]} & {r for r, _ in units[named[0]]}:
+            units[named[0]] += units.pop("")
+        for g in units.values():
+            best = min((sum(not (c.isalnum() or c.isspace() or c in "_,.-/") for c in line), -len(line), line) for _, line in g)[2]
+            expected[d, best, len({r for r, _ in g})] += max(Counter(r for r, _ in g).values())
+    assert found == expected
