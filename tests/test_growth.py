@@ -144,6 +144,36 @@ def test_routes_of_the_whole_job(name):
     assert "c_custkey % 60 AS route" in catalog.ORACLE[name] and "c_custkey / 60" not in catalog.ORACLE[name].split("AS seq")[0]
 
 
+def test_stops_meet_centres_not_each_other(spark):
+    """Groups of odd and even size, with ties and missing positions, against each stop's others one by one; 3,000 rows are some 2,000,000 pairs."""
+    rng = np.random.default_rng(12)
+    stops, stop = [], 0
+    for group, n in enumerate([1001, 1000, 999, 3, 4, 5, 6]):
+        for y, x in rng.normal(0, 0.03, (n, 2)).round(3):
+            stop += 1
+            stops.append((group, stop, None if stop % 50 == 7 else float(y) - 9.5, None if stop % 70 == 9 else float(x) - 35.7))
+    df = spark.createDataFrame(stops, "route long, stop long, lat double, lng double")
+    found = {}
+    most = most_rows(spark, lambda: found.update({r.stop: r.others for r in evidence.far_from_others(df, ["route"], least=3).collect()}))
+
+    def metres(lat, lng, lat0, lng0):
+        a = np.sin(np.radians(lat0 - lat) / 2) ** 2 + np.cos(np.radians(lat)) * np.cos(np.radians(lat0)) * np.sin(np.radians(lng0 - lng) / 2) ** 2
+        return 2 * 6371000 * np.arcsin(np.fmin(1, np.sqrt(a)))  # as in the SQL, a missing position is as far as can be
+
+    expected = {}
+    for group in range(7):
+        own = [s for s in stops if s[0] == group]
+        at = np.array([s[2:] for s in own], float)
+        for k, (_, stop, *_) in enumerate(own):
+            others = np.delete(at, k, 0)
+            if len(others) >= 3:
+                mid = np.nanmedian(others, 0)
+                if metres(*at[k], *mid) > 5000 and np.median(metres(others[:, 0], others[:, 1], *mid)) <= 6000:
+                    expected[stop] = len(others)
+    assert found == expected and 100 < len(found) < 2900
+    assert most <= 100_000, most
+
+
 def test_addresses_are_taken_apart_in_all_tasks(spark):
     """A table of one file is read in one task; its lines are taken apart in as many as a shuffle has."""
     one = spark.range(400).selectExpr("id", "concat('Rua ', id, ', 12') AS address").coalesce(1)
