@@ -125,6 +125,58 @@ def test_points_meet_a_line_once(spark):
     assert most <= 20_000, most  # 1,000 points and 20 lines
 
 
+def _metres_to_line(points, line):
+    """Of each point (lat, lng) from the nearest edge of a line of vertices, in the plane at the point; edges with a missing end do not count."""
+    far = np.full(len(points), np.inf)
+    for (y1, x1), (y2, x2) in zip(line[:-1], line[1:], strict=True):
+        if not np.isnan([y1, x1, y2, x2]).any():
+            scale = 111320 * np.cos(np.radians(points[:, 0]))
+            ax, ay, bx, by = (x1 - points[:, 1]) * scale, (y1 - points[:, 0]) * 111320, (x2 - points[:, 1]) * scale, (y2 - points[:, 0]) * 111320
+            length = (bx - ax) ** 2 + (by - ay) ** 2
+            t = np.clip(-(ax * (bx - ax) + ay * (by - ay)) / np.where(length == 0, 1, length), 0, 1)
+            far = np.minimum(far, np.hypot(ax + t * (bx - ax), ay + t * (by - ay)))
+    return far
+
+
+@pytest.mark.parametrize("lat0", [-9.5, 0.0, 67.0])
+def test_lines_of_all_shapes(spark, lat0):
+    """Lines of short and of long edges, of many in a cell, without length, with a missing vertex; against each point and edge."""
+    rng = np.random.default_rng(14)
+    at = np.array([lat0, -35.7])
+    steps = [(rng.normal(0, size, (n, 2))) for size, n in [(0.001, 3), (0.0001, 30), (0.02, 2), (0.0, 2), (0.0005, 9)] * 8]
+    lines = [at + rng.random(2) * 0.03 + np.cumsum(s, 0) for s in steps]
+    lines[4][4] = np.nan
+    points = np.concatenate([at + rng.random((600, 2)) * 0.04 - 0.005, np.concatenate(lines[:3])])
+    df = spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(points)] + [(-1, None, -35.7)], "k long, lat double, lng double")
+    vertices = spark.createDataFrame([(k, i, *(None if np.isnan(c) else float(c) for c in v)) for k, line in enumerate(lines) for i, v in enumerate(line)], "seg long, i long, lat double, lng double")
+    for metres, cell in ((300.0, None), (20.0, 40.0)):
+        found = {(r.k, r.seg): r.metres for r in places.near_segments(df, vertices, "k", metres, cell).collect()}
+        expected = {(k, s): m for s, line in enumerate(lines) for k, m in enumerate(_metres_to_line(points, line)) if m <= metres}
+        assert found.keys() == expected.keys() and len(found) > 50
+        assert max(abs(found[p] - expected[p]) for p in found) < 1e-6
+
+
+def test_few_points_meet_a_line_in_vain(spark):
+    """Lines of three edges over 25 square kilometres: pairs made are no more than twice those found."""
+    rng = np.random.default_rng(15)
+    points = [(k, float(y), float(x)) for k, (y, x) in enumerate(rng.random((3000, 2)) * 0.045)]
+    lines = [(k, i, float(y) + 0.0008 * i, float(x) + 0.001 * i) for k, (y, x) in enumerate(rng.random((300, 2)) * 0.045) for i in range(4)]
+    df, vertices = spark.createDataFrame(points, "k long, lat double, lng double"), spark.createDataFrame(lines, "seg long, i long, lat double, lng double")
+    found = {}
+    most = most_rows(spark, lambda: found.update({(r.k, r.seg): r.metres for r in places.near_segments(df, vertices, "k", 300.0).collect()}))
+    assert 15_000 < len(found) and most <= 2 * len(found), (most, len(found))
+
+
+@pytest.mark.parametrize("name", ["j20_points_near_lines"])
+def test_distances_are_worked_out_once(spark, folder, name):
+    """The rows of the SQL; the cosine of a distance is not in its formula as often as the formula's parts come."""
+    expected = connect(folder).execute(catalog.ORACLE[name])
+    names = [d[0] for d in expected.description]
+    found = catalog.QUERIES[name](spark, folder)
+    assert rows(found.columns, found.collect()) == rows(names, expected.fetchall())
+    assert max(line.count("COS(") for line in found._jdf.queryExecution().executedPlan().toString().splitlines()) <= 4
+
+
 def test_visits_of_a_long_route_take_seconds():
     class Frame(pd.DataFrame):  # what the operator asks of a DataFrame, for one route
         select = lambda self, *_: self
