@@ -167,7 +167,7 @@ def test_few_points_meet_a_line_in_vain(spark):
     assert 15_000 < len(found) and most <= 2 * len(found), (most, len(found))
 
 
-@pytest.mark.parametrize("name", ["j20_points_near_lines"])
+@pytest.mark.parametrize("name", ["j20_points_near_lines", "j21_lines_in_the_same_street"])
 def test_distances_are_worked_out_once(spark, folder, name):
     """The rows of the SQL; the cosine of a distance is not in its formula as often as the formula's parts come."""
     expected = connect(folder).execute(catalog.ORACLE[name])
